@@ -99,9 +99,11 @@ def normal(c: Column) -> Column:
 
 
 def normalize_tag(c: Column) -> Column:
-    t = squeeze(F.lower(strip_chars(c, " \t\n\r")))
-    both = F.regexp_replace(t, f"^{EDGE_PUNCTUATION}|{EDGE_PUNCTUATION}$", "")
-    return F.when(t.startswith("."), F.regexp_replace(t, f"{RIGHT_ONLY_PUNCTUATION}$", "")).otherwise(both)
+    def trimmed(t: Column) -> Column:
+        both = F.regexp_replace(t, f"^{EDGE_PUNCTUATION}|{EDGE_PUNCTUATION}$", "")
+        return F.when(t.startswith("."), F.regexp_replace(t, f"{RIGHT_ONLY_PUNCTUATION}$", "")).otherwise(both)
+
+    return bind(squeeze(F.lower(strip_chars(c, " \t\n\r"))), trimmed)
 
 
 def split_tags(c: Column) -> Column:
@@ -153,9 +155,12 @@ def location_parts(c: Column) -> Column:
         hybrid = part.rlike(r"(?i)^\s*hybrid\s*[-:]\s*")
         token = F.regexp_replace(part, r"(?i)^\s*hybrid\s*[-:]\s*", "")
         token = strip_chars(F.regexp_replace(token, r"\([^)]*\)", " "), " -")
-        key = place_norm(token)
-        remote = key.isin(REMOTE_WORDS) | key.startswith("remote")
-        return F.struct(token.alias("token"), hybrid.alias("hybrid"), remote.alias("remote"), key.alias("key"))
+
+        def flagged(t: Column, key: Column) -> Column:
+            remote = key.isin(REMOTE_WORDS) | key.startswith("remote")
+            return F.struct(t.alias("token"), hybrid.alias("hybrid"), remote.alias("remote"), key.alias("key"))
+
+        return bind(token, lambda t: bind(place_norm(t), lambda key: flagged(t, key)))
 
     return F.transform(parts, describe)
 

@@ -26,6 +26,37 @@ PARTS = {
     o.o_totalprice AS pay, o.o_orderstatus <> 'P' AS disclosed, o.o_custkey AS company_id
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey)""",
+    "raw_posting": """raw_posting AS (
+  SELECT o_orderkey * 2 + copy AS row_no, strftime(o_orderdate, '%d%m%y') || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS jobId,
+    CASE WHEN c_acctbal < 0 THEN ' ' ELSE o_orderpriority || ' ' || c_mktsegment END AS title, c_name AS companyName,
+    tagsAndSkills, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'USD' ELSE 'INR' END AS currency,
+    CASE WHEN copy = 1 THEN 'Just Now' ELSE datediff('day', CAST(o_orderdate AS DATE), DATE '2001-08-02') || ' Days Ago' END AS jobUploaded,
+    CASE WHEN o_orderstatus = 'P' THEN '0' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END AS minimumSalary,
+    CASE WHEN c_acctbal > 5000 THEN '0' WHEN c_mktsegment = 'BUILDING'
+      THEN CAST(CAST(floor(floor(o_totalprice) / 2) AS BIGINT) AS VARCHAR)
+      ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) + 20000 AS VARCHAR) END AS maximumSalary,
+    CAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 2 AS VARCHAR) AS minimumExperience,
+    CASE WHEN o_orderstatus = 'O' THEN '' ELSE CAST(6 - CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 2 AS VARCHAR) END AS maximumExperience,
+    CAST(CAST(floor(c_acctbal / 1500) AS BIGINT) AS VARCHAR) AS AggregateRating, CAST(o_custkey AS VARCHAR) AS ReviewsCount,
+    n_name || CASE WHEN o_orderstatus = 'P' THEN ' / Remote' ELSE '' END AS location
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  LEFT JOIN (SELECT l_orderkey, string_agg(upper(p_name), ' , ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+      l_extendedprice) AS tagsAndSkills FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey) ON l_orderkey = o_orderkey,
+    unnest(CASE WHEN o_orderstatus = 'F' THEN [0, 1] ELSE [0] END) AS u(copy))""",
+    "first_posting": """first_posting AS (
+  SELECT *, substr(sha1(lower(trim(companyName)) || '|' || trim(regexp_replace(lower(trim(title)), '[^0-9a-z+#]+', ' ', 'g')) || '|' ||
+    array_to_string(list_sort(tags), ',')), 1, 16) AS dup_group_id
+  FROM (SELECT *, list_distinct(list_transform(string_split(lower(coalesce(tagsAndSkills, '')), ' , '), lambda t: trim(t))) AS tags0,
+    CASE WHEN tagsAndSkills IS NULL THEN []::VARCHAR[] ELSE tags0 END AS tags FROM raw_posting
+    QUALIFY row_number() OVER (PARTITION BY jobId ORDER BY row_no) = 1))""",
+    "salaried": """salaried AS (
+  SELECT *, lo1 > hi1 AS swapped, CASE WHEN lo1 > hi1 THEN hi1 ELSE lo1 END AS lo2, CASE WHEN lo1 > hi1 THEN lo1 ELSE hi1 END AS hi2,
+    lo2 IS NOT NULL AND (lo2 < 50000 OR hi2 > 50000000) AS implausible
+  FROM (SELECT *, currency = 'USD' AS usd, CASE WHEN NOT usd THEN coalesce(lo, hi) END AS lo1, CASE WHEN NOT usd THEN coalesce(hi, lo) END AS hi1,
+      usd AND coalesce(lo, hi) IS NOT NULL AS usd_paid
+    FROM (SELECT *, CASE WHEN CAST(minimumSalary AS DOUBLE) > 0 THEN CAST(minimumSalary AS DOUBLE) END AS lo,
+      CASE WHEN CAST(maximumSalary AS DOUBLE) > 0 THEN CAST(maximumSalary AS DOUBLE) END AS hi FROM first_posting
+      WHERE trim(title) <> '')))""",
     "job_skill": """job_skill AS (
   SELECT DISTINCT l_orderkey AS job_id, p_brand || '|' || p_type AS skill_id
   FROM lineitem JOIN part ON l_partkey = p_partkey)""",

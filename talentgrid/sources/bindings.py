@@ -61,6 +61,46 @@ class Bound:
             )
         )
 
+    @property
+    def raw_postings(self) -> DataFrame:
+        """Scraped posting rows, all text, with repeated ids: completed orders are listed twice."""
+        orders, customer = self.raw("orders"), self.raw("customer")
+        line, part = self.raw("lineitem"), self.raw("part")
+        ordered = F.array_sort(F.collect_list(F.struct(
+            "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.upper("p_name").alias("tag"))))
+        tags = line.join(part, line.l_partkey == part.p_partkey).groupBy("l_orderkey").agg(
+            F.array_join(F.transform(ordered, lambda s: s["tag"]), " , ").alias("tagsAndSkills"))
+        status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+        pay = F.floor("o_totalprice").cast("long")
+        years = F.substring(priority, 1, 1).cast("int") * 2
+        age = F.datediff(F.lit("2001-08-02").cast("date"), F.col("o_orderdate").cast("date"))
+        copies = F.when(status == "F", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        return (
+            orders.join(customer, orders.o_custkey == customer.c_custkey)
+            .join(tags, orders.o_orderkey == tags.l_orderkey, "left")
+            .join(self.places, F.col("c_nationkey") == F.col("n_nationkey"))
+            .withColumn("copy", F.explode(copies))
+            .select(
+                (F.col("o_orderkey") * 2 + F.col("copy")).alias("row_no"),
+                F.concat(F.date_format(F.col("o_orderdate").cast("timestamp"), "ddMMyy"),
+                         F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("jobId"),
+                F.when(F.col("c_acctbal") < 0, " ").otherwise(F.concat_ws(" ", priority, "c_mktsegment")).alias("title"),
+                F.col("c_name").alias("companyName"), "tagsAndSkills",
+                F.when(F.col("c_mktsegment") == "MACHINERY", "USD").otherwise("INR").alias("currency"),
+                F.when(F.col("copy") == 1, "Just Now")
+                .otherwise(F.concat(age.cast("string"), F.lit(" Days Ago"))).alias("jobUploaded"),
+                F.when(status == "P", "0").otherwise(pay.cast("string")).alias("minimumSalary"),
+                F.when(F.col("c_acctbal") > 5000, "0")
+                .when(F.col("c_mktsegment") == "BUILDING", F.floor(pay / 2).cast("string"))
+                .otherwise((pay + 20000).cast("string")).alias("maximumSalary"),
+                years.cast("string").alias("minimumExperience"),
+                F.when(status == "O", "").otherwise((6 - years).cast("string")).alias("maximumExperience"),
+                F.floor(F.col("c_acctbal") / 1500).cast("string").alias("AggregateRating"),
+                F.col("o_custkey").cast("string").alias("ReviewsCount"),
+                F.concat("state", F.when(status == "P", " / Remote").otherwise("")).alias("location"),
+            )
+        )
+
     @property
     def job_skill(self) -> DataFrame:
         line, part = self.raw("lineitem"), self.raw("part")
