@@ -75,6 +75,16 @@ PARTS = {
   WHERE rn <= 30)""",
     "skill_df": """skill_df AS (SELECT skill_id, count(*) AS df FROM job_skill GROUP BY skill_id)""",
     "n_docs": """n_docs AS (SELECT count(DISTINCT job_id) AS n FROM job_skill)""",
+    "skill_stat": """skill_stat AS (
+  SELECT skill_id, df, n, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf, 1 / ln(2.0::DOUBLE + df) AS inv FROM skill_df, n_docs)""",
+    "doc_norm": """doc_norm AS (SELECT job_id, sqrt(sum(idf * idf)) AS norm FROM job_skill JOIN skill_stat USING (skill_id) GROUP BY job_id)""",
+    "query_norm": """query_norm AS (SELECT query_id, sqrt(sum(idf * idf)) AS qnorm FROM profile JOIN skill_stat USING (skill_id) GROUP BY query_id)""",
+    "tfidf": """tfidf AS (
+  SELECT query_id, job_id, sum(idf * idf) / (min(norm) * min(qnorm)) AS score FROM profile JOIN job_skill USING (skill_id)
+  JOIN skill_stat USING (skill_id) JOIN doc_norm USING (job_id) JOIN query_norm USING (query_id) GROUP BY query_id, job_id)""",
+    "adar": """adar AS (
+  SELECT query_id, job_id, sum(inv) AS score FROM profile JOIN job_skill USING (skill_id) JOIN skill_stat USING (skill_id)
+  GROUP BY query_id, job_id)""",
     "skill_weight": """skill_weight AS (
   SELECT skill_id, CAST(round_even(1000 * (ln((1 + n)::DOUBLE / (1 + df)) + 1), 0) AS BIGINT) AS w
   FROM skill_df, n_docs)""",

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.functions.distributed import best_per_group
+from talentgrid.functions.distributed import best_per_group, item_sets
 
 PROFILE_SIZE = 8
 
@@ -103,12 +103,15 @@ class Bound:
 
     @property
     def job_skill(self) -> DataFrame:
+        """Distinct posting-skill edges.
+
+        Sets are merged map-side and shuffled once by posting; the exploded edges stay partitioned by posting, so later
+        groupings and joins that include job_id need no further shuffle.
+        """
         line, part = self.raw("lineitem"), self.raw("part")
-        return (
-            line.join(part, line.l_partkey == part.p_partkey)
-            .select(F.col("l_orderkey").alias("job_id"), F.concat_ws("|", "p_brand", "p_type").alias("skill_id"))
-            .distinct()
-        )
+        edges = line.join(part, line.l_partkey == part.p_partkey).select(
+            F.col("l_orderkey").alias("job_id"), F.concat_ws("|", "p_brand", "p_type").alias("skill_id"))
+        return item_sets(edges, "job_id", "skill_id").select("job_id", F.explode("items").alias("skill_id"))
 
     @property
     def job_tag(self) -> DataFrame:
