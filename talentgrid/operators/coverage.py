@@ -86,6 +86,14 @@ def gains(packed: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def _hold(packed: DataFrame) -> tuple[DataFrame, Callable[[], object]]:
+    """The pool persisted for the rounds of one plan, unless the caller already persisted it."""
+    if packed.is_cached:
+        return packed, lambda: None
+    held = packed.persist(StorageLevel.MEMORY_AND_DISK)
+    return held, held.unpersist
+
+
 def _smooth() -> Column:
     return F.round("gain_g", 9)
 
@@ -104,7 +112,7 @@ def greedy(packed: DataFrame, k: int, order: Callable[[], list[Column]] = by_rea
 
     With `by_smooth` it is the greedy on G; recomputing all gains gives the same plans as lazy re-evaluation.
     """
-    held = packed.persist(StorageLevel.MEMORY_AND_DISK)
+    held, release = _hold(packed)
     runs, steps = start_runs(held), None
     for step in range(1, k + 1):
         useful = gains(held, runs).filter((F.col("gain_f") > 0) | (_smooth() > 0))
@@ -114,7 +122,7 @@ def greedy(packed: DataFrame, k: int, order: Callable[[], list[Column]] = by_rea
             runs = runs.join(picks.select("run_id", "skill_id"), "run_id").withColumn(
                 "chosen", F.concat("chosen", F.array("skill_id"))).drop("skill_id")
     names = cut(start_runs(held).select("instance_id", "run_id"))
-    held.unpersist()
+    release()
     return steps.join(names, "run_id").select("instance_id", "step", "skill_id", "gain_f", "gain_g")
 
 
@@ -256,7 +264,7 @@ def budgeted(packed: DataFrame, costs: DataFrame, budget: float, runs: DataFrame
     the plan's G replaces the plan.
     """
     seeded = runs is not None
-    held = packed.persist(StorageLevel.MEMORY_AND_DISK)
+    held, release = _hold(packed)
     runs = cut(start_runs(held) if runs is None else runs)
     first, active = None, runs
     for _ in range(10_000):
@@ -283,7 +291,7 @@ def budgeted(packed: DataFrame, costs: DataFrame, budget: float, runs: DataFrame
             "instance_id", "run_id",
             F.when(swap, F.array("skill_id")).otherwise(F.col("chosen")).alias("chosen"),
             F.when(swap, F.col("cost")).otherwise(F.col("spent")).alias("spent")))
-    held.unpersist()
+    release()
     return runs
 
 

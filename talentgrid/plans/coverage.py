@@ -230,7 +230,7 @@ opt AS (SELECT instance_id, max(f) AS best FROM vals GROUP BY 1), plain AS (SELE
 
 
 def _method_values(b):
-    packed, _ = _instances(b)
+    packed = _instances(b)[0].persist()
     tables = {
         "greedy_reach": cov.plan_value(packed, cov.greedy(packed, 3)),
         "greedy_smooth": cov.plan_value(packed, cov.greedy(packed, 3, cov.by_smooth)),
