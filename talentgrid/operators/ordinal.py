@@ -432,9 +432,9 @@ def scenario_pool(requests: DataFrame, prepared: DataFrame, complete_only: bool
         rows = rows.filter(~F.col("skills_truncated"))
     years = F.explode(F.sequence(F.floor("exp_min").cast("int"), F.floor("exp_max").cast("int"))).alias("_year")
     spread = rows.select(*prepared.columns, years).withColumn("_family", F.explode(F.array(F.lit("All"), F.col("role_family"))))
-    asked = requests.select("request_id", F.col("family").alias("_family"), "experience", F.floor("experience").cast("int").alias("_year"))
+    asked = requests.select("request_id", F.col("family").alias("_family"), F.col("experience").alias("_x"), F.floor("experience").cast("int").alias("_year"))
     joined = spread.join(asked, ["_family", "_year"])
-    return joined.filter((F.col("exp_min") <= F.col("experience")) & (F.col("exp_max") >= F.col("experience"))).drop("_family", "_year")
+    return joined.filter((F.col("exp_min") <= F.col("_x")) & (F.col("exp_max") >= F.col("_x"))).drop("_family", "_year", "_x")
 
 
 def vocabulary_evidence(owned: DataFrame, pools: DataFrame) -> DataFrame:

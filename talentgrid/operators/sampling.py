@@ -120,8 +120,8 @@ def bootstrap_ratio(units: DataFrame, unit: str, numerator: str, denominator: st
 
     drawn = poisson_weights(units, unit, replicates, seed)
     values = drawn.groupBy(*keys, "rep").agg(
-        F.try_divide(F.sum(F.col("w") * F.col(numerator)), F.sum(F.col("w") * F.col(denominator))).alias("value"))
-    return exact_quantiles(values, list(keys), "value", {"low": 0.025, "high": 0.975})
+        F.try_divide(F.sum(F.col("w") * F.col(numerator)), F.sum(F.col("w") * F.col(denominator))).alias("_ratio"))
+    return exact_quantiles(values, list(keys), "_ratio", {"low": 0.025, "high": 0.975})
 
 
 def synthetic_candidates(

@@ -310,7 +310,7 @@ def threshold_slopes(b):
 
 
 REQUESTS = """, req AS (SELECT 'r' || row_number() OVER (ORDER BY role_family, x) AS id0, role_family AS family, x::DOUBLE AS experience, role_family || ':' || x AS request_id FROM (SELECT DISTINCT role_family FROM prep UNION ALL SELECT 'All'), (SELECT unnest([0, 3, 7]) AS x)),
-pool AS (SELECT request_id, prep.* FROM req JOIN prep ON (family = 'All' OR family = role_family) AND exp_min <= experience AND exp_max >= experience)"""
+pool AS (SELECT request_id, row_key, band, skills FROM req JOIN prep ON (family = 'All' OR family = role_family) AND exp_min <= req.experience AND exp_max >= req.experience)"""
 
 
 def _requests(rows):
@@ -320,7 +320,7 @@ def _requests(rows):
         F.concat_ws(":", "family", "x").alias("request_id"), "family", F.col("x").cast("double").alias("experience"))
 
 
-@query("JN-7, FLT-3", sql(PREP, REQUESTS + "SELECT request_id, count(*) AS support, round(avg(band), 6)::DOUBLE AS mean_band FROM pool GROUP BY 1"))
+@query("JN-7, FLT-3", sql(PREP, REQUESTS + " SELECT request_id, count(*) AS support, round(avg(band), 6)::DOUBLE AS mean_band FROM pool GROUP BY 1"))
 def scenario_pools(b):
     rows = prepared(b)
     return od.scenario_pool(_requests(rows), rows).groupBy("request_id").agg(
