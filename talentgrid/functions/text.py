@@ -211,14 +211,16 @@ def role_family(title: Column) -> Column:
 
 def skill_list(c: Column, conservative: bool = True) -> Column:
     """Sorted distinct skills of a delimited list; a truncated last item is dropped in the conservative view."""
-    raw = normal(c)
-    truncated = raw.endswith("...")
-    tokens = F.split(F.regexp_replace(raw, r"\.\.\.$", ""), "[,;|]")
-    if conservative:
-        tokens = F.when(truncated, F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens)
     aliases = F.create_map(*[F.lit(x) for pair in SKILL_ALIASES.items() for x in pair])
-    trimmed = F.filter(F.transform(tokens, lambda t: F.trim(t)), lambda t: (F.length(t) > 0) & (t != "..."))
-    return F.array_sort(F.array_distinct(F.transform(trimmed, lambda t: F.coalesce(F.try_element_at(aliases, t), t))))
+
+    def listed(raw: Column) -> Column:
+        parts = F.split(F.regexp_replace(raw, r"\.\.\.$", ""), "[,;|]")
+        whole = bind(parts, lambda p: F.slice(p, F.lit(1), F.size(p) - 1)) if conservative else parts
+        kept = F.when(raw.endswith("..."), whole).otherwise(parts)
+        trimmed = F.filter(F.transform(kept, lambda t: F.trim(t)), lambda t: (F.length(t) > 0) & (t != "..."))
+        return F.array_sort(F.array_distinct(F.transform(trimmed, lambda t: F.coalesce(F.try_element_at(aliases, t), t))))
+
+    return bind(normal(c), listed)
 
 
 def quality_flag(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentgrid.functions.distributed import best_per_group, exact_quantiles, pick_one
-from talentgrid.session import cut
+from talentgrid.session import broadcast_if_small, cut
 
 # Effort factor per reuse level, and for skills close to an owned one.
 REUSE_FACTORS = {"transversal": 0.70, "cross-sector": 0.85, "sector-specific": 1.00, "occupation-specific": 1.15}
@@ -26,7 +26,7 @@ LARGEST_CLOSE_GROUP = 60
 
 def pack_pool(pool: DataFrame, have: DataFrame, edges: DataFrame, weights: DataFrame, tau_pct: int = 60) -> DataFrame:
     """One row per (instance, posting): value, base covered weight, need = tau·total, and missing (skill, w) pairs."""
-    owned = have.withColumn("owned", F.lit(True))
+    owned = broadcast_if_small(have.withColumn("owned", F.lit(True)))
     rows = (
         edges.join(pool, "job_id").join(weights.select("skill_id", "w"), "skill_id")
         .join(owned, ["instance_id", "skill_id"], "left")

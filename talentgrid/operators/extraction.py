@@ -53,28 +53,34 @@ def longest_matches(
 ) -> DataFrame:
     """Longest dictionary matches per owner, scanned left to right: (owner, pos, n, span, value).
 
-    `dictionary(key, value)`; `key` turns a word into its lookup form. Each word leaves its row with the next few words
-    only, windows whose first word starts no entry are dropped before longer keys are built, and a dictionary of proven
-    size is broadcast, so only real matches are shuffled.
+    `dictionary(key, value)` holds single-blank keys of at most `max_words` words; `key` turns a word into its lookup form.
+    Each word leaves its row with the next few words only. A position goes on when its word is an entry or its first two
+    words start one, and only those positions build longer keys. Dictionaries of proven size are broadcast, so only real
+    matches are shuffled.
     """
-    entries = broadcast_if_small(dictionary.select(F.col("key"), F.col("value")))
-    firsts = broadcast_if_small(dictionary.select(F.split("key", " ")[0].alias("first")).distinct())
+    sized = dictionary.withColumn("_words", F.split("key", " "))
+    one = broadcast_if_small(sized.filter(F.size("_words") == 1).select(F.col("key").alias("w1"), F.col("value").alias("v1")))
+    longer = sized.filter(F.size("_words") > 1)
+    starts = broadcast_if_small(longer.select(F.array_join(F.slice("_words", 1, 2), " ").alias("w2")).distinct().withColumn("opens", F.lit(True)))
+    entries = broadcast_if_small(longer.select("key", "value"))
     windows = rows.select(owner, F.posexplode(tx.bind(words, lambda w: F.transform(
         w, lambda _, i: F.slice(w, i + 1, F.lit(max_words))))).alias("pos", "window"))
-    opened = windows.withColumn("keys", F.transform("window", key)).withColumn("first", F.split(F.col("keys")[0], " ")[0]).join(
-        firsts, "first", "left_semi")
-    grams = opened.select(owner, "pos", F.explode(F.transform(F.sequence(F.lit(1), F.size("keys")), lambda n: F.struct(
-        n.alias("n"), F.array_join(F.slice("keys", F.lit(1), n), " ").alias("key"),
-        F.array_join(F.slice("window", F.lit(1), n), " ").alias("span")))).alias("g")).select(owner, "pos", "g.*")
-    usable = ~((F.col("n") == 1) & (F.length("key") <= 2) & ~F.col("key").isin(SHORT_NAMES)) if max_words == MAX_WORDS else F.lit(True)
-    hits = grams.filter(usable).join(entries, "key").groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(
+    placed = windows.withColumn("w1", key(F.col("window")[0])).withColumn(
+        "w2", F.concat_ws(" ", "w1", key(F.get("window", F.lit(1))))).join(one, "w1", "left").join(starts, "w2", "left").filter(
+        F.col("v1").isNotNull() | F.col("opens")).select(owner, "pos", "window", "w1", "v1", "opens")
+    usable = ~((F.length("w1") <= 2) & ~F.col("w1").isin(SHORT_NAMES)) if max_words == MAX_WORDS else F.lit(True)
+    single = placed.filter(F.col("v1").isNotNull() & usable).select(
+        owner, "pos", F.lit(1).alias("n"), F.col("window")[0].alias("span"), F.col("v1").alias("value"))
+    grams = placed.filter(F.col("opens") & (F.size("window") > 1)).select(owner, "pos", F.explode(F.transform(
+        F.sequence(F.lit(2), F.size("window")), lambda n: F.slice("window", F.lit(1), n))).alias("gram"))
+    several = grams.withColumn("key", F.array_join(F.transform("gram", key), " ")).join(entries, "key").select(
+        owner, "pos", F.size("gram").alias("n"), F.array_join("gram", " ").alias("span"), "value")
+    hits = single.unionByName(several).groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(
         "pos", (-F.col("n")).alias("_order"), "n", "span", "value"))).alias("m"))
     scanned = hits.withColumn("keep", keeps_from_left(
         F.transform("m", lambda x: x["pos"]), F.transform("m", lambda x: x["n"])))
-    kept = scanned.select(owner, F.inline(F.filter(F.transform("m", lambda x, i: F.struct(
-        x["pos"].alias("pos"), x["n"].alias("n"), x["span"].alias("span"), x["value"].alias("value"), F.col("keep")[i].alias("k"))),
-        lambda x: x["k"])))
-    return kept.drop("k")
+    return scanned.select(owner, F.explode(F.arrays_zip("m", "keep")).alias("z")).filter("z.keep").select(
+        owner, "z.m.pos", "z.m.n", "z.m.span", "z.m.value")
 
 
 def tag_documents(documents: DataFrame, dictionary: DataFrame) -> DataFrame:

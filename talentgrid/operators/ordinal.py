@@ -11,6 +11,7 @@ from talentgrid.functions import numeric as num
 from talentgrid.functions import text as tx
 from talentgrid.functions.distributed import average_ranks, best_per_group, exact_quantiles, item_pairs, order_statistic
 from talentgrid.operators.grouping import connected_groups
+from talentgrid.session import cut
 
 # Pay bands in order and the years that split experience slices.
 BANDS = ["0to3", "3to6", "6to10", "10to15", "15to25", "25to50"]
@@ -65,7 +66,8 @@ def prepare_bands(raw: DataFrame, id_column: str = "s_no") -> DataFrame:
         "feature_signature": F.sha2(F.concat_ws("|", *joined), 256),
         "near_signature": F.sha2(F.concat_ws("|", title, F.array_join("skills", "|"), tx.normal(F.col("location"))), 256),
     })
-    grouped = connected_groups(out, "row_key", [["feature_signature"], ["near_signature"]])
+    # Grouping reads the rows twice: once for the key graph, once to attach the group.
+    grouped = connected_groups(cut(out), "row_key", [["feature_signature"], ["near_signature"]])
     bucket = num.hash_bucket(F.col("group_id"), "bands:", 10000)
     return grouped.withColumn("split", num.named_split(bucket, num.BAND_SPLIT))
 

@@ -1,9 +1,9 @@
 """Scoring of postings and skills for tables of profiles.
 
 Every scorer takes `queries(query_id, skill_id)` and `edges(job_id, skill_id)`, both distinct, and returns only pairs that
-share a skill; a missing pair scores 0. `edges` should be partitioned by job_id, which the groupings then reuse. Joins on
-skill_id carry no broadcast hint: the small side is broadcast when its measured size allows, and a very common skill is
-split by the adaptive skew join otherwise.
+share a skill; a missing pair scores 0. `edges` should be partitioned by job_id: skill statistics and profiles of proven
+size are broadcast to them, and the groupings then reuse that partitioning without another shuffle. Beyond the size bound
+the joins on skill_id shuffle instead, with very common skills split by the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions.distributed import best_per_group, item_pairs
 from talentgrid.functions.vectors import nearest, unit
-from talentgrid.session import cut
+from talentgrid.session import broadcast_if_small, cut
 
 WEIGHT_SCALE = 1000
 
@@ -24,7 +24,7 @@ def skill_statistics(edges: DataFrame) -> DataFrame:
     """Per skill: postings listing it (df), all postings (n), idf, inverse log degree and the integer weight w."""
     n = edges.agg(F.countDistinct("job_id").alias("n"))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    return (
+    return broadcast_if_small(
         edges.groupBy("skill_id").agg(F.count(F.lit(1)).alias("df")).withColumn("n", n.scalar())
         .withColumns({
             "idf": idf, "inv": 1 / F.log(2.0 + F.col("df")),
@@ -57,30 +57,30 @@ def popularity_of_postings(postings: DataFrame) -> DataFrame:
         "job_id", F.when(F.col("occupation").isNull(), 0).otherwise(F.coalesce("demand", F.lit(0))).alias("score"))
 
 
+def query_terms(queries: DataFrame, stats: DataFrame, weight: str) -> DataFrame:
+    """Weight of every skill of every profile, broadcast when the table is small."""
+    return broadcast_if_small(queries.join(stats.select("skill_id", weight), "skill_id"))
+
+
 def tfidf_cosine(queries: DataFrame, edges: DataFrame, stats: DataFrame) -> DataFrame:
-    weighted = edges.join(stats.select("skill_id", "idf"), "skill_id")
-    norms = weighted.groupBy("job_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    query_weights = queries.join(stats.select("skill_id", "idf"), "skill_id")
-    query_norms = query_weights.groupBy("query_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("qnorm"))
-    dots = (
-        edges.join(query_weights.withColumn("term", F.col("idf") * F.col("idf")), "skill_id")
-        .groupBy("query_id", "job_id").agg(F.sum("term").alias("dot"))
-    )
-    return dots.join(norms, "job_id").join(query_norms, "query_id").select(
+    square = F.col("idf") * F.col("idf")
+    terms = query_terms(queries, stats, "idf")
+    lengths = terms.groupBy("query_id").agg(F.sqrt(F.sum(square)).alias("qnorm"))
+    weighted = broadcast_if_small(terms.join(lengths, "query_id").select("query_id", "skill_id", square.alias("term"), "qnorm"))
+    norms = edges.join(stats.select("skill_id", "idf"), "skill_id").groupBy("job_id").agg(F.sqrt(F.sum(square)).alias("norm"))
+    dots = edges.join(weighted, "skill_id").groupBy("query_id", "job_id").agg(F.sum("term").alias("dot"), F.max("qnorm").alias("qnorm"))
+    return dots.join(norms, "job_id").select(
         "query_id", "job_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
 
 
 def adamic_adar(queries: DataFrame, edges: DataFrame, stats: DataFrame) -> DataFrame:
-    weights = queries.join(stats.select("skill_id", "inv"), "skill_id")
-    return edges.join(weights, "skill_id").groupBy("query_id", "job_id").agg(F.sum("inv").alias("score"))
+    return edges.join(query_terms(queries, stats, "inv"), "skill_id").groupBy("query_id", "job_id").agg(F.sum("inv").alias("score"))
 
 
 def coverage_fit(queries: DataFrame, edges: DataFrame, stats: DataFrame, tau_pct: int = 60) -> DataFrame:
     """Integer covered and total weight of each posting that shares a skill, its fit, and eligibility at `tau_pct`."""
-    weighted = edges.join(stats.select("skill_id", "w"), "skill_id")
-    totals = weighted.groupBy("job_id").agg(F.sum("w").alias("total"))
-    covered = edges.join(queries.join(stats.select("skill_id", "w"), "skill_id"), "skill_id").groupBy(
-        "query_id", "job_id").agg(F.sum("w").alias("covered"))
+    totals = edges.join(stats.select("skill_id", "w"), "skill_id").groupBy("job_id").agg(F.sum("w").alias("total"))
+    covered = edges.join(query_terms(queries, stats, "w"), "skill_id").groupBy("query_id", "job_id").agg(F.sum("w").alias("covered"))
     return covered.join(totals, "job_id").select(
         "query_id", "job_id", "covered", "total", (F.col("covered") / F.col("total")).alias("fit"),
         (100 * F.col("covered") >= tau_pct * F.col("total")).alias("eligible"))
@@ -183,7 +183,7 @@ def rank_candidates(requests: DataFrame, candidates: DataFrame, stats: DataFrame
     `requests(query_id, skill_id)`, `candidates(candidate_id, skill_id)`. Candidates without a requested skill are left
     out; their coverage is 0.
     """
-    wanted = requests.join(stats.select("skill_id", "w"), "skill_id")
+    wanted = query_terms(requests, stats, "w")
     totals = wanted.groupBy("query_id").agg(F.sum("w").alias("total"))
     sizes = candidates.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_skills"))
     covered = candidates.join(wanted, "skill_id").groupBy("query_id", "candidate_id").agg(F.sum("w").alias("covered"))

@@ -5,10 +5,14 @@ Another deployment replaces this module with its own readers; the operators only
 
 from __future__ import annotations
 
+from functools import cached_property
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.functions.distributed import best_per_group, item_sets
+from talentgrid.functions.distributed import best_per_group
+from talentgrid.session import cut
 
 PROFILE_SIZE = 8
 
@@ -101,17 +105,17 @@ class Bound:
             )
         )
 
-    @property
+    @cached_property
     def job_skill(self) -> DataFrame:
-        """Distinct posting-skill edges.
+        """Distinct posting-skill edges, kept for the query that uses them several times.
 
-        Sets are merged map-side and shuffled once by posting; the exploded edges stay partitioned by posting, so later
-        groupings and joins that include job_id need no further shuffle.
+        Repeats are dropped map-side first, so a posting with very many lines arrives as its distinct skills; the edges
+        then stay partitioned by posting and later groupings and joins that include job_id need no further shuffle.
         """
         line, part = self.raw("lineitem"), self.raw("part")
         edges = line.join(part, line.l_partkey == part.p_partkey).select(
             F.col("l_orderkey").alias("job_id"), F.concat_ws("|", "p_brand", "p_type").alias("skill_id"))
-        return item_sets(edges, "job_id", "skill_id").select("job_id", F.explode("items").alias("skill_id"))
+        return edges.distinct().repartition("job_id").persist(StorageLevel.MEMORY_AND_DISK)
 
     @property
     def job_tag(self) -> DataFrame:
@@ -130,10 +134,10 @@ class Bound:
             F.col("p_brand").alias("skill_group"),
         ).distinct()
 
-    @property
+    @cached_property
     def occupation_demand(self) -> DataFrame:
-        """Postings per (occupation, skill)."""
-        return (
+        """Postings per (occupation, skill); a small table of the taxonomy's size, written once per query."""
+        return cut(
             self.postings.select("job_id", "occupation").join(self.job_skill, "job_id")
             .groupBy("occupation", "skill_id").agg(F.count(F.lit(1)).alias("postings"))
         )
