@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions import numeric as num
 from talentgrid.functions import text as tx
-from talentgrid.functions.distributed import average_ranks, best_per_group, exact_quantiles, item_pairs, order_statistic
+from talentgrid.functions.distributed import average_ranks, exact_quantiles, item_pairs, order_statistic
 from talentgrid.operators.grouping import connected_groups
 from talentgrid.session import cut
 
@@ -478,7 +478,3 @@ def partition_audit(prepared: DataFrame) -> DataFrame:
         F.count_if("quality_flag").alias("quality_flagged"),
         *[F.count_if(F.col("split") == s).alias(f"rows_{s}") for s, _ in num.BAND_SPLIT])
     return row.unpivot([], row.columns, "measure", "n")
-
-
-def best_rules_first(rules: DataFrame, k: int) -> DataFrame:
-    return best_per_group(rules, ["family"], [F.desc(F.round("lift", 9)), F.asc("antecedent"), F.asc("consequent")], k)
