@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, radix, tokens
+from talentgrid.llm import bpe, pages, quality, radix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,21 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY k ORDER BY length(t) DESC,
 FROM n""")
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return radix.exact_groups(table(spark, folder, "documents"))
+
+
+def held_out(doc_id: str) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+@query()
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"), ~held_out("doc_id"))
+    return quality.scored(docs, model).select(
+        "doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = pages.main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_content")
