@@ -22,7 +22,7 @@ from pyspark.sql.types import BinaryType
 from talentgrid.llm.pieces import Known, units
 from talentgrid.llm.tokens import byte_letters
 
-SLICE_ROWS = 512
+SLICE_ROWS = 256
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -95,8 +95,9 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of `docs`: doc_id, the columns of `keep`, ids (array<int>).
+def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+            decode: bool = False) -> DataFrame:
+    """One row per row of `docs`: doc_id, the columns of `keep`, ids (array<int>) and, with `decode`, the bytes they decode to.
 
     A null text counts as empty and gives no ids; special tokens are not known, their strings are ordinary text. Repeated
     rows give equal rows, an empty table an empty result; other columns are not read. `path` must be readable on every
@@ -104,16 +105,19 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
     kinds = dict(source.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", ids array<int>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", ids array<int>" + ", decoded binary" * decode
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                ids = coder(path, pattern).encode([t or "" for t in part.column(1).to_pylist()])
+                ids = own.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], lists], ["doc_id", *keep, "ids"])
+                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+                if decode:
+                    made.append(pa.array([own.decode(i.tolist()) for i in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *made], ["doc_id", *keep, "ids", "decoded"][: 2 + len(keep) + decode])
 
     return source.mapInArrow(encode, schema)
 

@@ -7,7 +7,7 @@ from itertools import islice
 
 import regex
 
-CACHED_UNITS = 400_000
+CACHED_UNITS = 200_000
 LONGEST_CACHED = 64
 
 _MIXED = regex.compile(r" \s|\s |^ | $").search
