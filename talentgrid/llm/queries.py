@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, neardup, pages, quality, radix, tokens
+from talentgrid.llm import bpe, lines, neardup, pages, quality, radix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,26 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
     found = pages.main_text(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_content")
+
+
+@query("""
+WITH RECURSIVE l AS (
+  SELECT doc_id, i - 1 AS line_no, trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS u(i)),
+d AS (SELECT line, row_number() OVER (ORDER BY line) AS node FROM (SELECT DISTINCT line FROM l WHERE line <> '')),
+w AS (
+  SELECT node, list_distinct(list_transform(list_filter(range(1, length(line) + 1), lambda i: NOT regexp_matches(substr(line, i, 1), '[ \\t\\n\\f\\r\\x0B]')
+    AND (i = 1 OR NOT regexp_matches(substr(line, i - 1, 1), '[\\p{Ll}\\p{Lu}]')
+      OR i > 8 AND regexp_full_match(substr(line, i - 8, 8), '[\\p{Ll}\\p{Lu}]{8}'))), lambda i: substr(line, i, 10))) AS ws FROM d),
+e AS (SELECT node, len(ws) AS n, unnest(ws) AS g FROM w),
+p AS (
+  SELECT a.node AS x, b.node AS y FROM e a JOIN e b ON a.g = b.g AND a.node <> b.node AND 100 * b.n >= 80 * a.n AND 100 * a.n >= 80 * b.n
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT node, node AS root FROM d UNION SELECT p.y, r.root FROM r JOIN p ON p.x = r.node AND r.root < p.y),
+c AS (SELECT line, min(root) AS root FROM r JOIN d USING (node) GROUP BY line),
+k AS (SELECT *, coalesce(root, -row_number() OVER (ORDER BY doc_id, line_no)) AS part FROM l LEFT JOIN c USING (line))
+SELECT doc_id, line_no, first_value(doc_id) OVER g AS keep_doc_id, first_value(line_no) OVER g AS keep_line_no,
+  count(*) OVER (PARTITION BY part) AS copies, row_number() OVER g = 1 AS kept
+FROM k WINDOW g AS (PARTITION BY part ORDER BY doc_id, line_no)""")
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_groups(table(spark, folder, "documents"))
