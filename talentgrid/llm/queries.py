@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, lines, neardup, pages, quality, radix, tokens
+from talentgrid.llm import bpe, caps, lines, neardup, pages, quality, radix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,19 @@ SELECT doc_id, line_no, first_value(doc_id) OVER g AS keep_doc_id, first_value(l
 FROM k WINDOW g AS (PARTITION BY part ORDER BY doc_id, line_no)""")
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_groups(table(spark, folder, "documents"))
+
+
+@query("""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.98),
+r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT p.y, r.root FROM r JOIN p ON p.x = r.vec_id AND r.root < p.y),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id),
+d AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c USING (vec_id) LEFT JOIN d ON d.x = e.vec_id""")
+def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.near_vectors(table(spark, folder, "embeddings"), cosine=0.98)
