@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, caps, lines, neardup, pages, quality, radix, tokens
+from talentgrid.llm import bpe, caps, lines, neardup, pages, passages, quality, radix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,9 @@ SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = compo
 FROM embeddings e JOIN c USING (vec_id) LEFT JOIN d ON d.x = e.vec_id""")
 def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return caps.near_vectors(table(spark, folder, "embeddings"), cosine=0.98)
+
+
+@query()
+def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, folder, "documents"))
+    return found.select("doc_id", "start_word", "end_word", "n_words", F.sha2("passage", 256).alias("passage_sha256"))
