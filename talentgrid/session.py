@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,8 @@ def local_session(name: str = "talentgrid", cores: str = "*", shuffle_partitions
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the session's reliable checkpoint folder and continue from the written copy."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A new folder name under the folder of spark.checkpoint.dir, which all executors reach; set here only where it is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the session's reliable checkpoint folder and continue from the written copy."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
