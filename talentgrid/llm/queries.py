@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, caps, lines, neardup, pages, passages, quality, radix, tokens
+from talentgrid.llm import bpe, caps, lines, mixing, neardup, pages, passages, quality, radix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,47 @@ def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     found = passages.repeated_passages(table(spark, folder, "documents"))
     return found.select("doc_id", "start_word", "end_word", "n_words", F.sha2("passage", 256).alias("passage_sha256"))
+
+
+DOMAINS = ["web", "books", "code", "forum"]
+WEIGHTS = {("web",): 0.5, ("books",): 0.2, ("code",): 0.2, ("forum",): 0.1} | {
+    (d, lang): w for d in DOMAINS for lang, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))}
+
+
+def tree() -> dict[str, Column]:
+    """The tables name no domains: sources are dealt to them by their number."""
+    number = F.coalesce(F.regexp_extract("source", r"(\d+)$", 1).try_cast("long"), F.lit(0))
+    return {"domain": F.element_at(F.array(*map(F.lit, DOMAINS)), (number % 4 + 1).cast("int")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def _level(name: str, keys: str, above: str, weight: str) -> str:
+    """SQL of one level's shares: children up to the highest filled one are full, the others share the rest by weight."""
+    up = keys.rpartition(", ")[0]
+    by = f"PARTITION BY {up} " if up else ""
+    join = f"JOIN {above} USING ({up})" if up else f", {above}"
+    return f"""
+{name}0 AS (SELECT {keys}, sum(tokens) * 3.0::DOUBLE AS room, {weight} AS w FROM leaf GROUP BY {keys}),
+{name}1 AS (SELECT {name}0.*, budget AS b, sum(room) OVER ({by}ORDER BY room / w RANGE UNBOUNDED PRECEDING) AS r,
+  sum(w) OVER ({by}) - sum(w) OVER ({by}ORDER BY room / w RANGE UNBOUNDED PRECEDING) AS v FROM {name}0 {join}),
+{name}2 AS (SELECT *, r + room / w * v <= b * (1 + 1e-12) AS full_ FROM {name}1),
+{name} AS (SELECT {keys}, CASE WHEN full_ THEN room ELSE w * (b - coalesce(sum(room) FILTER (full_) OVER ({by}), 0))
+  / sum(w) FILTER (NOT full_) OVER ({by}) END AS budget FROM {name}2)"""
+
+
+@query(f"""
+WITH base AS (
+  SELECT doc_id, ['web', 'books', 'code', 'forum'][1 + coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % 4] AS domain,
+    coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM base GROUP BY ALL),
+top AS (SELECT sum(tokens) * 0.6::DOUBLE AS budget FROM leaf),
+{_level("d", "domain", "top", "CASE domain WHEN 'web' THEN 0.5 WHEN 'forum' THEN 0.1 ELSE 0.2 END::DOUBLE")},
+{_level("g", "domain, lang", "d", "CASE WHEN lang = 'en' THEN 0.55 WHEN lang IN ('de', 'fr', 'es') THEN 0.15 ELSE 1 END::DOUBLE")},
+{_level("s", "domain, lang, source", "g", "1.0::DOUBLE")},
+t AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(budget / tokens + 1e-12) AS BIGINT) ELSE 0 END AS epochs FROM leaf JOIN s USING (domain, lang, source)),
+o AS (SELECT base.*, epochs, CAST(floor(budget + 1e-6) AS BIGINT) - epochs * tokens AS rest, sum(n_tokens) OVER (
+    PARTITION BY domain, lang, source ORDER BY md5('7|' || epochs || '|' || doc_id), n_tokens ROWS UNBOUNDED PRECEDING) AS taken
+  FROM base JOIN t USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, epochs + CAST(taken <= rest AS BIGINT) AS copies FROM o""")
+def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), tree(), WEIGHTS, share=0.6, max_epochs=3, seed=7)
