@@ -83,10 +83,10 @@ class Coder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [units(t) for t in texts]
         known = self.known.of(split)
-        return [np.frombuffer(b"".join([known(u) for u in own]), np.int32) for own in split]
+        return [np.frombuffer(b"".join(map(known, own)), np.int32) for own in split]
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 @cache

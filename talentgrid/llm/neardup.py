@@ -4,7 +4,7 @@ A document's set of word shingles is hashed into buckets; of each bucket's small
 leading zeros and some bits after them. Bands of registers, empty ones filled from others, select candidates; the
 collision-corrected estimate from the registers discards hopeless ones; links are confirmed on the full sets.
 
-Documents of equal sets collapse first. In each band bucket every document meets the smallest one; buckets whose members
+Documents of equal sets collapse first. In each band bucket every document meets the one that shares most with others; buckets whose members
 then belong to several components meet once more across those components, so no pair that shares a band is left out and
 a group of n near copies costs about n confirmations.
 """
@@ -26,7 +26,8 @@ from talentgrid.session import broadcast_if_small, cut
 BANDS, ROWS = 40, 5  # of a pair with similarity 0.8, one in seven million shares no band
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-DEVIATIONS = 6  # an estimate this many standard deviations under the threshold is hopeless
+DEVIATIONS = 5  # an estimate this many standard deviations under the threshold is hopeless
+MAP_BITS = 2048  # of the map that bounds how much two sets can share
 SLICE_ROWS = 256
 U = np.uint64
 
@@ -87,6 +88,13 @@ def registers_of(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def bit_map(hashes: np.ndarray) -> np.ndarray:
+    """MAP_BITS bits, of which each shingle sets one. A bit that only one of two sets has is a shingle that only it has."""
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[(_mix(hashes ^ U(0xA0761D6478BD642F)) % U(MAP_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits)
+
+
 def filled(registers: np.ndarray) -> np.ndarray:
     """Registers whose empty buckets repeat the first full one in an order of their own, equal for all documents."""
     out = registers.copy()
@@ -119,7 +127,7 @@ def estimated(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarr
 
 
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, mark (128-bit digest of the whole set) and registers of each row of `docs`."""
+    """doc_id, n_shingles, mark (128-bit digest of the whole set), registers and bit map of each row of `docs`."""
     kind = dict(docs.dtypes)[id_col]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +138,15 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(map(len, sets), pa.int64()),
                      pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                     pa.array([registers_of(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n_shingles", "mark", "registers"])
+                     pa.array([registers_of(s).tobytes() for s in sets], pa.binary()), pa.array([bit_map(s).tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "n_shingles", "mark", "registers", "map"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        sketch, f"doc_id {kind}, n_shingles long, mark binary, registers binary")
+        sketch, f"doc_id {kind}, n_shingles long, mark binary, registers binary, map binary")
 
 
 def _with_bands(nodes: DataFrame) -> DataFrame:
-    """`nodes` (node, size, registers) with band keys and the lowest bit of each filled register, packed."""
+    """`nodes` (node, size, registers, map) with band keys, the lowest bit of each filled register, packed, and the map as numbers."""
     kind = dict(nodes.dtypes)["node"]
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +159,11 @@ def _with_bands(nodes: DataFrame) -> DataFrame:
             bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.int64)
             lists = lambda rows: pa.ListArray.from_arrays(
                 pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists(band_keys(full)), lists(bits)], [*batch.schema.names, "bands", "bits"])
+            maps = np.stack([np.frombuffer(m, np.int64) for m in batch.column(3).to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], lists(band_keys(full)), lists(bits), lists(maps)], ["node", "size", "registers", "bands", "bits", "map"])
 
-    return nodes.mapInArrow(band, f"node {kind}, size long, registers binary, bands array<long>, bits array<long>")
+    return nodes.mapInArrow(band, f"node {kind}, size long, registers binary, bands array<long>, bits array<long>, map array<long>")
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -197,6 +208,13 @@ def _differing(left: str, right: str) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
 
 
+def _most_shared(left: str, right: str, size_left: str, size_right: str) -> Column:
+    """A bound on how many shingles two sets share: neither has more than its size less its bits that the other lacks."""
+    ones = lambda c: F.aggregate(c, F.lit(0), lambda total, x: total + F.bit_count(x))
+    both = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, x: total + x)
+    return F.least(F.col(size_left) - ones(left) + both, F.col(size_right) - ones(right) + both)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
@@ -210,29 +228,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col:
     sketched = cut(sketches(rows, width, "doc_id", "text"))
     classes = (
         sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("mark")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("registers").alias("registers")))
-    marks = cut(classes.select("mark", "node", "size", "registers"))
-    nodes = cut(_with_bands(marks.select("node", "size", "registers")))
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("registers").alias("registers"), F.first("map").alias("map")))
+    marks = cut(classes)
+    nodes = cut(_with_bands(marks.select("node", "size", "registers", "map")))
     members = nodes.select("node", F.explode("bands").alias("key"))
-    shared = cut(members.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b"))
-    star = cut(members.join(shared, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    shared = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    held = cut(members.join(shared, "key"))
+    # The one that shares most, as the original of edited copies does, is met by all others of a bucket.
+    known = held.join(held.groupBy("node").agg(F.sum("n").alias("fame")), "node")
+    leaders = cut(known.groupBy("key").agg(F.max_by("node", F.struct("fame", (-F.col("node")).alias("low"))).alias("leader")))
+    star = cut(
+        held.join(leaders, "key").filter("node <> leader")
+        .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
     links = _confirmed(_plausible(star, nodes, similarity), rows, width, per_cent)
     roots = components(links)
 
     # Buckets that hold several components: each member outside the largest one meets all members of the others.
-    placed = nodes.join(roots.select("node", "root"), "node", "left").select(
-        "node", "size", "bits", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("key"))
-    held = placed.join(shared.select("key"), "key")
+    placed = held.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = cut(
-        held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+        placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
         .agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "major"))
-    apart = cut(held.join(mixed, "key").select("key", "node", "size", "bits", "root", "major"))
+    apart = cut(placed.join(mixed, "key").join(nodes.select("node", "size", "bits", "map"), "node"))
     left, right = apart.filter("root <> major").alias("l"), apart.alias("r")
     most = F.lit(REGISTERS * (1 - similarity) / 2 + DEVIATIONS * (REGISTERS * (1 - similarity) / 2) ** 0.5)
     meets = (
         (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root"))
         & ((F.col("r.root") == F.col("r.major")) | (F.col("l.node") < F.col("r.node")))
         & (F.least("l.size", "r.size") >= F.lit(similarity) * F.greatest("l.size", "r.size")) & (_differing("l.bits", "r.bits") <= most))
+    shared_most = _most_shared("l.map", "r.map", "l.size", "r.size")
+    meets = meets & (100 * shared_most >= per_cent * (F.col("l.size") + F.col("r.size") - shared_most))
     across = left.join(right, meets).select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct()
     more = _confirmed(_plausible(across.join(star, ["a", "b"], "left_anti"), nodes, similarity), rows, width, per_cent)
     if not more.isEmpty():
