@@ -1,8 +1,8 @@
-"""Order statistics, running totals and item pairs that never put one whole group in one task.
+"""Order statistics, running totals, dense numbers and item pairs that never put one whole group in one task.
 
-A key may hold a third of all rows. Everything here first collapses rows to (key, value, count) with map-side
-combining, then cuts each key into ordered buckets whose number does not grow with the data, so that a window only ever
-sees the short list of buckets of a key or the rows of one bucket.
+A key may hold a third of all rows, and its values may share a prefix or lie in a narrow range. Everything here first
+collapses rows to (key, value, count) with map-side combining, then sorts them into ranges of about equal size, whose
+bounds Spark samples from the data. A window only ever sees the short list of ranges of a key or the rows of one range.
 """
 
 from __future__ import annotations
@@ -12,43 +12,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentgrid.session import cut
 
-def number_bucket(value: str) -> Column:
-    """Monotone coarse bucket of a number: about 1 % relative width, at most ~130K buckets over all doubles."""
-    v = F.col(value).cast("double")
-    return F.floor(F.signum(v) * F.log2(1 + F.abs(v)) * 64).cast("long")
 
-
-def text_bucket(value: str, width: int = 3) -> Column:
-    """Monotone coarse bucket of a string: its leading characters."""
-    return F.substring(F.col(value), 1, width)
-
-
-def _collapse(df: DataFrame, keys: Sequence[str], value: str, weight: str | None, bucket: Column | None) -> DataFrame:
+def _collapse(df: DataFrame, keys: Sequence[str], value: str, weight: str | None) -> DataFrame:
+    """(keys, value, n) with the number of the range that each row fell into, written out since ranges are drawn once."""
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.groupBy(*keys, value).agg(amount.alias("n"))
-    return counts.withColumn("_bucket", number_bucket(value) if bucket is None else bucket)
+    return cut(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
 
 
-def _bucket_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _range_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     per_key = Window.partitionBy(*keys)
-    earlier = per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = per_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        counts.groupBy(*keys, "_bucket")
-        .agg(F.sum("n").alias("_in_bucket"))
+        counts.groupBy(*keys, "_range")
+        .agg(F.sum("n").alias("_in_range"))
         .select(
             *keys,
-            "_bucket",
-            "_in_bucket",
-            F.coalesce(F.sum("_in_bucket").over(earlier), F.lit(0)).alias("_offset"),
-            F.sum("_in_bucket").over(per_key).alias("total"),
+            "_range",
+            "_in_range",
+            F.coalesce(F.sum("_in_range").over(earlier), F.lit(0)).alias("_offset"),
+            F.sum("_in_range").over(per_key).alias("total"),
         )
     )
 
 
 def _join_offsets(counts: DataFrame, offsets: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    within = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.join(offsets, [*keys, "_bucket"]).select(
+    within = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.join(offsets, [*keys, "_range"]).select(
         *keys,
         value,
         "n",
@@ -57,19 +49,26 @@ def _join_offsets(counts: DataFrame, offsets: DataFrame, keys: Sequence[str], va
     )
 
 
-def cumulative(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    weight: str | None = None,
-    bucket: Column | None = None,
-) -> DataFrame:
+def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """One row per (keys, value): its weight `n`, the weight `before` it among smaller values, and the key's `total`.
 
     Keys and value must not be null.
     """
-    counts = _collapse(df, keys, value, weight, bucket)
-    return _join_offsets(counts, _bucket_offsets(counts, keys), keys, value)
+    counts = _collapse(df, keys, value, weight)
+    return _join_offsets(counts, _range_offsets(counts, keys), keys, value)
+
+
+def dense_numbers(df: DataFrame, value: str, name: str, limit: int | None = None) -> DataFrame:
+    """Distinct values with numbers 0, 1, 2 ... in an order of their own; raises if there are more than `limit`."""
+    numbered = cut(df.select(value).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    # One row per partition of the data.
+    starts = sizes.withColumn("_start", F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    if limit is not None and numbered.count() > limit:
+        raise ValueError(f"more than {limit} values of {value}")
+    return numbered.withColumn("_part", part).join(F.broadcast(starts), "_part").select(
+        value, (F.coalesce("_start", F.lit(0)) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def exact_quantiles(
@@ -77,9 +76,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, one column per entry of `probs`; nulls in `value` are ignored.
 
-    Only the buckets that hold a wanted rank are ranked row by row.
+    Only the ranges that hold a wanted rank are ranked row by row.
     """
-    counts = _collapse(df.filter(F.col(value).isNotNull()), keys, value, weight, None)
+    counts = _collapse(df.filter(F.col(value).isNotNull()), keys, value, weight)
 
     def rank(p: float) -> Column:
         return F.lit(float(p)) * (F.col("total") - 1)
@@ -87,11 +86,11 @@ def exact_quantiles(
     def holds(start: Column, size: Column, position: Column) -> Column:
         return (start <= position) & (position < start + size)
 
-    wanted_bucket = F.lit(False)
+    wanted = F.lit(False)
     for p in probs.values():
         for end in (F.floor(rank(p)), F.ceil(rank(p))):
-            wanted_bucket = wanted_bucket | holds(F.col("_offset"), F.col("_in_bucket"), end)
-    offsets = _bucket_offsets(counts, keys).filter(wanted_bucket)
+            wanted = wanted | holds(F.col("_offset"), F.col("_in_range"), end)
+    offsets = _range_offsets(counts, keys).filter(wanted)
     ranked = _join_offsets(counts, offsets, keys, value)
     picks = []
     for name, p in probs.items():
@@ -135,17 +134,18 @@ def item_sets(edges: DataFrame, owner: str, item: str, extra: Sequence[str] = ()
 def item_pairs(sets: DataFrame, keep: Sequence[str] = (), slice_size: int = 256) -> DataFrame:
     """Unordered item pairs (a < b) of every set row, without a self-join.
 
-    A long set is first cut into slices of `slice_size` left items that are spread over tasks, so the work of one long
+    A long set is first cut into pairs of slices of `slice_size` items that are dealt out to tasks, so the work of one long
     set is shared. Filter the sets to frequent items first where the operator has a support threshold.
     """
     n = F.size("items")
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(slice_size))
-    sliced = sets.filter(n > 1).withColumn("_start", F.explode(starts))
-    left = sliced.select(
-        *keep,
-        "items",
-        F.posexplode(F.slice("items", F.col("_start") + 1, F.lit(slice_size))).alias("_pos", "a"),
-        "_start",
-    )
-    tail = F.slice("items", F.col("_start") + F.col("_pos") + 2, F.size("items"))
+    first = sets.filter(n > 1).select(*keep, "items", F.explode(starts).alias("_start"))
+    # A slice meets what follows it slice by slice, so that no row carries more than two slices and tasks share a long set.
+    cut_set = lambda start: F.slice("items", F.col(start) + 1, F.lit(slice_size))
+    second = first.select(*keep, cut_set("_start").alias("_left"), "_start", "items", F.explode(
+        F.sequence(F.col("_start"), n - 1, F.lit(slice_size))).alias("_next"))
+    spread = second.select(*keep, "_left", cut_set("_next").alias("_right"), (F.col("_start") == F.col("_next")).alias("_same"))
+    spread = spread.repartition(F.xxhash64("_left", "_right"))
+    left = spread.select(*keep, "_right", "_same", F.posexplode("_left").alias("_pos", "a"))
+    tail = F.when(F.col("_same"), F.slice("_right", F.col("_pos") + 2, F.size("_right"))).otherwise(F.col("_right"))
     return left.select(*keep, "a", F.explode(tail).alias("b"))

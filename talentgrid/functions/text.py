@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,9 +68,28 @@ ROMAN_HINDI = [
 ]
 
 # List punctuation and joining words that end a phrase.
-PHRASE_BREAKS = r"[\n\r;,•·●▪◦|/।॥]+|\s+-\s+|(?<!\S)(?:और|ਅਤੇ|[aA][nN][dD]|[aA][uU][rR])(?!\S)"
+PHRASE_BREAKS = r"[\n\r;,•·●▪◦|/।॥]+|\s+-\s+|(?<!\S)(?:और|ਅਤੇ|(?i:and|aur))(?!\S)"
 PHRASE_EDGE = " .:()[]{}\"'।॥"
 
+# Bracketed parts, unwanted characters, dotted ranks and edge characters of titles.
+TITLE_BRACKETS = r"[\(\[][^\)\]]*[\)\]]"
+TITLE_OTHER = r"[^a-z0-9+#/&\. ]+"
+TITLE_RANKS = r"\b(?:sr|jr)\."
+TITLE_EDGE = " -/.&"
+
+# What separates places, marks hybrid work, and is cut from a place name.
+PLACE_BREAKS = r"[,/;|]| and "
+HYBRID_PREFIX = r"(?i)^\s*hybrid\s*[-:]\s*"
+PLACE_BRACKETS = r"\([^)]*\)"
+
+# Wording that marks clerical work-from-home offers; both must occur.
+CLERICAL_WORDS = "data entry|typing"
+EARNING_WORDS = "earn|present job|freelanc|home based"
+
+# Letters of a script above which a text is in it, and the share of Hindi words that marks romanised Hindi.
+SCRIPT_LETTERS = 5
+ROMAN_SHARE = 0.15
+
 # Words of a text for dictionary tagging (Latin with + # ., Devanagari, Gurmukhi).
 TOKEN_PATTERN = r"([A-Za-z0-9+#.]+|[ऀ-ॿ]+|[਀-੿]+)"
 
@@ -116,45 +136,53 @@ def normalize_title(c: Column) -> Column:
 
 
 def clean_title(c: Column) -> Column:
-    t = F.regexp_replace(F.lower(c), r"[\(\[][^\)\]]*[\)\]]", " ")
+    t = F.regexp_replace(F.lower(c), TITLE_BRACKETS, " ")
     for pattern, text in TITLE_EXPANSIONS:
         t = F.regexp_replace(t, pattern, text)
-    t = F.regexp_replace(t, r"[^a-z0-9+#/&\. ]+", " ")
+    t = F.regexp_replace(t, TITLE_OTHER, " ")
     t = F.regexp_replace(t, r"\b(?:" + "|".join(TITLE_NOISE) + r")\b", " ")
-    t = F.regexp_replace(t, r"\b(?:sr|jr)\.", " ")
-    t = strip_chars(squeeze(t), " -/.&")
+    t = F.regexp_replace(t, TITLE_RANKS, " ")
+    t = strip_chars(squeeze(t), TITLE_EDGE)
     return F.when(F.length(t) > 0, t).otherwise(F.lower(F.trim(c)))
 
 
 def place_norm(c: Column) -> Column:
     """ASCII-folded place key: accents removed, other non-ASCII dropped, letters, digits, blanks and hyphens kept.
 
-    Folding follows the compatibility decomposition of the Latin letters U+00C0..U+017F.
+    Folding follows the compatibility decomposition of every character, so that full-width, ligature and twice-accented
+    letters keep their base letters. Characters that fold to one are translated; the few that fold to several are looked
+    up, in names that hold one.
     """
-    single, double = _latin_fold()
+    single, several = _ascii_folds()
     folded = F.translate(c, "".join(single), "".join(single.values()))
-    for letter, base in double.items():
-        folded = F.regexp_replace(folded, letter, base)
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(folded, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    folded = F.when(folded.rlike("[" + "".join(several) + "]"), spelled).otherwise(folded)
     ascii_only = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
     return F.trim(squeeze(F.regexp_replace(F.lower(ascii_only), r"[^a-z0-9 \-]", " ")))
 
 
-def _latin_fold() -> tuple[dict[str, str], dict[str, str]]:
-    letters = [chr(point) for point in range(0x00C0, 0x0180)]
-    bases = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in letters}
-    return {c: b for c, b in bases.items() if len(b) == 1}, {c: b for c, b in bases.items() if len(b) > 1}
+@cache
+def _ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition has one, or several, ASCII characters."""
+    folds = {}
+    for point in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:
+        base = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode()
+        if base:
+            folds[chr(point)] = base
+    return {c: b for c, b in folds.items() if len(b) == 1}, {c: b for c, b in folds.items() if len(b) > 1}
 
 
 def location_parts(c: Column) -> Column:
     """Array of (token, hybrid, remote) per non-empty part of a location string, in listed order."""
     parts = F.filter(
-        F.transform(F.split(F.coalesce(c, F.lit("")), r"[,/;|]| and "), lambda p: F.trim(p)), lambda p: F.length(p) > 0
+        F.transform(F.split(F.coalesce(c, F.lit("")), PLACE_BREAKS), lambda p: F.trim(p)), lambda p: F.length(p) > 0
     )
 
     def describe(part: Column) -> Column:
-        hybrid = part.rlike(r"(?i)^\s*hybrid\s*[-:]\s*")
-        token = F.regexp_replace(part, r"(?i)^\s*hybrid\s*[-:]\s*", "")
-        token = strip_chars(F.regexp_replace(token, r"\([^)]*\)", " "), " -")
+        hybrid = part.rlike(HYBRID_PREFIX)
+        token = F.regexp_replace(part, HYBRID_PREFIX, "")
+        token = strip_chars(F.regexp_replace(token, PLACE_BRACKETS, " "), " -")
 
         def flagged(t: Column, key: Column) -> Column:
             remote = key.isin(REMOTE_WORDS) | key.startswith("remote")
@@ -225,7 +253,7 @@ def skill_list(c: Column, conservative: bool = True) -> Column:
 
 def quality_flag(text: Column) -> Column:
     """Clerical wording together with work-from-home earning wording."""
-    return text.rlike("data entry|typing") & text.rlike("earn|present job|freelanc|home based")
+    return text.rlike(CLERICAL_WORDS) & text.rlike(EARNING_WORDS)
 
 
 def detect_language(c: Column) -> Column:
@@ -233,10 +261,10 @@ def detect_language(c: Column) -> Column:
     gurmukhi = F.regexp_count(c, F.lit("[਀-੿]"))
     words = F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1))
     hindi = F.size(F.filter(words, lambda w: w.isin(ROMAN_HINDI)))
-    romanised = (F.size(words) > 0) & (hindi > 0.15 * F.size(words))
+    romanised = (F.size(words) > 0) & (hindi > ROMAN_SHARE * F.size(words))
     return (
-        F.when((gurmukhi > 5) & (gurmukhi >= devanagari), "pa")
-        .when(devanagari > 5, "hi")
+        F.when((gurmukhi > SCRIPT_LETTERS) & (gurmukhi >= devanagari), "pa")
+        .when(devanagari > SCRIPT_LETTERS, "hi")
         .when(romanised, "hi-Latn")
         .otherwise("en")
     )
@@ -272,7 +300,7 @@ def first_spellings(phrases: Column) -> Column:
     return F.transform(in_order, lambda x: x["p"])
 
 
-def candidate_phrases(c: Column, filler: list[str] | None = None, limit: int | None = 400) -> Column:
+def candidate_phrases(c: Column, filler: list[str] | None = None) -> Column:
     """Phrases of 1-6 words and 2-60 characters, first spelling kept per lower-cased phrase, in text order."""
     chunks = F.transform(F.split(F.coalesce(c, F.lit("")), PHRASE_BREAKS), lambda p: strip_chars(squeeze(p), PHRASE_EDGE))
     if filler:
@@ -280,8 +308,7 @@ def candidate_phrases(c: Column, filler: list[str] | None = None, limit: int | N
     kept = F.filter(
         chunks, lambda p: F.length(p).between(2, 60) & F.size(words_of(p)).between(1, 6)
     )
-    first = first_spellings(kept)
-    return first if limit is None else F.slice(first, 1, limit)
+    return first_spellings(kept)
 
 
 def dictionary_key(c: Column) -> Column:

@@ -267,7 +267,7 @@ def budgeted(packed: DataFrame, costs: DataFrame, budget: float, runs: DataFrame
     held, release = _hold(packed)
     runs = cut(start_runs(held) if runs is None else runs)
     first, active = None, runs
-    for _ in range(10_000):
+    while True:
         priced = gains(held, active).join(active.select("run_id", "instance_id", "spent"), "run_id").join(
             costs, ["instance_id", "skill_id"]).filter(
             (F.col("spent") + F.col("cost") <= budget + 1e-9) & (_smooth() > 0))
@@ -413,13 +413,13 @@ def impact(before: DataFrame, plain: DataFrame, best: DataFrame) -> DataFrame:
 
 def pseudo_users(
     postings: DataFrame, edges: DataFrame, split: Column, order: Callable[[Column], Column], per_stratum: int,
-    min_pool: int = 30, pool_cap: int = 2000,
+    min_pool: int = 30,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Evaluation instances drawn from held-out postings: instances, pools and owned skills.
 
     `postings` carries job_id, group_id, isco2 and exp_band. A user knows half (at least two) of the skills of a held-out
     posting with four or more; the pool is the same group and band without the posting's own near-duplicates, at least
-    `min_pool`, hash-ordered up to `pool_cap`.
+    `min_pool`.
     """
     sizes = edges.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
     stratum = F.when(F.col("exp_band") == "0-1", "fresher").when(F.col("exp_band").isin("1-3", "3-6"), "mid").otherwise("senior")
@@ -432,8 +432,7 @@ def pseudo_users(
     chosen = cut(best_per_group(fitting, ["stratum"], [order(F.col("job_id")), F.asc("job_id")], per_stratum).select(
         F.col("job_id").alias("instance_id"), "stratum", "isco2", "exp_band", F.col("group_id").alias("own_group"), "n"))
     pool = members.join(chosen, ["isco2", "exp_band"]).filter("group_id <> own_group")
-    pool = best_per_group(pool, ["instance_id"], [order(F.col("job_id")), F.asc("job_id")], pool_cap).select(
-        "instance_id", "job_id", F.lit(1).cast("long").alias("value"))
+    pool = pool.select("instance_id", "job_id", F.lit(1).cast("long").alias("value"))
     listed = edges.withColumnRenamed("job_id", "instance_id").join(chosen.select("instance_id", "n"), "instance_id")
     ranked = listed.withColumn("r", F.row_number().over(Window.partitionBy("instance_id").orderBy(
         order(F.concat_ws(":", F.col("instance_id").cast("string"), "skill_id")))))

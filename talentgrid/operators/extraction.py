@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 
 from talentgrid.functions import text as tx
 from talentgrid.functions.distributed import pick_one
@@ -32,31 +30,29 @@ FILLER = [
 ]
 
 
-@F.pandas_udf(ArrayType(BooleanType()))
-def keeps_from_left(positions: pd.Series, lengths: pd.Series) -> pd.Series:
-    """Which of the matches, sorted by position and then length descending, survive a left-to-right scan."""
+def kept_from_left(matches: Column) -> Column:
+    """Matches, sorted by position and then length descending, that survive a left-to-right scan without overlaps."""
+    start = F.struct(F.lit(0).alias("free"), F.filter(matches, lambda _: F.lit(False)).alias("kept"))
 
-    def scan(starts, sizes) -> list[bool]:
-        free, kept = -1, []
-        for start, size in zip(starts, sizes):
-            hit = start >= free
-            kept.append(bool(hit))
-            if hit:
-                free = start + size
-        return kept
+    def step(state: Column, m: Column) -> Column:
+        fits = m["pos"] >= state["free"]
+        return F.struct(
+            F.when(fits, m["pos"] + m["n"]).otherwise(state["free"]).alias("free"),
+            F.when(fits, F.concat(state["kept"], F.array(m))).otherwise(state["kept"]).alias("kept"))
 
-    return pd.Series([scan(a, b) for a, b in zip(positions, lengths)])
+    return F.aggregate(matches, start, step)["kept"]
 
 
 def longest_matches(
-    rows: DataFrame, owner: str, words: Column, dictionary: DataFrame, max_words: int, key: Callable[[Column], Column]
+    rows: DataFrame, owner: str, words: Column, dictionary: DataFrame, max_words: int, key: Callable[[Column], Column],
+    bar_short: bool = False,
 ) -> DataFrame:
     """Longest dictionary matches per owner, scanned left to right: (owner, pos, n, span, value).
 
     `dictionary(key, value)` holds single-blank keys of at most `max_words` words; `key` turns a word into its lookup form.
     Each word leaves its row with the next few words only. A position goes on when its word is an entry or its first two
     words start one, and only those positions build longer keys. Dictionaries of proven size are broadcast, so only real
-    matches are shuffled.
+    matches are shuffled. With `bar_short`, single words of at most two characters count only if they name a skill.
     """
     sized = dictionary.withColumn("_words", F.split("key", " "))
     one = broadcast_if_small(sized.filter(F.size("_words") == 1).select(F.col("key").alias("w1"), F.col("value").alias("v1")))
@@ -68,7 +64,7 @@ def longest_matches(
     placed = windows.withColumn("w1", key(F.col("window")[0])).withColumn(
         "w2", F.concat_ws(" ", "w1", key(F.get("window", F.lit(1))))).join(one, "w1", "left").join(starts, "w2", "left").filter(
         F.col("v1").isNotNull() | F.col("opens")).select(owner, "pos", "window", "w1", "v1", "opens")
-    usable = ~((F.length("w1") <= 2) & ~F.col("w1").isin(SHORT_NAMES)) if max_words == MAX_WORDS else F.lit(True)
+    usable = ~((F.length("w1") <= 2) & ~F.col("w1").isin(SHORT_NAMES)) if bar_short else F.lit(True)
     single = placed.filter(F.col("v1").isNotNull() & usable).select(
         owner, "pos", F.lit(1).alias("n"), F.col("window")[0].alias("span"), F.col("v1").alias("value"))
     grams = placed.filter(F.col("opens") & (F.size("window") > 1)).select(owner, "pos", F.explode(F.transform(
@@ -77,17 +73,14 @@ def longest_matches(
         owner, "pos", F.size("gram").alias("n"), F.array_join("gram", " ").alias("span"), "value")
     hits = single.unionByName(several).groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(
         "pos", (-F.col("n")).alias("_order"), "n", "span", "value"))).alias("m"))
-    scanned = hits.withColumn("keep", keeps_from_left(
-        F.transform("m", lambda x: x["pos"]), F.transform("m", lambda x: x["n"])))
-    return scanned.select(owner, F.explode(F.arrays_zip("m", "keep")).alias("z")).filter("z.keep").select(
-        owner, "z.m.pos", "z.m.n", "z.m.span", "z.m.value")
+    return hits.select(owner, F.explode(kept_from_left(F.col("m"))).alias("z")).select(owner, "z.pos", "z.n", "z.span", "z.value")
 
 
 def tag_documents(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Dictionary skills found in whole texts: (doc_id, pos, n, span, uri); `documents(doc_id, text)`, `dictionary(key, uri)`."""
     found = longest_matches(
         documents, "doc_id", tx.tokens(F.col("text")), dictionary.select("key", F.col("uri").alias("value")), MAX_WORDS,
-        lambda w: F.lower(w))
+        lambda w: F.lower(w), bar_short=True)
     return found.withColumnRenamed("value", "uri")
 
 
@@ -129,9 +122,9 @@ def extract_skills(
     """
     routed = documents.select("doc_id", "text", tx.detect_language(F.col("text")).alias("language"))
     exact = cut(tag_documents(routed, dictionary))
-    english = routed.filter("language = 'en'").select("doc_id", F.posexplode(tx.candidate_phrases(F.col("text"), limit=None)).alias("pos", "phrase"))
+    english = routed.filter("language = 'en'").select("doc_id", F.posexplode(tx.candidate_phrases(F.col("text"))).alias("pos", "phrase"))
     other = routed.filter("language <> 'en'").select("doc_id", F.posexplode(
-        tx.candidate_phrases(F.col("text"), FILLER, limit=None)).alias("pos", "phrase"))
+        tx.candidate_phrases(F.col("text"), FILLER)).alias("pos", "phrase"))
     other = other.withColumn("phrase_id", F.concat_ws(":", "doc_id", "pos"))
     hits, rest = split_loanwords(other.select("phrase_id", "phrase"), lexicon)
     terms = hits.withColumn("key", tx.dictionary_key(F.col("english"))).join(dictionary, "key", "left").join(

@@ -207,8 +207,13 @@ def resolve_tokens(tokens: DataFrame, places: DataFrame, aliases: DataFrame, sta
 
 
 def with_tier(cities: DataFrame, tiers: DataFrame) -> DataFrame:
-    """Tier of each (city, state) from `tiers(city, tier, tier_state)`; 3 unless listed for that state."""
-    joined = cities.join(tiers, "city", "left")
+    """Tier of each (city, state) from `tiers(city, tier, tier_state)`; 3 unless listed for that state.
+
+    Of several rows for one city the last listed counts, so a place never becomes two rows.
+    """
+    listed = tiers.withColumn("_at", F.monotonically_increasing_id())
+    once = listed.groupBy("city").agg(F.max_by(F.struct("tier", "tier_state"), "_at").alias("_t")).select("city", "_t.*")
+    joined = cities.join(once, "city", "left")
     other_state = (F.length("tier_state") > 0) & F.col("state").isNotNull() & (F.col("tier_state") != F.col("state"))
     tier = F.when(F.col("city").isNull(), F.lit(None).cast("int")).when(
         F.col("tier").isNull() | F.coalesce(other_state, F.lit(False)), 3).otherwise(F.col("tier"))

@@ -211,14 +211,18 @@ def disclosure_propensity(
 
 
 def pay_features(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], texts: Sequence[str], dims: int = 32) -> DataFrame:
-    """Feature vector per row: indexed categories, numbers, and each word list as TF-IDF reduced to `dims` components."""
+    """Feature vector per row: indexed categories, numbers, and each word list as TF-IDF reduced to `dims` components.
+
+    A list of fewer different words keeps a component for each.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, PCA, CountVectorizer, StringIndexer, VectorAssembler
 
     stages = [StringIndexer(inputCol=c, outputCol=f"_{c}", handleInvalid="keep") for c in categorical]
     for t in texts:
-        stages += [CountVectorizer(inputCol=t, outputCol=f"_{t}_tf", minDF=2.0, vocabSize=2000), IDF(inputCol=f"_{t}_tf", outputCol=f"_{t}_idf"),
-                   PCA(k=dims, inputCol=f"_{t}_idf", outputCol=f"_{t}_pca")]
+        counted = CountVectorizer(inputCol=t, outputCol=f"_{t}_tf", minDF=2.0, vocabSize=1 << 18).fit(df)
+        stages += [counted, IDF(inputCol=f"_{t}_tf", outputCol=f"_{t}_idf"),
+                   PCA(k=min(dims, len(counted.vocabulary)), inputCol=f"_{t}_idf", outputCol=f"_{t}_pca")]
     stages += [VectorAssembler(inputCols=[f"_{c}" for c in categorical] + list(numeric) + [f"_{t}_pca" for t in texts],
                                outputCol="features", handleInvalid="keep")]
     return Pipeline(stages=stages).fit(df).transform(df)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentgrid.functions.distributed import best_per_group, item_pairs
+from talentgrid.functions.distributed import best_per_group, dense_numbers, item_pairs
 from talentgrid.functions.vectors import nearest, unit
 from talentgrid.session import broadcast_if_small, cut
 
@@ -269,9 +269,10 @@ def latent_scores(edges: DataFrame, queries: DataFrame, k: int = 10, rank: int =
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.recommendation import ALS
 
+    users = dense_numbers(edges, "job_id", "user", (1 << 31) - 1)
     indexer = StringIndexer(inputCol="skill_id", outputCol="item", stringOrderType="alphabetAsc").fit(edges)
-    coded = indexer.transform(edges).select(
-        F.xxhash64("job_id").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("user"), F.col("item").cast("int").alias("item"),
+    coded = indexer.transform(edges).join(users, "job_id").select(
+        F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"),
         F.lit(1.0).alias("rating"))
     model = ALS(implicitPrefs=True, rank=rank, maxIter=5, seed=seed, userCol="user", itemCol="item", ratingCol="rating").fit(coded)
     names = indexer.transform(edges.select("skill_id").distinct()).select("skill_id", F.col("item").cast("int").alias("id"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.functions.distributed import best_per_group, cumulative, text_bucket
+from talentgrid.functions.distributed import best_per_group, cumulative
 from talentgrid.functions.numeric import hash_bucket, hash_order
 
 
@@ -20,7 +20,7 @@ def mention_bands(df: DataFrame, key: str, weight: str, high: float = 0.5, mid:
     rows = df.withColumn("_neg", -F.col(weight))
     above = cumulative(rows, [], "_neg", weight=weight).select(
         "_neg", F.col("before").alias("_above"), F.col("total").alias("_total"))
-    among = cumulative(rows, ["_neg"], key, bucket=text_bucket(key)).select("_neg", key, F.col("before").alias("_earlier"))
+    among = cumulative(rows, ["_neg"], key).select("_neg", key, F.col("before").alias("_earlier"))
     placed = rows.join(above, "_neg").join(among, ["_neg", key])
     share = (F.col("_above") + F.col(weight) * (F.col("_earlier") + 1)) / F.col("_total")
     band = F.when(share <= high, "high").when(share <= mid, "mid").otherwise("low")
@@ -138,7 +138,7 @@ def synthetic_candidates(
         return (hash_bucket(F.concat_ws(":", *parts), seed, 1 << 31) + 0.5) / float(1 << 31)
 
     eligible = occupations.filter(F.col("demand") >= 5)
-    ranges = cumulative(eligible, [], "occupation", weight="demand", bucket=text_bucket("occupation"))
+    ranges = cumulative(eligible, [], "occupation", weight="demand")
     ladder = ranges.groupBy().agg(F.array_sort(F.collect_list(F.struct(
         ((F.col("before") + F.col("n")) / F.col("total")).alias("upto"), "occupation"))).alias("l")).scalar()
     people = spark.range(n).select(F.col("id").cast("string").alias("i")).withColumn("_u", uniform(F.lit("occ"), "i"))
@@ -149,7 +149,7 @@ def synthetic_candidates(
         popular.select("occupation", "skill_id", F.lit(0.5).alias("p"))).groupBy("occupation", "skill_id").agg(F.max("p").alias("p"))
     drawn = people.join(chances, "occupation").filter(uniform(F.lit("skill"), "i", "skill_id") < F.col("p")).select("i", "skill_id")
     slots = vocabulary.agg(F.count(F.lit(1)).alias("v")).scalar()
-    numbered = cumulative(vocabulary, [], "skill_id", bucket=text_bucket("skill_id", 9)).select("skill_id", F.col("before").alias("slot"))
+    numbered = cumulative(vocabulary, [], "skill_id").select("skill_id", F.col("before").alias("slot"))
     extra = people.select("i", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("x")).withColumn(
         "slot", F.floor(uniform(F.lit("extra"), "x", "i") * slots)).join(numbered, "slot").select("i", "skill_id")
     skills = drawn.unionByName(extra).groupBy("i").agg(F.array_sort(F.collect_set("skill_id")).alias("skills"))

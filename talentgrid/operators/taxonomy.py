@@ -155,23 +155,24 @@ def ancestors(edges: DataFrame, max_hops: int = 5) -> DataFrame:
     return found
 
 
-def nearest_field(skills: DataFrame, broader: DataFrame, fields: DataFrame, max_hops: int = 10) -> DataFrame:
+def nearest_field(skills: DataFrame, broader: DataFrame, fields: DataFrame) -> DataFrame:
     """Field of each skill: the closest ancestor (or itself) in `fields(uri, field)`; the smaller name of equals.
 
-    Unknown fields are dropped.
+    Hops go on until no skill has a new ancestor; ancestors seen before are not visited again, so cycles end. Unknown
+    fields are dropped.
     """
-    start = skills.select(F.col("uri").alias("skill_id"), F.col("uri").alias("node"))
     links = broader.select("src", "dst").distinct()
-    frontier, done = start, None
-    for hop in range(max_hops + 1):
+    frontier = cut(skills.select(F.col("uri").alias("skill_id"), F.col("uri").alias("node")).distinct())
+    seen, done = frontier, None
+    while not frontier.isEmpty():
         hits = cut(frontier.join(fields, frontier.node == fields.uri).groupBy("skill_id").agg(F.min("field").alias("field")))
         done = hits if done is None else done.unionByName(hits)
-        if hop == max_hops:
-            break
         open_rows = frontier.join(hits, "skill_id", "left_anti")
-        frontier = cut(open_rows.join(links, open_rows.node == links.src).select("skill_id", F.col("dst").alias("node")).distinct())
-        if frontier.isEmpty():
-            break
+        further = open_rows.join(links, open_rows.node == links.src).select("skill_id", F.col("dst").alias("node")).distinct()
+        frontier = cut(further.join(seen, ["skill_id", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    if done is None:
+        done = skills.select(F.col("uri").alias("skill_id")).join(fields.select(F.col("uri").alias("skill_id"), "field"), "skill_id")
     return done.filter(F.col("field") != "field unknown")
 
 

@@ -11,7 +11,7 @@ from talentgrid.plans.registry import query
 
 
 def _dictionary(b):
-    phrases = b.raw("benchmark").select("item_id", F.explode(tx.candidate_phrases(F.col("text"), limit=None)).alias("phrase"))
+    phrases = b.raw("benchmark").select("item_id", F.explode(tx.candidate_phrases(F.col("text"))).alias("phrase"))
     return phrases.groupBy(tx.dictionary_key(F.col("phrase")).alias("key")).agg(F.concat(F.lit("b"), F.min("item_id").cast("string")).alias("uri"))
 
 
@@ -25,7 +25,7 @@ def loanword_spans(b):
     """Foreign words of non-English chats that the lexicon, here one word per benchmark key, names."""
     lexicon = _dictionary(b).select(F.col("key").alias("term"), F.col("uri").alias("english"))
     phrases = b.raw("conversations").select(
-        F.concat_ws(":", "conv_id", "turn").alias("chat"), F.posexplode(tx.candidate_phrases(F.lower("text"), limit=None)).alias("i", "phrase"))
+        F.concat_ws(":", "conv_id", "turn").alias("chat"), F.posexplode(tx.candidate_phrases(F.lower("text"))).alias("i", "phrase"))
     phrases = phrases.select(F.concat_ws(":", "chat", "i").alias("phrase_id"), "phrase")
     hits, rest = ex.split_loanwords(phrases, lexicon)
     return rest.join(hits.groupBy("phrase_id").agg(F.count(F.lit(1)).alias("hits")), "phrase_id", "left").select(

@@ -203,7 +203,7 @@ def partial_enumeration_plans(b):
     packed, have = _instances(b)
     from talentgrid.session import cut
 
-    plans = cov.budgeted_partial(packed, cut(_costs(b, packed, have)), 2.0, seed_pool=4)
+    plans = cov.budgeted_partial(packed, cut(_costs(b, packed, have)), 2.0)
     return plans.select("instance_id", F.array_join("chosen", ",").alias("skills"), F.round("spent", 6).alias("spent"),
                         "F", F.round("G", 6).alias("G"))
 

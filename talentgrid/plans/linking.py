@@ -189,7 +189,7 @@ def mean_vector_scores(b):
     from talentgrid.functions.vectors import nearest
     from talentgrid.operators.recommend import mean_vectors
 
-    position = cumulative(b.skill_field.select("skill_id"), [], "skill_id", bucket=F.substring("skill_id", 1, 9)).select(
+    position = cumulative(b.skill_field.select("skill_id"), [], "skill_id").select(
         "skill_id", F.col("before").alias("vec_id"))
     vectors = position.join(b.raw("embeddings"), "vec_id").select("skill_id", F.col("embedding").alias("vector"))
     wanted = b.occupation_demand.filter("postings >= 2").select(F.col("occupation").alias("item_id"), "skill_id")

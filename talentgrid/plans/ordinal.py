@@ -151,7 +151,7 @@ def band_calibration_intervals(b):
     from talentgrid.session import cut
 
     covered = _covered(cut(_scored(b)))
-    table = od.calibration_audit(covered, {"role_family": F.col("role_family")}, replicates=100)
+    table = od.calibration_audit(covered, {"role_family": F.col("role_family")}, replicates=500)
     return table.select("slice", "value", F.round("coverage", 4).alias("coverage"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
@@ -277,7 +277,7 @@ def band_classifier_metrics(b):
 
     rows = cut(prepared(b))
     train, valid = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
-    fitted = od.band_metrics(od.predict_bands(od.band_classifier(train, features=500), valid)).withColumns({"model": F.lit("words"), "baseline": F.lit(False)})
+    fitted = od.band_metrics(od.predict_bands(od.band_classifier(train), valid)).withColumns({"model": F.lit("words"), "baseline": F.lit(False)})
     constant = valid.withColumn("prediction", od.majority_band(train).scalar())
     plain = od.band_metrics(constant).withColumns({"model": F.lit("majority"), "baseline": F.lit(True)})
     table = cut(fitted.unionByName(plain))
@@ -291,9 +291,9 @@ def token_variant_errors(b):
 
     rows = cut(prepared(b))
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-    a = cut(od.predict_bands(od.band_classifier(train, features=500), test))
-    z = cut(od.predict_bands(od.band_classifier(train, "skills_permissive", 500), test))
-    return od.paired_errors(a, z, 50).select("groups", F.round("delta", 2).alias("delta"))
+    a = cut(od.predict_bands(od.band_classifier(train), test))
+    z = cut(od.predict_bands(od.band_classifier(train, "skills_permissive"), test))
+    return od.paired_errors(a, z, 500).select("groups", F.round("delta", 2).alias("delta"))
 
 
 @query("EV-21 (rows)", sql(PREP, "SELECT count(*) FILTER (skills <> skills_permissive) AS changed, count(*) AS rows FROM prep"))

@@ -164,5 +164,5 @@ def pay_feature_vectors(b):
     from talentgrid.functions.distributed import item_sets
 
     rows = b.postings.join(item_sets(b.job_skill, "job_id", "skill_id"), "job_id").withColumn("words", F.split("title", " "))
-    vectors = py.pay_features(rows, ["isco2", "exp_band", "state"], ["exp_min", "tier"], ["items", "words"], dims=4)
+    vectors = py.pay_features(rows, ["isco2", "exp_band", "state"], ["exp_min", "tier"], ["items", "words"])
     return vectors.select("job_id", F.size(vector_to_array("features")).alias("dims"))

@@ -59,7 +59,7 @@ def weighted_skill_draw(b):
 def resampled_disclosure_share(b):
     units = b.postings.groupBy("company_id").agg(
         F.count_if("disclosed").alias("yes"), F.count(F.lit(1)).alias("n"))
-    return sm.bootstrap_ratio(units, "company_id", "yes", "n", replicates=100).select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    return sm.bootstrap_ratio(units, "company_id", "yes", "n", replicates=500).select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 @query("SYN-1")

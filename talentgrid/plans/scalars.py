@@ -294,7 +294,7 @@ def filler_trimmed_texts(b):
 
 @query("FN-23")
 def document_phrases(b):
-    phrases = tx.candidate_phrases(F.col("text"), limit=None)
+    phrases = tx.candidate_phrases(F.col("text"))
     return b.raw("documents").select("doc_id", phrases.alias("p")).select(
         "doc_id", F.size("p").cast("long").alias("n_phrases"), F.md5(F.array_join("p", "|")).alias("phrases_md5"))
 

@@ -1,6 +1,7 @@
 """Operators on small hand-made tables."""
 
 import random
+from functools import lru_cache
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,14 +96,9 @@ def test_fuzzy_join_finds_every_pair(spark):
         keys.add("".join(chars))
 
     def ratio(a, b):
-        row = [0] * (len(b) + 1)
-        for ch in a:
-            diagonal = 0
-            for j, other in enumerate(b, 1):
-                above = row[j]
-                row[j] = diagonal + 1 if ch == other else max(above, row[j - 1])
-                diagonal = above
-        return 2 * row[-1] / (len(a) + len(b))
+        best = lru_cache(None)(lambda i, j: 0 if i == len(a) or j == len(b) else 1 + best(i + 1, j + 1) if a[i] == b[j]
+                               else max(best(i + 1, j), best(i, j + 1)))
+        return 2 * best(0, 0) / (len(a) + len(b))
 
     expected = {k for k in keys if max(ratio(k, n) for n in names) >= 0.92}
     places = spark.createDataFrame([(n, 50_000) for n in set(names)], "key string, population long")
@@ -231,17 +227,16 @@ def test_calibration_boundary(spark):
     assert ordinal.calibration_radius(enough).first()["radius"] == 2
 
 
-def _longest(tokens, entries):
-    out, i = [], 0
-    while i < len(tokens):
-        for n in range(min(6, len(tokens) - i), 0, -1):
-            key = " ".join(t.lower() for t in tokens[i:i + n])
-            if key in entries and not (n == 1 and len(key) <= 2 and key not in {"c", "r"}):
-                out.append((i, n, entries[key]))
-                i += n
-                break
-        else:
-            i += 1
+def _expected_tags(words, entries):
+    """Every dictionary match of at most six words, earliest and then longest first, each taken if its words are still free."""
+    spans = [(i, i + n) for i in range(len(words)) for n in range(1, 7) if i + n <= len(words)]
+    named = {s: " ".join(words[slice(*s)]).lower() for s in spans}
+    usable = [s for s in spans if named[s] in entries and (len(named[s]) > 2 or named[s] in {"c", "r"})]
+    taken, out = set(), []
+    for s in sorted(usable, key=lambda s: (s[0], -s[1])):
+        if taken.isdisjoint(range(*s)):
+            taken.update(range(*s))
+            out.append((s[0], s[1] - s[0], entries[named[s]]))
     return out
 
 
@@ -256,7 +251,7 @@ def test_dictionary_tagging_against_scan(spark):
     for r in extraction.tag_documents(docs, dictionary).collect():
         got.setdefault(r["doc_id"], []).append((r["pos"], r["n"], r["uri"]))
     for i, text in texts.items():
-        assert sorted(got.get(i, [])) == _longest(text.split(), entries)
+        assert sorted(got.get(i, [])) == _expected_tags(text.split(), entries)
 
 
 def test_loanwords_and_extraction(spark):
@@ -309,3 +304,48 @@ def test_sources(spark, tmp_path):
     sample = spark.createDataFrame([("k1", "done")], "key string, reviewed string")
     merged = sinks.merge_review_sample(sample, spark.createDataFrame([("k1", ""), ("k2", "")], "key string, reviewed string"), "key")
     assert dict(merged.collect()) == {"k1": "done", "k2": ""}
+
+
+def test_place_keys_fold_all_letters(spark):
+    cases = {"Paṭna": "patna", "Thāṇe": "thane", "Ｐｕｎｅ": "pune", "Ôﬃce Ĳ-1": "office ij-1", "Straße": "strae", "दिल्ली": "", None: None}
+    df = spark.createDataFrame([(c,) for c in cases], "v string")
+    assert dict(df.select("v", tx.place_norm(F.col("v"))).collect()) == cases
+
+
+def test_tier_rows_of_one_city_do_not_multiply(spark):
+    cities = spark.createDataFrame([(1, "Pune", "Maharashtra"), (2, "Pune", "Goa"), (3, "Agra", None)], "job_id long, city string, state string")
+    tiers = spark.createDataFrame([("Pune", 2, "Goa"), ("Pune", 1, "Maharashtra")], "city string, tier int, tier_state string")
+    assert sorted((r["job_id"], r["tier"]) for r in geography.with_tier(cities, tiers).collect()) == [(1, 1), (2, 3), (3, 3)]
+
+
+def test_nearest_field_walks_deep_chains_and_cycles(spark):
+    from talentgrid.operators import taxonomy
+
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [("x", "y"), ("y", "x")]
+    skills = spark.createDataFrame([("n00",), ("x",)], "uri string")
+    fields = spark.createDataFrame([("n30", "deep")], "uri string, field string")
+    assert [tuple(r) for r in taxonomy.nearest_field(skills, spark.createDataFrame(chain, "src string, dst string"), fields).collect()] == [("n00", "deep")]
+
+
+def test_close_values_and_common_prefixes_spread_over_ranges(spark, request):
+    from talentgrid.functions import distributed as ds
+
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # these rows are few enough to be put together again
+    spark.conf.set(setting, "false")
+    request.addfinalizer(lambda: spark.conf.unset(setting))
+    rows = spark.range(60_000).select((F.col("id") / 6e6).alias("v"), F.concat(F.lit("http://example.org/skill/"), F.col("id")).alias("t"))
+    for column in ("v", "t"):
+        sizes = [r["count"] for r in ds._collapse(rows, [], column, None).groupBy("_range").count().collect()]
+        assert len(sizes) >= 2 and max(sizes) < 3 * 60_000 / len(sizes)
+        last = ds.cumulative(rows, [], column).orderBy(F.desc(column)).first()
+        assert (last["before"], last["total"]) == (59_999, 60_000)
+    numbers = sorted(r["k"] for r in ds.dense_numbers(rows, "t", "k").collect())
+    assert numbers == list(range(60_000))
+    with pytest.raises(ValueError):
+        ds.dense_numbers(rows, "t", "k", 59_999)
+
+
+def test_pairs_of_a_long_set_are_shared(spark):
+    sets = spark.createDataFrame([(1, list(range(700)))], "owner int, items array<int>")
+    pairs = item_pairs(sets, ["owner"])
+    assert pairs.filter("a < b").distinct().count() == pairs.count() == 700 * 699 // 2
