@@ -47,18 +47,18 @@ USUALLY_NOT = set("sidebar header footer banner masthead aside rail bottom top l
 CONTENT_NAMES = set("article post entry content story main text body".split())
 
 # Log-odds of content. A page gives no labels, so these are set by hand.
-BIAS, IN_CONTENT, IN_ASIDE, HEADING, PARAGRAPH, LIST_ITEM, LINKS, LENGTH, SENTENCE = -1.0, 4.0, -10.0, 1.0, 1.0, -0.5, -4.0, 0.6, 0.8
-NEXT_EDGE, NEAR_EDGE = 0.6, 0.6
+BIAS, IN_CONTENT, IN_ASIDE, HEADING, PARAGRAPH, LIST_ITEM, LINKS, LENGTH, SENTENCE = -0.4, 4.0, -10.0, 1.0, 1.2, 0.0, -4.0, 0.6, 1.0
+NEXT_EDGE, NEAR_EDGE = 0.8, 0.8
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     parent: Element | None
     aside: bool = False
     content: bool = False
     skipped: bool = False
-    last_block: int = -1
+    last_blocks: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass
@@ -187,18 +187,22 @@ def log_odds(block: Block) -> float:
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness: each block with the next, the stronger the nearer they are in the tree, and with the last one under each near ancestor."""
-    edges = []
+    """Smoothness: each block with the next, the stronger the nearer they are in the tree, and with the last one like it under its parent."""
+    edges, above = [], []
     for i, block in enumerate(blocks):
-        level, steps, seen = block.holder, 0, set()
-        while level is not None and steps < 4:
-            if level.last_block >= 0 and level.last_block not in seen:
-                seen.add(level.last_block)
-                edges.append((level.last_block, i, NEAR_EDGE / (1 + steps)))
-            level.last_block = i
-            level, steps = level.parent, steps + 1
+        level, chain = block.holder, []
+        while level is not None and len(chain) < 5:
+            chain.append(level)
+            level = level.parent
         if i:
-            edges.append((i - 1, i, NEXT_EDGE))
+            steps = next((n for n, e in enumerate(chain) if e in above), 5) + next((n for n, e in enumerate(above) if e in chain), 5)
+            edges.append((i - 1, i, NEXT_EDGE / (1 + steps / 2)))
+        if len(chain) > 1:
+            last = chain[1].last_blocks
+            if block.holder.tag in last:
+                edges.append((last[block.holder.tag], i, NEAR_EDGE))
+            last[block.holder.tag] = i
+        above = chain
     return edges
 
 
