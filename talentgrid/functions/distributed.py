@@ -126,6 +126,16 @@ def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return best_per_group(df, keys, order, 1, "_pick").drop("_pick")
 
 
+def listed_once(df: DataFrame, keys: Sequence[str], last: bool = False) -> DataFrame:
+    """The first or last listed row per key, in the order in which `df` is read; copies merge map-side."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    pick = F.max_by if last else F.min_by
+    kept = df.withColumn("_at", F.monotonically_increasing_id()).groupBy(*keys).agg(pick(F.struct(*rest), "_at").alias("_row"))
+    return kept.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
+
+
 def item_sets(edges: DataFrame, owner: str, item: str, extra: Sequence[str] = ()) -> DataFrame:
     """One row per owner with its distinct items sorted; partial sets are merged, so repeats never travel."""
     return edges.groupBy(owner, *extra).agg(F.array_sort(F.collect_set(item)).alias("items"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from talentgrid.functions import text as tx
-from talentgrid.functions.distributed import pick_one
+from talentgrid.functions.distributed import listed_once, pick_one
 
 # Planning regions of the large metros.
 METRO_REGIONS = {
@@ -156,18 +156,15 @@ def resolve_tokens(tokens: DataFrame, places: DataFrame, aliases: DataFrame, sta
     `tokens(token)`, `places` from `gazetteer`, `aliases(alias, city, lookup)`, `states(state)`. Precedence: foreign,
     alias, exact, state, fuzzy; unmatched tokens keep a null method.
     """
-    alias_rows = aliases.select(
+    alias_rows = listed_once(aliases.select(
         tx.place_norm(F.col("alias")).alias("key"), F.col("city").alias("alias_city"),
         tx.place_norm(F.when(F.length("lookup") > 0, F.col("lookup")).otherwise(F.col("city"))).alias("lookup_key"),
         tx.place_norm(F.col("city")).alias("city_key"),
-    ).dropDuplicates(["key"])
+    ), ["key"], last=True)
     spark = tokens.sparkSession
     spellings = spark.createDataFrame(list(STATE_SPELLINGS.items()), "spelling string, state string")
-    state_rows = (
-        states.select(tx.place_norm(F.col("state")).alias("key"), F.col("state").alias("named_state"))
-        .unionByName(spellings.select(F.col("spelling").alias("key"), F.col("state").alias("named_state")))
-        .dropDuplicates(["key"])
-    )
+    named = states.select(tx.place_norm(F.col("state")).alias("key"), F.col("state").alias("named_state"))
+    state_rows = listed_once(named.unionByName(spellings.select(F.col("spelling").alias("key"), F.col("state").alias("named_state"))), ["key"])
 
     def place(prefix: str) -> DataFrame:
         return places.select(

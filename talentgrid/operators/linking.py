@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.functions import text as tx
-from talentgrid.functions.distributed import best_per_group, pick_one
+from talentgrid.functions.distributed import best_per_group, listed_once, pick_one
 from talentgrid.functions.vectors import nearest
 
 
@@ -58,7 +58,7 @@ def link(
     found = vector_candidates(queries, label_vectors, k).groupBy(F.col("query_id").alias("text")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "uri", F.round("score", 4).alias("score")))),
                     lambda c: F.struct(c["uri"].alias("uri"), c["score"].alias("score"))).alias("found"))
-    names = labels.filter("priority = 0").select("uri", F.col("label")).dropDuplicates(["uri"])
+    names = listed_once(labels.filter("priority = 0").select("uri", F.col("label")), ["uri"])
     head = F.struct(F.col("exact_uri").alias("uri"), F.lit(1.0).alias("score"))
     none = F.array().cast("array<struct<uri:string,score:double>>")
     listed = exact.join(found, "text", "left").withColumn("found", F.coalesce("found", none)).withColumn(

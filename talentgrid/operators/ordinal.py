@@ -38,8 +38,8 @@ def input_violations(raw: DataFrame, id_column: str) -> DataFrame:
     return raw.select(F.col(id_column).alias("id"), F.explode(problems).alias("problem"))
 
 
-def prepare_bands(raw: DataFrame, id_column: str = "s_no") -> DataFrame:
-    """Distinct postings with band, skills, experience, flags, signatures, leak-free group and split.
+def shape_bands(raw: DataFrame, id_column: str = "s_no") -> DataFrame:
+    """Distinct postings with band, skills, experience, flags and signatures, not yet grouped.
 
     `raw` carries the id, job_desig, key_skills, location, experience, salary and job_description as text. Rows named by
     `input_violations` must be repaired first; they are left out here.
@@ -61,17 +61,26 @@ def prepare_bands(raw: DataFrame, id_column: str = "s_no") -> DataFrame:
     }).filter(F.col("band").between(0, TOP_BAND) & (F.col("exp_min") <= F.col("exp_max")))
     joined = [tx.normal(F.col(c)) for c in ("job_desig", "key_skills", "location", "experience")]
     title = F.regexp_replace(tx.normal(F.col("job_desig")), "[^a-z0-9 ]", "")
-    out = out.withColumns({
+    return out.withColumns({
         "exp_mid": (F.col("exp_min") + F.col("exp_max")) / 2, "exp_width": F.col("exp_max") - F.col("exp_min"),
         "feature_signature": F.sha2(F.concat_ws("|", *joined), 256),
         "near_signature": F.sha2(F.concat_ws("|", title, F.array_join("skills", "|"), tx.normal(F.col("location"))), 256),
     })
+
+
+def with_groups(shaped: DataFrame) -> DataFrame:
+    """`shape_bands` rows with their leak-free group and its split."""
     # Grouping reads the rows twice: once for the key graph, once to attach the group.
-    grouped = connected_groups(cut(out), "row_key", [["feature_signature"], ["near_signature"]])
+    grouped = connected_groups(cut(shaped), "row_key", [["feature_signature"], ["near_signature"]])
     bucket = num.hash_bucket(F.col("group_id"), "bands:", 10000)
     return grouped.withColumn("split", num.named_split(bucket, num.BAND_SPLIT))
 
 
+def prepare_bands(raw: DataFrame, id_column: str = "s_no") -> DataFrame:
+    """Distinct postings with band, skills, experience, flags, signatures, leak-free group and split."""
+    return with_groups(shape_bands(raw, id_column))
+
+
 def label_conflicts(prepared: DataFrame) -> DataFrame:
     """Feature groups with several bands, their rows, and the best agreement any function of the features could reach."""
     cells = prepared.groupBy("feature_signature", "band").agg(F.count(F.lit(1)).alias("n"))

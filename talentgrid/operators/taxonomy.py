@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.functions import text as tx
-from talentgrid.functions.distributed import best_per_group, item_pairs, item_sets, pick_one
+from talentgrid.functions.distributed import best_per_group, item_pairs, item_sets, listed_once, pick_one
 from talentgrid.session import cut
 
 # Thematic collections and the flag each one sets on a skill.
@@ -25,9 +25,9 @@ def _uris(df: DataFrame, column: str = "conceptUri") -> DataFrame:
 
 
 def _concepts(df: DataFrame, **columns: str) -> DataFrame:
-    """One row per concept, the last listed values winning for repeated rows of equal uri order."""
+    """One row per concept, the last listed values winning."""
     named = df.select(F.trim("conceptUri").alias("uri"), *[F.col(c).alias(name) for name, c in columns.items()])
-    return named.filter(F.length("uri") > 0).dropDuplicates(["uri"])
+    return listed_once(named.filter(F.length("uri") > 0), ["uri"], last=True)
 
 
 def _links(df: DataFrame, src: str, dst: str, *extra: Column) -> DataFrame:
@@ -46,8 +46,9 @@ def taxonomy_nodes(catalog: dict[str, DataFrame]) -> dict[str, DataFrame]:
     levels = catalog["skills_hierarchy"].select(F.explode(F.array(*[
         F.struct(F.trim(f"Level {i} URI").alias("uri"), F.col(f"Level {i} preferred term").alias("label")) for i in range(4)
     ])).alias("g")).select("g.*").filter(F.length("uri") > 0)
-    groups = _concepts(catalog["skill_groups"], label="preferredLabel").unionByName(levels.dropDuplicates(["uri"]).join(
+    groups = _concepts(catalog["skill_groups"], label="preferredLabel").unionByName(listed_once(levels, ["uri"]).join(
         _uris(catalog["skill_groups"]), "uri", "left_anti"))
+    schemes = catalog["concept_schemes"].select(F.trim("conceptSchemeUri").alias("uri"), F.col("preferredLabel").alias("label"))
     return {
         "Occupation": _concepts(
             occupations, label="preferredLabel", alternates="altLabels", description="description", isco_code="iscoGroup",
@@ -55,9 +56,7 @@ def taxonomy_nodes(catalog: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "Skill": skills,
         "SkillGroup": groups,
         "OccupationGroup": _concepts(catalog["isco_groups"], label="preferredLabel", code="code"),
-        "ConceptScheme": catalog["concept_schemes"].select(
-            F.trim("conceptSchemeUri").alias("uri"), F.col("preferredLabel").alias("label")).filter(
-            F.length("uri") > 0).dropDuplicates(["uri"]),
+        "ConceptScheme": listed_once(schemes.filter(F.length("uri") > 0), ["uri"]),
     }
 
 
@@ -66,8 +65,9 @@ def taxonomy_edges(catalog: dict[str, DataFrame], nodes: dict[str, DataFrame]) -
     uri = {label: df.select("uri") for label, df in nodes.items()}
 
     def between(rows: DataFrame, src: str, dst: str) -> DataFrame:
-        return rows.join(uri[src].withColumnRenamed("uri", "src"), "src", "left_semi").join(
-            uri[dst].withColumnRenamed("uri", "dst"), "dst", "left_semi").dropDuplicates(["src", "dst"])
+        once = listed_once(rows, ["src", "dst"], last=True)
+        return once.join(uri[src].withColumnRenamed("uri", "src"), "src", "left_semi").join(
+            uri[dst].withColumnRenamed("uri", "dst"), "dst", "left_semi")
 
     requires = catalog["occupation_skill_relations"]
     skill_broader = _links(catalog["skills_broader_relations"], "conceptUri", "broaderUri")
@@ -109,14 +109,14 @@ def posting_graph(jobs: DataFrame, job_city: DataFrame, job_tag: DataFrame, tag_
     nodes = {
         "Job": jobs,
         "Company": companies.groupBy("key").agg(F.min_by("company", "job_id").alias("name")),
-        "City": cities.groupBy("key").agg(F.first("city").alias("city"), F.first("state").alias("state")),
+        "City": cities.groupBy("key").agg(F.min("city").alias("city"), F.min("state").alias("state")),
         "State": states.select("state").distinct(),
         "ExperienceBand": jobs.filter(F.col("exp_band").isNotNull()).select("exp_band").distinct(),
-        "Tag": tag_link.dropDuplicates(["tag"]),
+        "Tag": listed_once(tag_link, ["tag"]),
     }
     edges = {
         "POSTS": companies.select(F.col("key").alias("src"), F.col("job_id").alias("dst")),
-        "LOCATED_IN": cities.select(F.col("job_id").alias("src"), F.col("key").alias("dst"), "rank").dropDuplicates(["src", "dst"]),
+        "LOCATED_IN": cities.groupBy(F.col("job_id").alias("src"), F.col("key").alias("dst")).agg(F.min("rank").alias("rank")),
         "IN_STATE": nodes["City"].select(F.col("key").alias("src"), F.col("state").alias("dst")).unionByName(
             states.filter(F.col("city").isNull()).select(F.col("job_id").cast("string").alias("src"), F.col("state").alias("dst")).distinct()),
         "NEEDS_EXP": jobs.filter(F.col("exp_band").isNotNull()).select(F.col("job_id").alias("src"), F.col("exp_band").alias("dst")),

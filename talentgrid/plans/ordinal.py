@@ -8,6 +8,7 @@ from talentgrid.functions import numeric as num
 from talentgrid.operators import ordinal as od
 from talentgrid.operators.grouping import connected_groups
 from talentgrid.plans.registry import PARTS, query, sql
+from talentgrid.session import cut
 
 PARTS["lines"] = """lines AS (SELECT CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Sr Data Engineer' WHEN 'FURNITURE' THEN 'Machine Learning Lead' WHEN 'MACHINERY' THEN 'BI Developer'
     WHEN 'BUILDING' THEN 'Back Office Typing' ELSE 'Manager' END AS job_desig, replace(p_name, ' ', ', ') || CASE WHEN p_type = 'PROMO' THEN '...' ELSE '' END AS key_skills, r_name AS location,
@@ -56,6 +57,11 @@ def prepared(b):
     return od.prepare_bands(lines(b))
 
 
+def shaped(b):
+    """Prepared rows for queries that need neither group nor split, written once as they read them several times."""
+    return cut(od.shape_bands(lines(b)))
+
+
 def _scored(b):
     shift = num.hash_bucket(F.col("row_key"), "p:", 3) - 1
     return prepared(b).withColumn("prediction", F.least(F.lit(5), F.greatest(F.lit(0), F.col("band") + shift)).cast("int"))
@@ -91,14 +97,14 @@ def connected_customer_groups(b):
 , c AS (SELECT fs, band, count(*) AS n FROM prep GROUP BY ALL), g AS (SELECT fs, count(*) AS bands, sum(n) AS rows, max(n) AS top FROM c GROUP BY fs)
 SELECT count(*) FILTER (bands > 1) AS conflicting_groups, (sum(rows) FILTER (bands > 1))::BIGINT AS rows_in_conflict, round(sum(top) / sum(rows)::DOUBLE, 6)::DOUBLE AS agreement_bound FROM g"""))
 def label_conflicts(b):
-    return od.label_conflicts(prepared(b)).withColumn("agreement_bound", F.round("agreement_bound", 6))
+    return od.label_conflicts(shaped(b)).withColumn("agreement_bound", F.round("agreement_bound", 6))
 
 
 @query("EV-20", sql(PREP, """
 SELECT sha256(lower(trim(regexp_replace(job_desig, '\\s+', ' ', 'g'))) || '|' || key_skills || '|' || lower(location) || '|' || trim(experience)) AS feature_signature, count(*) AS n, round(count(*) FILTER (band = 0) / count(*)::DOUBLE, 6)::DOUBLE AS share_0,
   round(count(*) FILTER (band = 5) / count(*)::DOUBLE, 6)::DOUBLE AS share_5 FROM prep GROUP BY 1"""))
 def soft_band_targets(b):
-    return od.soft_targets(prepared(b)).select("feature_signature", "n", F.round("share_0", 6).alias("share_0"), F.round("share_5", 6).alias("share_5"))
+    return od.soft_targets(shaped(b)).select("feature_signature", "n", F.round("share_0", 6).alias("share_0"), F.round("share_5", 6).alias("share_5"))
 
 
 @query("AGG-18", sql(PREP, """
@@ -123,8 +129,6 @@ def band_fit_metrics(b):
 @query("EV-17", sql(PREP + " radius", """
 SELECT role_family, (SELECT radius FROM radius)::INTEGER AS radius, count(*) AS n, round(avg(covered::INTEGER), 6)::DOUBLE AS coverage, round(avg(width), 6)::DOUBLE AS set_width FROM sets GROUP BY role_family HAVING count(*) >= 30"""))
 def band_set_coverage(b):
-    from talentgrid.session import cut
-
     scored = cut(_scored(b))
     radius = od.calibration_radius(scored.filter("split = 'calibration'")).select("radius").scalar()
     return _covered(scored).groupBy("role_family").agg(
@@ -138,8 +142,6 @@ def band_set_coverage(b):
 SELECT slice, value, count(*) AS rows, count(DISTINCT group_id) AS groups, count(*) >= 30 AND count(DISTINCT group_id) >= 20 AS supported,
   CASE WHEN supported THEN round(avg(covered::INTEGER), 6) END::DOUBLE AS coverage, CASE WHEN supported THEN round(avg(width), 6) END::DOUBLE AS mean_width FROM long GROUP BY slice, value"""))
 def band_calibration_audit(b):
-    from talentgrid.session import cut
-
     covered = _covered(cut(_scored(b)))
     table = od.calibration_audit(covered, {
         "role_family": F.col("role_family"), "truncated": F.col("skills_truncated"), "experience": od.experience_slice(F.col("exp_mid"))})
@@ -148,8 +150,6 @@ def band_calibration_audit(b):
 
 @query("EV-18 (intervals), SMP-6")
 def band_calibration_intervals(b):
-    from talentgrid.session import cut
-
     covered = _covered(cut(_scored(b)))
     table = od.calibration_audit(covered, {"role_family": F.col("role_family")}, replicates=500)
     return table.select("slice", "value", F.round("coverage", 4).alias("coverage"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
@@ -173,7 +173,7 @@ SELECT p.family, a AS antecedent, b AS consequent, count, round(count / n::DOUBL
 FROM p JOIN n ON n.family = p.family JOIN s sa ON sa.family = p.family AND sa.skill = a JOIN s sb ON sb.family = p.family AND sb.skill = b WHERE count >= greatest(20, floor(0.01::DOUBLE * n))
 ORDER BY round(count * n / (sa.c * sb.c)::DOUBLE, 9) DESC, count DESC, p.family, a, b LIMIT 80"""))
 def skill_association_rules(b):
-    return od.association_rules(prepared(b)).select(
+    return od.association_rules(shaped(b)).select(
         "family", "antecedent", "consequent", "count", *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
@@ -202,8 +202,6 @@ def _cohort(b):
 @query("EV-23 (models)")
 def cohort_model_auc(b):
     from talentgrid.operators.pay import auc
-    from talentgrid.session import cut
-
     cohort = _cohort(b)
     fold = num.hash_bucket(F.col("group_id"), "fold:", 5)
     out = None
@@ -273,8 +271,6 @@ def fitted_temperature(b):
 
 @query("EV-19, EV-32")
 def band_classifier_metrics(b):
-    from talentgrid.session import cut
-
     rows = cut(prepared(b))
     train, valid = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
     fitted = od.band_metrics(od.predict_bands(od.band_classifier(train), valid)).withColumns({"model": F.lit("words"), "baseline": F.lit(False)})
@@ -287,8 +283,6 @@ def band_classifier_metrics(b):
 
 @query("EV-21")
 def token_variant_errors(b):
-    from talentgrid.session import cut
-
     rows = cut(prepared(b))
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     a = cut(od.predict_bands(od.band_classifier(train), test))
@@ -298,13 +292,11 @@ def token_variant_errors(b):
 
 @query("EV-21 (rows)", sql(PREP, "SELECT count(*) FILTER (skills <> skills_permissive) AS changed, count(*) AS rows FROM prep"))
 def changed_token_rows(b):
-    return od.changed_rows(prepared(b))
+    return od.changed_rows(shaped(b))
 
 
 @query("EV-25")
 def threshold_slopes(b):
-    from talentgrid.session import cut
-
     rows = cut(prepared(b).filter("split = 'train'").withColumn("skill_count", F.size("skills")))
     return od.threshold_slopes(rows, ["exp_mid", "skill_count"]).select("threshold", "feature", F.round("slope", 2).alias("slope"), F.round("se", 2).alias("se"))
 
@@ -322,7 +314,7 @@ def _requests(rows):
 
 @query("JN-7, FLT-3", sql(PREP, REQUESTS + " SELECT request_id, count(*) AS support, round(avg(band), 6)::DOUBLE AS mean_band FROM pool GROUP BY 1"))
 def scenario_pools(b):
-    rows = prepared(b)
+    rows = shaped(b)
     return od.scenario_pool(_requests(rows), rows).groupBy("request_id").agg(
         F.count(F.lit(1)).alias("support"), F.round(F.avg("band"), 6).alias("mean_band"))
 
@@ -330,7 +322,7 @@ def scenario_pools(b):
 @query("AGG-21", sql(PREP, REQUESTS + """, own AS (SELECT request_id, s AS skill FROM req, (SELECT unnest(['small', 'ring', 'nothing']) AS s)), seen AS (SELECT DISTINCT request_id, unnest(skills) AS skill FROM pool)
 SELECT request_id, count(*) AS submitted, count(seen.skill) AS observed, round(count(seen.skill) / count(*)::DOUBLE, 6)::DOUBLE AS fraction FROM own LEFT JOIN seen USING (request_id, skill) GROUP BY request_id""".replace("count(seen.skill)", "count(hit)").replace("LEFT JOIN seen USING", "LEFT JOIN (SELECT *, true AS hit FROM seen) USING")))
 def scenario_vocabulary(b):
-    rows = prepared(b)
+    rows = shaped(b)
     requests = _requests(rows)
     owned = requests.select("request_id", F.explode(F.array(F.lit("small"), F.lit("ring"), F.lit("nothing"))).alias("skill"))
     return od.vocabulary_evidence(owned, od.scenario_pool(requests, rows)).withColumn("fraction", F.round("fraction", 6))
@@ -340,7 +332,7 @@ def scenario_vocabulary(b):
 SELECT req.request_id, count(p.row_key) AS support, count(p.row_key) >= 20 AND family NOT IN ('All', 'Other') AS available, CASE WHEN available THEN 2 END::INTEGER AS prediction,
   CASE WHEN available THEN 1 END::INTEGER AS set_low, CASE WHEN available THEN 3 END::INTEGER AS set_high FROM req LEFT JOIN pool p ON p.request_id = req.request_id GROUP BY req.request_id, family"""))
 def scenario_band_sets(b):
-    rows = prepared(b)
+    rows = shaped(b)
     requests = _requests(rows)
     fixed = requests.select("request_id", F.lit(2).alias("prediction"))
     return od.band_answers(requests, rows, fixed, F.lit(1)).select("request_id", "support", "available", "prediction", "set_low", "set_high")
@@ -349,9 +341,7 @@ def scenario_band_sets(b):
 @query("COV-18, AGG-19")
 def scenario_plan_roll_up(b):
     from talentgrid.operators import coverage as cov
-    from talentgrid.session import cut
-
-    rows = cut(prepared(b))
+    rows = shaped(b)
     requests = cut(_requests(rows))
     pool = od.scenario_pool(requests, rows).select(F.col("request_id").alias("instance_id"), F.col("row_key").alias("job_id"), F.lit(1).cast("long").alias("value"))
     edges = rows.select(F.col("row_key").alias("job_id"), F.explode("skills").alias("skill_id"))

@@ -109,13 +109,14 @@ class Bound:
     def job_skill(self) -> DataFrame:
         """Distinct posting-skill edges, kept for the query that uses them several times.
 
-        Repeats are dropped map-side first, so a posting with very many lines arrives as its distinct skills; the edges
+        Repeats are dropped map-side, so a posting with very many lines arrives as its distinct skills in one shuffle; the edges
         then stay partitioned by posting and later groupings and joins that include job_id need no further shuffle.
         """
         line, part = self.raw("lineitem"), self.raw("part")
         edges = line.join(part, line.l_partkey == part.p_partkey).select(
             F.col("l_orderkey").alias("job_id"), F.concat_ws("|", "p_brand", "p_type").alias("skill_id"))
-        return edges.distinct().repartition("job_id").persist(StorageLevel.MEMORY_AND_DISK)
+        sets = edges.groupBy("job_id").agg(F.collect_set("skill_id").alias("skills"))
+        return sets.select("job_id", F.explode("skills").alias("skill_id")).persist(StorageLevel.MEMORY_AND_DISK)
 
     @property
     def job_tag(self) -> DataFrame:

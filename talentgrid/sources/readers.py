@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from talentgrid.functions.distributed import listed_once
+
 # Dataset names of the taxonomy folder and the files that hold them.
 CATALOG_FILES = {
     "occupations_core": "occupations_en.csv",
@@ -47,10 +49,10 @@ def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_catalog(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """The named taxonomy datasets, all 17 by default; repeated skill concepts are dropped."""
+    """The named taxonomy datasets, all 17 by default; of repeated skill concepts the first stays."""
     out = {name: read_catalog_csv(spark, f"{folder}/{CATALOG_FILES[name]}") for name in names or CATALOG_FILES}
     if "skills_core" in out:
-        out["skills_core"] = out["skills_core"].dropDuplicates(["conceptUri"])
+        out["skills_core"] = listed_once(out["skills_core"], ["conceptUri"])
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talentgrid.functions.distributed import listed_once
 from talentgrid.functions.numeric import finite
 
 
@@ -21,11 +22,14 @@ def write_tables(tables: dict[str, DataFrame], folder: str, long_text: dict[str,
 
 
 def write_graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], folder: str, node_keys: dict[str, str]) -> None:
-    """Node and edge tables, one folder per label and type; a repeated load replaces them and gives the same rows."""
+    """Node and edge tables, one folder per label and type; a repeated load replaces them and gives the same rows.
+
+    Of repeated nodes and edges the last listed stays.
+    """
     for label, df in nodes.items():
-        df.dropDuplicates([node_keys.get(label, "uri")]).write.mode("overwrite").parquet(f"{folder}/nodes_{label}")
+        listed_once(df, [node_keys.get(label, "uri")], last=True).write.mode("overwrite").parquet(f"{folder}/nodes_{label}")
     for kind, df in edges.items():
-        df.write.mode("overwrite").parquet(f"{folder}/edges_{kind}")
+        listed_once(df, ["src", "dst"], last=True).write.mode("overwrite").parquet(f"{folder}/edges_{kind}")
 
 
 def report_rows(report: str, section: str, metrics: DataFrame) -> DataFrame:

@@ -349,3 +349,15 @@ def test_pairs_of_a_long_set_are_shared(spark):
     sets = spark.createDataFrame([(1, list(range(700)))], "owner int, items array<int>")
     pairs = item_pairs(sets, ["owner"])
     assert pairs.filter("a < b").distinct().count() == pairs.count() == 700 * 699 // 2
+
+
+def test_first_and_last_listed_rows(spark, tmp_path):
+    from talentgrid.functions.distributed import listed_once
+
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("a", None)], "k string, v int").coalesce(1)
+    assert sorted(map(tuple, listed_once(df, ["k"]).collect())) == [("a", 2), ("b", 1)]
+    assert {tuple(r) for r in listed_once(df, ["k"], last=True).collect()} == {("a", None), ("b", 3)}
+    assert listed_once(df.select("k"), ["k"]).count() == 2
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "b", 2)], "src string, dst string, weight int").coalesce(1)
+    sinks.write_graph({"N": df.withColumnRenamed("k", "uri")}, {"E": edges}, str(tmp_path), {})
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/edges_E").collect()] == [("a", "b", 2)]
