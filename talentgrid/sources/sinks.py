@@ -24,12 +24,12 @@ def write_tables(tables: dict[str, DataFrame], folder: str, long_text: dict[str,
 def write_graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], folder: str, node_keys: dict[str, str]) -> None:
     """Node and edge tables, one folder per label and type; a repeated load replaces them and gives the same rows.
 
-    Of repeated nodes and edges the last listed stays.
+    Of repeated nodes and edges the last listed stays; the first two columns of an edge table are its ends.
     """
     for label, df in nodes.items():
         listed_once(df, [node_keys.get(label, "uri")], last=True).write.mode("overwrite").parquet(f"{folder}/nodes_{label}")
     for kind, df in edges.items():
-        listed_once(df, ["src", "dst"], last=True).write.mode("overwrite").parquet(f"{folder}/edges_{kind}")
+        listed_once(df, df.columns[:2], last=True).write.mode("overwrite").parquet(f"{folder}/edges_{kind}")
 
 
 def report_rows(report: str, section: str, metrics: DataFrame) -> DataFrame:
