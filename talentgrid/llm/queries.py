@@ -58,10 +58,8 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokens.prefix_counts(
-        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    return counted.select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"),
-        tokens.chars_within(F.col("steps"), 1024).alias("chars_within_limit"))
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, budgets=(1024,), steps=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "chars_within_1024")
 
 
 @query("""

@@ -198,9 +198,9 @@ class PrefixCounter:
     def _plain(self, text: list[str], known) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        found = [known(u) for u in text]
+        found = list(map(known, text))
         total = np.array([f[0] for f in found])
-        return np.frombuffer(b"".join([f[1] for f in found]), np.int32) + np.repeat(np.cumsum(total) - total, [len(u) for u in text])
+        return np.frombuffer(b"".join([f[1] for f in found]), np.int32) + np.repeat(np.cumsum(total) - total, list(map(len, text)))
 
     def counts(self, texts: list[str]) -> list[np.ndarray]:
         """Token counts of all code-point prefixes of each text; a special token counts as one, cut it is plain text."""
@@ -232,14 +232,27 @@ def counter(path: str, pattern: str) -> PrefixCounter:
     return PrefixCounter(path, pattern)
 
 
-def prefix_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_bytes, n_chars, n_tokens, steps.
+def prefix_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+                  budgets: tuple[int, ...] = (), steps: bool = True) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_bytes, n_chars, n_tokens, chars_within_<b> for each b of `budgets`, steps.
 
-    `steps` holds, as 16-bit differences in text order, the exact token count of every code-point prefix. A null text
-    counts as empty: zero tokens, no steps. Repeated rows give equal rows, an empty table an empty result, and other
-    columns are not read. `path` must be readable on every executor.
+    `steps`, left out on demand, holds as 16-bit differences in text order the exact token count of every code-point
+    prefix; chars_within_<b> is the length of the longest prefix of at most b tokens. A null text counts as empty: zero
+    tokens, no steps. Repeated rows give equal rows, an empty table an empty result, and other columns are not read.
+    `path` must be readable on every executor.
     """
     kind = dict(docs.dtypes)[id_col]
+    names = ["doc_id", "n_bytes", "n_chars", "n_tokens", *(f"chars_within_{b}" for b in budgets)]
+
+    def longest(counts: np.ndarray, budget: int) -> int:
+        fits = np.flatnonzero(counts <= budget)
+        return int(fits[-1]) + 1 if len(fits) else 0
+
+    def packed(counts: np.ndarray) -> bytes:
+        each = np.diff(counts, prepend=0)
+        if len(each) and np.abs(each).max() >= 1 << 15:
+            raise OverflowError("a step exceeds 16 bits")
+        return each.astype("<i2").tobytes()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,17 +260,15 @@ def prefix_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 part = batch.slice(at, SLICE_ROWS)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 counts = counter(path, pattern).counts(texts)
-                steps = [np.diff(c, prepend=0) for c in counts]
-                if any(len(s) and np.abs(s).max() >= 1 << 15 for s in steps):
-                    raise OverflowError("a step exceeds 16 bits")
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(map(len, texts), pa.int64()),
-                     pa.array([int(c[-1]) if len(c) else 0 for c in counts], pa.int64()),
-                     pa.array([s.astype("<i2").tobytes() for s in steps], pa.binary())],
-                    ["doc_id", "n_bytes", "n_chars", "n_tokens", "steps"])
+                made = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(map(len, texts), pa.int64()),
+                        pa.array([int(c[-1]) if len(c) else 0 for c in counts], pa.int64()),
+                        *(pa.array([longest(c, b) for c in counts], pa.int64()) for b in budgets)]
+                if steps:
+                    made.append(pa.array([packed(c) for c in counts], pa.binary()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], [*names, "steps"][: 1 + len(made)])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        count, f"doc_id {kind}, n_bytes long, n_chars long, n_tokens long, steps binary")
+        count, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]) + ", steps binary" * steps)
 
 
 def tokens_at(steps: Column, chars: Column) -> Column:
