@@ -89,27 +89,33 @@ def _suffixes(docs: DataFrame, gram: int, window: int, least: int) -> DataFrame:
     return docs.mapInArrow(find, f"gram long, left long, right long, doc_id {kind}, pos int, before int, after int")
 
 
-def _with_words(chosen: DataFrame, docs: DataFrame, window: int, least: int) -> DataFrame:
-    """`chosen` (key, doc_id, pos, many) with the words after and, in reverse, before each position."""
+def _in_both_orders(chosen: DataFrame, docs: DataFrame, gram: int, window: int, least: int) -> DataFrame:
+    """Two rows per suffix of `chosen`: `sorted` holds its words onward (side 0) or backward (side 1), `other` the others.
+
+    `near` digests the first words of the order after the gram. A match of `least` words needs half of what is missing from
+    the gram on one side, so in one of the orders both its suffixes have the same `near`.
+    """
     wanted = cut(chosen.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "left", "right", "pos", "many")).alias("places")))
     rows = docs.join(broadcast_if_small(wanted, 50_000), "doc_id")
-    kind = dict(docs.dtypes)["doc_id"]
+    kind, near = dict(docs.dtypes)["doc_id"], (least - gram + 1) // 2
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                words = [w.decode() for w in words_of(batch.column("text")[row].as_py())]
-                places = batch.column("places")[row].as_py()
-                made = [{**p, "onward": words[p["pos"] : p["pos"] + least], "back": words[max(0, p["pos"] - window + 1) : p["pos"]][::-1]} for p in places]
-                columns = {c: [m[c] for m in made] for c in ("gram", "left", "right", "many", "onward", "back")}
+                words, made = words_of(batch.column("text")[row].as_py()), []
+                for p in batch.column("places")[row].as_py():
+                    onward, back = words[p["pos"] : p["pos"] + least], words[max(0, p["pos"] - window + 1) : p["pos"]][::-1]
+                    texts = b" ".join(onward).decode(), b" ".join(back).decode()
+                    for side, first in ((0, onward[gram : gram + near]), (1, back[:near])):
+                        digest = xxhash.xxh3_64_intdigest(b" ".join(first)) - (1 << 63)
+                        made.append((p["gram"], p["left"], p["right"], side, digest, texts[side], texts[1 - side], p["many"]))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns["gram"], pa.int64()), pa.array(columns["left"], pa.int64()), pa.array(columns["right"], pa.int64()),
-                     batch.column("doc_id").take(pa.array([row] * len(made), pa.int64())), pa.array(columns["many"], pa.bool_()),
-                     pa.array(columns["onward"], pa.list_(pa.string())), pa.array(columns["back"], pa.list_(pa.string()))],
-                    ["gram", "left", "right", "doc_id", "many", "onward", "back"])
+                    [*(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)), batch.column("doc_id").take(pa.array([row] * len(made), pa.int64()))],
+                    ["gram", "left", "right", "side", "near", "sorted", "other", "many", "doc_id"])
 
     return rows.select("doc_id", "text", "places").mapInArrow(
-        read, f"gram long, left long, right long, doc_id {kind}, many boolean, onward array<string>, back array<string>")
+        read, f"gram long, left long, right long, side int, near long, sorted string, other string, many boolean, doc_id {kind}")
 
 
 def _common(a: list[str], b: list[str]) -> int:
@@ -119,13 +125,12 @@ def _common(a: list[str], b: list[str]) -> int:
     return next(i for i in range(n) if a[i] != b[i])
 
 
-def _neighbours(suffixes: DataFrame, order: str, near: int, least: int) -> DataFrame:
-    """Matches (gram, left, right, before, after) of at least `least` words between suffixes that are neighbours in one order.
+def _neighbours(suffixes: DataFrame, least: int) -> DataFrame:
+    """Matches (gram, left, right, before, after) of at least `least` words between suffixes that are neighbours in an order.
 
-    Rows are dealt by the gram and the first `near` words of the order: a match that is found by no row of its own group
-    in either order is too short. Of a run of one document's suffixes all meet the next other document's.
+    Rows are dealt by gram, side and `near`. Of a run of one document's suffixes all meet the next other document's.
     """
-    ready = suffixes.repartition("gram", F.slice(order, 1, near)).sortWithinPartitions("gram", order, "doc_id")
+    ready = suffixes.repartition("gram", "side", "near").sortWithinPartitions("gram", "side", "sorted", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[dict] = []  # the last suffixes of one document
@@ -134,12 +139,14 @@ def _neighbours(suffixes: DataFrame, order: str, near: int, least: int) -> DataF
             found = []
 
             def meet(a: dict, b: dict, found: list = found) -> None:
-                onward, back = _common(a["onward"], b["onward"]), _common(a["back"], b["back"])
+                shared = _common(a["sorted"], b["sorted"]), _common(a["other"], b["other"])
+                onward, back = shared[a["side"]], shared[1 - a["side"]]
                 if onward + back >= least:
                     found.extend((x["gram"], x["left"], x["right"], back, onward) for x in (a, b))
 
             for now in batch.to_pylist():
-                if run and run[-1]["gram"] != now["gram"]:
+                now["sorted"], now["other"] = now["sorted"].split(" ") if now["sorted"] else [], now["other"].split(" ") if now["other"] else []
+                if run and (run[-1]["gram"], run[-1]["side"]) != (now["gram"], now["side"]):
                     run, before_run = [], None
                 if run and (now["many"] or run[-1]["many"] or run[-1]["doc_id"] != now["doc_id"]):
                     for other in run:
@@ -176,10 +183,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "
         held.groupBy(*around).agg(F.min(F.struct("doc_id", "pos", "before", "after")).alias("first"), F.max("doc_id").alias("other"))
         .select(*around, "first.*", (F.col("first.doc_id") != F.col("other")).alias("many")))
     open_grams = contexts.groupBy("gram").agg(F.min("many").alias("closed"), F.count(F.lit(1)).alias("n")).filter("not closed and n > 1").select("gram")
-    open_ = cut(_with_words(contexts.join(cut(open_grams), "gram", "left_semi"), rows, window, least))
-    half = (least - gram + 1) // 2
-    onward = open_.withColumn("beyond", F.slice("onward", gram + 1, least))
-    met = _neighbours(onward, "beyond", half, least).unionByName(_neighbours(onward, "back", half, least))
+    open_ = contexts.join(cut(open_grams), "gram", "left_semi")
+    met = _neighbours(_in_both_orders(open_, rows, gram, window, least), least)
     whole = contexts.filter(F.col("many") & (F.col("before") + F.col("after") >= least)).select(*around, "before", "after")
     matches = cut(whole.unionByName(met).groupBy(*around).agg(F.collect_set(F.struct("before", "after")).alias("reach")))
     spans = held.select(*around, "doc_id", "pos").join(matches, around).select(
