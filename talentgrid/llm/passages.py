@@ -67,15 +67,12 @@ def _suffixes(docs: DataFrame, gram: int, window: int, least: int) -> DataFrame:
             for begin in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(begin, SLICE_ROWS)
                 known: dict[bytes, int] = {}
+                split = ((row, words_of(text)) for row, text in enumerate(part.column(1).to_pylist()))
+                numbered = [(row, [known.setdefault(w, len(known)) for w in words]) for row, words in split if len(words) >= least]
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
                 found = []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    words = words_of(text)
-                    if len(words) < least:
-                        continue
-                    for w in words:
-                        if w not in known:
-                            known[w] = xxhash.xxh3_64_intdigest(w)
-                    codes = np.array([known[w] for w in words], np.uint64)
+                for row, numbers in numbered:
+                    codes = hashes[numbers]
                     pos, grams = minimisers(codes, gram, window)
                     low, high = np.maximum(pos - (window - 1), 0), np.minimum(pos + least, len(codes))
                     found.append((np.full(len(pos), row), grams, _runs(codes, low, pos, 0x5851F42D4C957F2D), _runs(codes, pos, high, 0x14057B7EF767814F), pos, pos - low, high - pos))
