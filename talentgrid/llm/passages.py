@@ -4,7 +4,8 @@ Of each document only the suffixes at minimiser positions are kept: in every run
 one with the smallest hash. Two copies of a passage of at least 50 words select the same positions inside it, so suffixes
 whose gram occurs in one document only can be dropped at once. The others are sorted, after their gram, by the words to
 the right and again by the words to the left; neighbours of different documents are compared and each match is extended
-both ways. Suffixes with the same words around them, as copies have, collapse before the sort.
+both ways. Suffixes with the same words around them, as copies have, collapse before the sort. What neighbours cannot see,
+since each meets only the next, is found by digests of the runs of 50 words that two documents hold.
 """
 
 from __future__ import annotations
@@ -46,18 +47,30 @@ def _runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) ->
     return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * U(0xD1B54A32D192ED03))
 
 
-def minimisers(codes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the smallest gram hash in each run of `window` grams (the last of equal ones), and the hashes there."""
+def _chosen(codes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of `window` grams the position of the smallest hash (the last of equal ones; it never falls), and all grams' hashes."""
     n = len(codes) - gram + 1
     if n < window:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     at = np.arange(n)
     hashes = _runs(codes, at, at + gram, 0x2545F4914F6CDD1D)
     views = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    chosen = np.unique(np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(axis=1))
+    return np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(axis=1), hashes
+
+
+def minimisers(codes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the smallest gram hash in each run of `window` grams (the last of equal ones), and the hashes there."""
+    of_run, hashes = _chosen(codes, gram, window)
+    chosen = np.unique(of_run)
     return chosen, hashes[chosen]
 
 
+def _around(codes: np.ndarray, pos: np.ndarray, window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words before and from each position that a match through its gram can reach, and how many words those are."""
+    low, high = np.maximum(pos - (window - 1), 0), np.minimum(pos + least, len(codes))
+    return _runs(codes, low, pos, 0x5851F42D4C957F2D), _runs(codes, pos, high, 0x14057B7EF767814F), pos - low, high - pos
+
+
 def _suffixes(docs: DataFrame, gram: int, window: int, least: int) -> DataFrame:
     """gram, left, right (hashes of the gram and of the words around it), doc_id, pos, before, after (how many words those are)."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -74,8 +87,8 @@ def _suffixes(docs: DataFrame, gram: int, window: int, least: int) -> DataFrame:
                 for row, numbers in numbered:
                     codes = hashes[numbers]
                     pos, grams = minimisers(codes, gram, window)
-                    low, high = np.maximum(pos - (window - 1), 0), np.minimum(pos + least, len(codes))
-                    found.append((np.full(len(pos), row), grams, _runs(codes, low, pos, 0x5851F42D4C957F2D), _runs(codes, pos, high, 0x14057B7EF767814F), pos, pos - low, high - pos))
+                    left, right, before, after = _around(codes, pos, window, least)
+                    found.append((np.full(len(pos), row), grams, left, right, pos, before, after))
                 if found:
                     rows, grams, left, right, pos, before, after = (np.concatenate(c) for c in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -86,15 +99,19 @@ def _suffixes(docs: DataFrame, gram: int, window: int, least: int) -> DataFrame:
     return docs.mapInArrow(find, f"gram long, left long, right long, doc_id {kind}, pos int, before int, after int")
 
 
-def _in_both_orders(chosen: DataFrame, docs: DataFrame, gram: int, window: int, least: int) -> DataFrame:
-    """Two rows per suffix of `chosen`: `sorted` holds its words onward (side 0) or backward (side 1), `other` the others.
+def _placed(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text and places of the documents that the suffixes of `chosen` are taken from."""
+    wanted = cut(chosen.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "left", "right", "pos", "many")).alias("places")))
+    return docs.join(broadcast_if_small(wanted, 50_000), "doc_id").select("doc_id", "text", "places")
+
+
+def _in_both_orders(rows: DataFrame, gram: int, window: int, least: int) -> DataFrame:
+    """Two rows per suffix of `rows`, as _placed gives them: `sorted` holds its words onward (side 0) or backward (side 1), `other` the others.
 
     `near` digests the first words of the order after the gram. A match of `least` words needs half of what is missing from
     the gram on one side, so in one of the orders both its suffixes have the same `near`.
     """
-    wanted = cut(chosen.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "left", "right", "pos", "many")).alias("places")))
-    rows = docs.join(broadcast_if_small(wanted, 50_000), "doc_id")
-    kind, near = dict(docs.dtypes)["doc_id"], (least - gram + 1) // 2
+    kind, near = dict(rows.dtypes)["doc_id"], (least - gram + 1) // 2
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +128,7 @@ def _in_both_orders(chosen: DataFrame, docs: DataFrame, gram: int, window: int,
                     [*(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)), batch.column("doc_id").take(pa.array([row] * len(made), pa.int64()))],
                     ["gram", "left", "right", "side", "near", "sorted", "other", "many", "doc_id"])
 
-    return rows.select("doc_id", "text", "places").mapInArrow(
+    return rows.mapInArrow(
         read, f"gram long, left long, right long, side int, near long, sorted string, other string, many boolean, doc_id {kind}")
 
 
@@ -159,15 +176,59 @@ def _neighbours(suffixes: DataFrame, least: int) -> DataFrame:
     return ready.mapInArrow(compare, "gram long, left long, right long, before int, after int")
 
 
+def _in_runs(rows: DataFrame, gram: int, window: int, least: int) -> DataFrame:
+    """Matches (gram, left, right, before, after) of suffixes of `rows` by the runs of `least` words that two documents hold.
+
+    A run is digested at its own minimiser only, which all its copies share. Runs of one suffix all hold its gram, so they
+    make one stretch. Suffixes of several documents match whole anyway and are only met here.
+    """
+    kind, around = dict(rows.dtypes)["doc_id"], ["gram", "left", "right"]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(begin, SLICE_ROWS)
+                known: dict[bytes, int] = {}
+                numbered = [[known.setdefault(w, len(known)) for w in words_of(text)] for text in part.column("text").to_pylist()]
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
+                made = []
+                for row, (numbers, places) in enumerate(zip(numbered, part.column("places").to_pylist(), strict=True)):
+                    codes = hashes[numbers]
+                    of_run, grams = _chosen(codes, gram, window)
+                    places = [p for p in places if p["pos"] < len(grams)]  # rows that share an id may differ
+                    if not places or not len(of_run):
+                        continue
+                    pos = np.array([p["pos"] for p in places])
+                    left, right, _, _ = _around(codes, pos, window, least)
+                    own = np.stack([grams[pos], left, right], axis=1).view(np.int64).tolist()
+                    first, end = np.searchsorted(of_run, pos), np.searchsorted(of_run, pos, "right")
+                    at = np.arange(len(of_run))
+                    runs = _runs(codes, at, at + least, 0x369DEA0F31A53F85).view(np.int64)
+                    made.extend(
+                        (*own[i], int(pos[i] - first[i]), p["many"], runs[first[i] : end[i]], row)
+                        for i, p in enumerate(places) if own[i] == [p["gram"], p["left"], p["right"]] and first[i] < end[i])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)), part.column("doc_id").take(pa.array([m[6] for m in made], pa.int64()))],
+                    [*around, "back", "many", "runs", "doc_id"])
+
+    held = cut(rows.mapInArrow(digest, f"gram long, left long, right long, back int, many boolean, runs array<long>, doc_id {kind}"))
+    shared = held.select("gram", "many", "doc_id", F.explode("runs").alias("run")).groupBy("gram", "run").agg(
+        F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.max("many").alias("many"), F.min("many").alias("closed")).filter(
+        "not closed and (many or one <> other)").select("gram", "run")
+    before = F.col("back") - F.col("at")
+    return held.filter("not many").select(*around, "back", F.posexplode("runs").alias("at", "run")).join(
+        broadcast_if_small(shared, SHARED_GRAMS), ["gram", "run"]).groupBy(*around).agg(
+        F.max(before).alias("before"), F.max(F.lit(least) - before).alias("after"))
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stretches of words that repeat in other documents: doc_id, start_word, end_word (exclusive), n_words, passage.
 
     A stretch is the union of overlapping matches of at least `least` words with other documents; `passage` joins its words
-    with single spaces. Words stand between ASCII white space and are compared as written. Every match of at least
-    1.5 * `least` words is found; one of between `least` and that is missed only if all suffixes kept in it have longer
-    matches elsewhere that are themselves too short in all. Null, blank and shorter texts have no stretches; what repeats
-    within one document alone is none, and rows that repeat an id are one document, rows without id none. An empty table
-    gives an empty result; other columns are not read.
+    with single spaces. Words stand between ASCII white space and are compared as written. Every match is found. Null,
+    blank and shorter texts have no stretches; what repeats within one document alone is none, and rows that repeat an id
+    are one document, rows without id none. An empty table gives an empty result; other columns are not read.
     """
     gram = least // 2
     window = least - gram + 1
@@ -180,8 +241,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "
         held.groupBy(*around).agg(F.min(F.struct("doc_id", "pos", "before", "after")).alias("first"), F.max("doc_id").alias("other"))
         .select(*around, "first.*", (F.col("first.doc_id") != F.col("other")).alias("many")))
     open_grams = contexts.groupBy("gram").agg(F.min("many").alias("closed"), F.count(F.lit(1)).alias("n")).filter("not closed and n > 1").select("gram")
-    open_ = contexts.join(cut(open_grams), "gram", "left_semi")
-    met = _neighbours(_in_both_orders(open_, rows, gram, window, least), least)
+    open_ = _placed(contexts.join(cut(open_grams), "gram", "left_semi"), rows)
+    met = _neighbours(_in_both_orders(open_, gram, window, least), least).unionByName(_in_runs(open_, gram, window, least))
     whole = contexts.filter(F.col("many") & (F.col("before") + F.col("after") >= least)).select(*around, "before", "after")
     matches = cut(whole.unionByName(met).groupBy(*around).agg(F.collect_set(F.struct("before", "after")).alias("reach")))
     spans = held.select(*around, "doc_id", "pos").join(matches, around).select(

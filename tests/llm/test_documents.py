@@ -157,3 +157,23 @@ def test_repeated_passages(spark):
         found[r.doc_id] |= set(range(r.start_word, r.end_word))
     assert found == want and 41 not in want and {3, 4, 5, 40} <= set(want)
     assert passages.repeated_passages(frame(spark, [])).count() == 0
+
+
+def test_repeated_passages_of_edited_copies(spark):
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(300)]
+    for percent in (2, 3, 5):
+        split = {0: base}
+        for i in range(1, 201):
+            split[i] = [f"e{i}_{k}" if rng.random() < percent / 100 else w for k, w in enumerate(base)]
+        seen, want, found = defaultdict(set), defaultdict(set), defaultdict(set)
+        for i, w in split.items():
+            for p in range(len(w) - 49):
+                seen[tuple(w[p : p + 50])].add(i)
+        for i, w in split.items():
+            for p in range(len(w) - 49):
+                if len(seen[tuple(w[p : p + 50])]) > 1:
+                    want[i] |= set(range(p, p + 50))
+        for r in passages.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in split.items()])).collect():
+            found[r.doc_id] |= set(range(r.start_word, r.end_word))
+        assert found == want
