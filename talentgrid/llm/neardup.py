@@ -146,7 +146,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 
 def _with_bands(nodes: DataFrame) -> DataFrame:
-    """`nodes` (node, size, registers, map) with band keys, the lowest bit of each filled register, packed, and the map as numbers."""
+    """`nodes` (node, size, registers, map) with band keys and the map as numbers."""
     kind = dict(nodes.dtypes)["node"]
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +155,13 @@ def _with_bands(nodes: DataFrame) -> DataFrame:
                 continue
             raw = np.stack([np.frombuffer(r, np.uint16) for r in batch.column(2).to_pylist()])
             full = np.stack([filled(r) for r in raw])
-            bits = np.packbits((full & 1).astype(np.uint8), axis=1)
-            bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.int64)
             lists = lambda rows: pa.ListArray.from_arrays(
                 pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
             maps = np.stack([np.frombuffer(m, np.int64) for m in batch.column(3).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], lists(band_keys(full)), lists(bits), lists(maps)], ["node", "size", "registers", "bands", "bits", "map"])
+                [*batch.columns[:3], lists(band_keys(full)), lists(maps)], ["node", "size", "registers", "bands", "map"])
 
-    return nodes.mapInArrow(band, f"node {kind}, size long, registers binary, bands array<long>, bits array<long>, map array<long>")
+    return nodes.mapInArrow(band, f"node {kind}, size long, registers binary, bands array<long>, map array<long>")
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -204,15 +202,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) ->
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirm, f"a {kind}, b {kind}"))
 
 
-def _differing(left: str, right: str) -> Column:
-    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+def _most_shared(left: str, right: str) -> Column:
+    """A bound on how many shingles two sets share: neither has more than its size less its bits that the other lacks.
 
-
-def _most_shared(left: str, right: str, size_left: str, size_right: str) -> Column:
-    """A bound on how many shingles two sets share: neither has more than its size less its bits that the other lacks."""
-    ones = lambda c: F.aggregate(c, F.lit(0), lambda total, x: total + F.bit_count(x))
-    both = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, x: total + x)
-    return F.least(F.col(size_left) - ones(left) + both, F.col(size_right) - ones(right) + both)
+    `spare` is a set's size less its bits; words of the maps are taken one by one, which Spark compiles.
+    """
+    both = sum((F.bit_count(F.col(f"{left}.map")[j].bitwiseAND(F.col(f"{right}.map")[j])) for j in range(MAP_BITS // 64)), F.lit(0))
+    return F.least(f"{left}.spare", f"{right}.spare") + both
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,15 +244,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col:
     mixed = cut(
         placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
         .agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "major"))
-    apart = cut(placed.join(mixed, "key").join(nodes.select("node", "size", "bits", "map"), "node"))
+    ones = F.aggregate("map", F.lit(0), lambda total, x: total + F.bit_count(x))
+    apart = cut(placed.join(mixed, "key").join(nodes.select("node", "size", "map", (F.col("size") - ones).alias("spare")), "node"))
     left, right = apart.filter("root <> major").alias("l"), apart.alias("r")
-    most = F.lit(REGISTERS * (1 - similarity) / 2 + DEVIATIONS * (REGISTERS * (1 - similarity) / 2) ** 0.5)
     meets = (
         (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root"))
         & ((F.col("r.root") == F.col("r.major")) | (F.col("l.node") < F.col("r.node")))
-        & (F.least("l.size", "r.size") >= F.lit(similarity) * F.greatest("l.size", "r.size")) & (_differing("l.bits", "r.bits") <= most))
-    shared_most = _most_shared("l.map", "r.map", "l.size", "r.size")
-    meets = meets & (100 * shared_most >= per_cent * (F.col("l.size") + F.col("r.size") - shared_most))
+        & (F.least("l.size", "r.size") >= F.lit(similarity) * F.greatest("l.size", "r.size")))
+    meets = meets & ((100 + per_cent) * _most_shared("l", "r") >= per_cent * (F.col("l.size") + F.col("r.size")))
     across = left.join(right, meets).select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct()
     more = _confirmed(_plausible(across.join(star, ["a", "b"], "left_anti"), nodes, similarity), rows, width, per_cent)
     if not more.isEmpty():

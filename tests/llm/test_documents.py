@@ -177,3 +177,17 @@ def test_repeated_passages_of_edited_copies(spark):
         for r in passages.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in split.items()])).collect():
             found[r.doc_id] |= set(range(r.start_word, r.end_word))
         assert found == want
+
+
+def test_short_near_duplicates_behind_a_third_leader(spark):
+    # In each group the first text leads every bucket that the other two share, and is linked with neither.
+    groups = [
+        ("w458203 w137189 w839351 w555981", "w393725 w458203 w137189 w839351 w555981 w791443", "w393725 w458203 w137189 w839351 w555981"),
+        ("w766345 w947662 w515517 w207259", "w383967 w766345 w947662 w515517 w207259 w551087", "w383967 w766345 w947662 w515517 w207259"),
+        ("w446762 w22144 w726892 w835443", "w446762 w22144 w726892 w835443 w755635 w457267", "w446762 w22144 w726892 w835443 w755635"),
+        ("w927881 w387321 w190982 w818344", "w494318 w927881 w387321 w190982 w818344 w743708", "w494318 w927881 w387321 w190982 w818344"),
+        ("w89665 w777611 w702147 w686919", "w777597 w89665 w777611 w702147 w686919 w184779", "w777597 w89665 w777611 w702147 w686919"),
+        ("w763783 w193734 w308683 w222580", "w979591 w763783 w193734 w308683 w222580 w507563", "w979591 w763783 w193734 w308683 w222580")]
+    rows = [(3 * n + k, text) for n, group in enumerate(groups) for k, text in enumerate(group)]
+    got = neardup.near_duplicates(frame(spark, rows), 2, 80).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i - 1 if i % 3 == 2 else i) for i, _ in rows}
