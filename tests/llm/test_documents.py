@@ -191,3 +191,16 @@ def test_short_near_duplicates_behind_a_third_leader(spark):
     rows = [(3 * n + k, text) for n, group in enumerate(groups) for k, text in enumerate(group)]
     got = neardup.near_duplicates(frame(spark, rows), 2, 80).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(i, i - 1 if i % 3 == 2 else i) for i, _ in rows}
+
+
+def test_no_pair_of_lines_at_the_threshold_is_lost(spark):
+    rng, rows = random.Random(4), []
+    for i in range(3000):
+        line = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(27)]
+        other = line[:13] + ["QQQ"] + line[14:]  # 24 windows of 30
+        if i < 20:
+            a, b = windows(" ".join(line)), windows(" ".join(other))
+            assert 100 * len(a & b) == 80 * len(a | b)
+        rows.append((i, " ".join(line) + "\n" + " ".join(other)))
+    got = lines.line_groups(frame(spark, rows)).collect()
+    assert {r.copies for r in got} == {2} and len(got) == 6000
