@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, caps, lines, mixing, neardup, pages, passages, quality, radix, tokens
+from talentgrid.llm import bpe, caps, lines, manifest, mixing, neardup, pages, passages, quality, radix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,52 @@ o AS (SELECT base.*, epochs, CAST(floor(budget + 1e-6) AS BIGINT) - epochs * tok
 SELECT doc_id, domain, lang, source, n_tokens, epochs + CAST(taken <= rest AS BIGINT) AS copies FROM o""")
 def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents"), tree(), WEIGHTS, share=0.6, max_epochs=3, seed=7)
+
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR)::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+
+@query(f"""
+WITH RECURSIVE b AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, sha256({" || ".join(map(_field, FIELDS))}) AS leaf,
+    sha256({" || ".join(_field(f) if f != "text" else _field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") for f in FIELDS)}) AS changed,
+    list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS c FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM b),
+n AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS total FROM l
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (max(total) + 15) // 16 FROM n WHERE total > 1 GROUP BY tree, lvl, pos // 16),
+s AS (SELECT tree, node, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM n WHERE total = 1),
+m AS (
+  SELECT 0 AS lvl, pos, node, count(*) OVER () AS total FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (max(total) + 15) // 16 FROM m WHERE total > 1 GROUP BY lvl, pos // 16),
+h AS (SELECT tree, max(lvl) AS height FROM n GROUP BY tree),
+o AS (
+  SELECT a.tree, a.lvl, a.pos, coalesce(string_agg(x.node, '' ORDER BY x.pos) FILTER (x.pos < a.pos), '') AS before,
+    coalesce(string_agg(x.node, '' ORDER BY x.pos) FILTER (x.pos > a.pos), '') AS after
+  FROM n a JOIN n x ON a.tree = x.tree AND a.lvl = x.lvl AND a.pos // 16 = x.pos // 16 WHERE a.total > 1 GROUP BY a.tree, a.lvl, a.pos
+  UNION ALL
+  SELECT s.tree, height + a.lvl, s.pos, coalesce(string_agg(x.node, '' ORDER BY x.pos) FILTER (x.pos < a.pos), ''),
+    coalesce(string_agg(x.node, '' ORDER BY x.pos) FILTER (x.pos > a.pos), '')
+  FROM s JOIN h USING (tree) JOIN m a ON a.pos = s.pos >> 4 * a.lvl JOIN m x ON a.lvl = x.lvl AND a.pos // 16 = x.pos // 16
+  WHERE a.total > 1 GROUP BY s.tree, height, a.lvl, s.pos),
+f AS (
+  SELECT doc_id, leaf, tree, pos, 0 AS lvl, '' AS proof, CASE WHEN xor(c, 4294967295) % 5 = 0 THEN changed ELSE leaf END AS now FROM l
+  UNION ALL
+  SELECT doc_id, leaf, f.tree, f.pos, f.lvl + 1, proof || before || after, sha256(before || now || after)
+  FROM f JOIN h USING (tree) JOIN o ON o.tree = f.tree AND o.lvl = f.lvl AND (f.lvl >= height OR o.pos = f.pos >> 4 * f.lvl)),
+e AS (SELECT h.tree, height + (SELECT max(lvl) FROM m) AS ends FROM h)
+SELECT doc_id, leaf, s.node AS subroot, (SELECT node FROM m WHERE total = 1) AS root, sha256(proof) AS proof_sha256, now AS folded_root,
+  now = (SELECT node FROM m WHERE total = 1) AS verified
+FROM f JOIN e ON e.tree = f.tree AND ends = f.lvl JOIN s ON s.tree = f.tree""")
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest(
+        table(spark, folder, "documents"), FIELDS, {"text": manifest.folded_case(F.col("text"))},
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
