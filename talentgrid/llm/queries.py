@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, caps, lines, manifest, mixing, neardup, pages, passages, quality, radix, tokens
+from talentgrid.llm import bpe, caps, centroids, lines, manifest, mixing, neardup, pages, passages, quality, radix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -227,3 +227,33 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.manifest(
         table(spark, folder, "documents"), FIELDS, {"text": manifest.folded_case(F.col("text"))},
         F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
+def _rounds(k: int, rounds: int) -> str:
+    """SQL of all assignments and moves: a0, c1, a1, c2, ..."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT row_no, vec_id, x, min(struct_pack(d := list_sum(list_transform(list_zip(x, v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c := c)) AS b
+  FROM v, c{i} GROUP BY row_no, vec_id, x)""")
+        if i < rounds:
+            out.append(f"""
+s{i} AS (SELECT b.c AS c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, 65) AS r(i) GROUP BY b.c, i),
+c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c AS c, coalesce(m, c{i}.v) AS v
+  FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{i} GROUP BY c) USING (c))""")
+    return ",".join(out)
+
+
+@query(f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS v FROM (
+  SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT 40)),{_rounds(40, 5)}
+SELECT vec_id, b.c::INT AS cluster, b.d AS distance, sum(b.d) OVER (PARTITION BY b.c)::BIGINT AS cluster_inertia, sum(b.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c5.v, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.c = b.c""")
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_report(*centroids.clusters(table(spark, folder, "embeddings"), k=40, rounds=5, seed=2))
