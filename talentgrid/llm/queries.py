@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, caps, centroids, lines, manifest, mixing, neardup, pages, passages, quality, radix, tokens
+from talentgrid.llm import bpe, caps, centroids, lines, manifest, mixing, neardup, pages, passages, posting_lists, quality, radix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -257,3 +257,9 @@ SELECT vec_id, b.c::INT AS cluster, b.d AS distance, sum(b.d) OVER (PARTITION BY
 FROM a5 JOIN c5 ON c5.c = b.c""")
 def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster_report(*centroids.clusters(table(spark, folder, "embeddings"), k=40, rounds=5, seed=2))
+
+
+@query()
+def op12_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    found = posting_lists.nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+    return found.withColumn("query_id", F.col("query_id").cast("long"))
