@@ -158,7 +158,7 @@ def place_norm(c: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
     spelled = F.array_join(F.transform(F.split(folded, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
     folded = F.when(folded.rlike("[" + "".join(several) + "]"), spelled).otherwise(folded)
-    ascii_only = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+    ascii_only = F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(c)
     return F.trim(squeeze(F.regexp_replace(F.lower(ascii_only), r"[^a-z0-9 \-]", " ")))
 
 
@@ -173,6 +173,83 @@ def _ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
     return {c: b for c, b in folds.items() if len(b) == 1}, {c: b for c, b in folds.items() if len(b) > 1}
 
 
+WORD_LETTERS = 62  # letters per word of match bits: the sum of two words and a carry stays below 64 bits
+
+
+def _bits(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two strings, by bit-parallel steps over words of letters of `a`.
+
+    Bit i of the state is cleared once letter i ends a longer common subsequence; each letter of `b` takes an addition
+    per word. Names of up to 62 letters fit in one word, longer ones hand carries on from word to word.
+    """
+    def single(x: Column, y: Column) -> Column:
+        def places(letter: Column) -> Column:
+            start = F.struct(F.lit(0).cast("long").alias("bits"), F.lit(1).cast("long").alias("bit"))
+            return F.aggregate(x, start, lambda t, z: F.struct(
+                (t["bits"] + F.when(z == letter, t["bit"]).otherwise(0)).alias("bits"), (t["bit"] * 2).alias("bit")))["bits"]
+
+        def step(table: Column, full: Column, state: Column, letter: Column) -> Column:
+            hit = state.bitwiseAND(F.coalesce(F.try_element_at(table, letter), F.lit(0)))
+            return (state + hit).bitwiseOR(state - hit).bitwiseAND(full)
+
+        def run(table: Column) -> Column:
+            full = _bits(F.size(x))
+            return F.size(x) - F.bit_count(F.aggregate(y, full, lambda state, letter: step(table, full, state, letter)))
+
+        return bind(F.map_from_entries(F.transform(F.array_distinct(x), lambda z: F.struct(z, places(z)))), run)
+
+    def several(x: Column, y: Column) -> Column:
+        words = F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(WORD_LETTERS)), lambda at: F.slice(x, at + 1, F.lit(WORD_LETTERS)))
+
+        def step(words: Column, state: Column, letter: Column) -> Column:
+            def word(done: Column, i: Column) -> Column:
+                bits = F.aggregate(
+                    words[i], F.struct(F.lit(0).cast("long").alias("bits"), F.lit(1).cast("long").alias("bit")),
+                    lambda t, z: F.struct((t["bits"] + F.when(z == letter, t["bit"]).otherwise(0)).alias("bits"), (t["bit"] * 2).alias("bit")))["bits"]
+                hit = state[i].bitwiseAND(bits)
+                total = state[i] + hit + done["carry"]
+                after = total.bitwiseOR(state[i] - hit).bitwiseAND(_bits(F.size(words[i])))
+                return F.struct(F.concat(done["words"], F.array(after)).alias("words"), F.shiftright(total, WORD_LETTERS).bitwiseAND(F.lit(1).cast("long")).alias("carry"))
+
+            start = F.struct(F.array().cast("array<bigint>").alias("words"), F.lit(0).cast("long").alias("carry"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), start, word)["words"]
+
+        def run(words: Column) -> Column:
+            last = F.aggregate(y, F.transform(words, lambda w: _bits(F.size(w))), lambda state, letter: step(words, state, letter))
+            return F.size(x) - F.aggregate(last, F.lit(0), lambda n, w: n + F.bit_count(w))
+
+        return bind(words, run)
+
+    def letters(c: Column) -> Column:
+        return F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+
+    def both(x: Column, y: Column) -> Column:
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0).when(F.size(x) <= WORD_LETTERS, single(x, y)).otherwise(several(x, y))
+
+    return bind(letters(a), lambda x: bind(letters(b), lambda y: both(x, y)))
+
+
+# Source spellings of states, in lower case, with the name used everywhere else.
+STATE_NAMES = {
+    "andaman and nicobar islands": "Andaman and Nicobar",
+    "andaman & n. island": "Andaman and Nicobar",
+    "the dadra and nagar haveli and daman and diu": "Dadra and Nagar Haveli and Daman and Diu",
+    "dadra & nagar haveli & daman & diu": "Dadra and Nagar Haveli and Daman and Diu",
+    "jammu & kashmir": "Jammu and Kashmir",
+    "jammu and kashmir": "Jammu and Kashmir",
+}
+
+
+def canonical_state(c: Column) -> Column:
+    """A state's usual name: blanks collapsed, known spellings replaced whatever their case."""
+    table = F.create_map(*[F.lit(x) for pair in STATE_NAMES.items() for x in pair])
+    return bind(squeeze(strip_chars(c, " \t\n\r\f\x0b")), lambda n: F.coalesce(F.try_element_at(table, F.lower(n)), n))
+
+
 def location_parts(c: Column) -> Column:
     """Array of (token, hybrid, remote) per non-empty part of a location string, in listed order."""
     parts = F.filter(

@@ -141,81 +141,125 @@ def plan_value(packed: DataFrame, plan: DataFrame) -> DataFrame:
     return objectives(rows.withColumn("covered", _covered()), F.col("covered"))
 
 
-def best_subset(packed: DataFrame, k: int = 3, max_candidates: int = 16) -> DataFrame:
-    """True optimum over subsets of at most k of each instance's `max_candidates` best single skills (by smooth gain).
+def _effects(packed: DataFrame, k: int) -> DataFrame:
+    """(instance, part, h): what the skills of `part` (sorted, at most k) open together beyond what its own parts open.
 
-    A posting only reacts to subsets of its own missing candidates, so each posting emits the interaction terms of those
-    few subsets; they are summed per instance, and every combination adds up the terms it contains. Ties go to fewer,
-    then alphabetically first skills.
+    A posting only reacts to sets of its own missing skills, and not at all if its k heaviest do not suffice; equal
+    postings of an instance count as one with their summed value.
+    """
+    same = packed.filter(~_reached(F.col("base"))).groupBy("instance_id", "base", "need", "missing").agg(F.sum("value").alias("value"))
+    heaviest = F.slice(F.reverse(F.array_sort(F.transform("missing", lambda m: m["w"]))), 1, k)
+    rows = same.filter(_reached(F.col("base") + F.aggregate(heaviest, F.lit(0).cast("long"), lambda t, w: t + w)))
+
+    def reach(*items: Column) -> Column:
+        return _reached(sum((i["w"] for i in items), F.col("base"))).cast("int")
+
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    later = lambda at: F.slice("missing", F.col(at) + 2, F.size("missing"))
+    one = rows.select("instance_id", "base", "need", "missing", "value", F.posexplode("missing").alias("i", "a"))
+    parts = [one.select("instance_id", "value", F.array("a.s").alias("part"), reach(a).alias("h"))]
+    if k >= 2:
+        two = one.select("*", F.posexplode(later("i")).alias("_j", "b")).withColumn("j", F.col("i") + 1 + F.col("_j"))
+        parts.append(two.select("instance_id", "value", F.array("a.s", "b.s").alias("part"), (reach(a, b) - reach(a) - reach(b)).alias("h")))
+    if k >= 3:
+        three = two.select("*", F.explode(later("j")).alias("c"))
+        parts.append(three.select(
+            "instance_id", "value", F.array("a.s", "b.s", "c.s").alias("part"),
+            (reach(a, b, c) - reach(a, b) - reach(a, c) - reach(b, c) + reach(a) + reach(b) + reach(c)).alias("h")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.filter("h <> 0").groupBy("instance_id", "part").agg(F.sum(F.col("value") * F.col("h")).alias("h"))
+
+
+def best_subset(packed: DataFrame, k: int = 3) -> DataFrame:
+    """True optimum over all subsets of at most k missing skills: (instance_id, skills, F, proven). k is 1, 2 or 3.
+
+    Branch and bound over the joint effects of skills. The best set that some posting reacts to as a whole is the
+    incumbent. A skill, then a pair, stays only if its value plus bounds on what further skills can add (the best single
+    effect, and the best effects with each skill and pair it holds) reaches the incumbent; triples are met from surviving
+    pairs. Nothing that could be optimal is dropped, so `proven` holds for every instance. Ties go to fewer, then
+    alphabetically first skills.
     """
     if k not in (1, 2, 3):
         raise ValueError("k must be 1, 2 or 3")
-    shortlist = best_per_group(
-        gains(packed, start_runs(packed)), ["run_id"], by_smooth(), max_candidates
-    ).groupBy("run_id").agg(F.array_sort(F.collect_list("skill_id")).alias("cands"))
-    shortlist = cut(start_runs(packed).select("instance_id", "run_id").join(shortlist, "run_id").drop("run_id"))
-
-    def terms(open_items: Column) -> Column:
-        def reach(extra: Column | int) -> Column:
-            return F.when(_reached(F.col("base") + extra), 1).otherwise(0)
-
-        def term(skills: list[Column], value: Column) -> Column:
-            return F.struct(F.array(*skills).alias("part"), value.cast("long").alias("h"))
-
-        def later(items: Column, i: Column) -> Column:
-            return F.slice(items, i + 2, F.size(items))
-
-        none = reach(0)
-
-        def one(a: Column) -> Column:
-            return reach(a["w"]) - none
-
-        def two(a: Column, c: Column) -> Column:
-            return reach(a["w"] + c["w"]) - reach(a["w"]) - reach(c["w"]) + none
-
-        def three(a: Column, c: Column, d: Column) -> Column:
-            return (reach(a["w"] + c["w"] + d["w"]) - reach(a["w"] + c["w"]) - reach(a["w"] + d["w"])
-                    - reach(c["w"] + d["w"]) + reach(a["w"]) + reach(c["w"]) + reach(d["w"]) - none)
-
-        parts = [F.transform(open_items, lambda a: term([a["s"]], one(a)))]
-        if k >= 2:
-            parts.append(F.flatten(F.transform(open_items, lambda a, i: F.transform(
-                later(open_items, i), lambda c: term([a["s"], c["s"]], two(a, c))))))
-        if k >= 3:
-            parts.append(F.flatten(F.transform(open_items, lambda a, i: F.flatten(F.transform(
-                later(open_items, i), lambda c, j: F.transform(
-                    later(later(open_items, i), j), lambda d: term([a["s"], c["s"], d["s"]], three(a, c, d))))))))
-        return F.concat(*parts)
-
-    open_rows = packed.filter(~_reached(F.col("base"))).join(shortlist, "instance_id").withColumn(
-        "open", F.array_sort(F.filter("missing", lambda m: F.array_contains("cands", m["s"]))))
-    sums = open_rows.select("instance_id", "value", F.explode(terms(F.col("open"))).alias("t")).filter(
-        F.col("t.h") != 0).groupBy("instance_id", F.col("t.part").alias("part")).agg(
-        F.sum(F.col("value") * F.col("t.h")).alias("h"))
-
-    def combos() -> Column:
-        c = F.col("cands")
-        singles = F.transform(c, lambda a: F.array(a))
-        grown = [singles]
-        for _ in range(k - 1):
-            grown.append(F.flatten(F.transform(grown[-1], lambda s: F.transform(
-                F.filter(c, lambda x: x > F.element_at(s, -1)), lambda x: F.concat(s, F.array(x))))))
-        return F.concat(*grown)
-
-    def contained(combo: Column) -> Column:
-        singles = F.transform(combo, lambda a: F.array(a))
-        pairs = F.flatten(F.transform(combo, lambda a: F.transform(F.filter(combo, lambda x: x > a), lambda x: F.array(a, x))))
-        whole = F.when(F.size(combo) >= 3, F.array(combo)).otherwise(F.array().cast("array<array<string>>"))
-        return F.concat(singles, pairs, whole)
-
-    options = shortlist.select("instance_id", F.explode(combos()).alias("combo"))
-    scored = options.select("instance_id", "combo", F.explode(contained(F.col("combo"))).alias("part")).join(
-        sums, ["instance_id", "part"]).groupBy("instance_id", "combo").agg(F.sum("h").alias("added"))
-    best = pick_one(scored.filter("added > 0"), ["instance_id"], [F.desc("added"), F.asc(F.size("combo")), F.asc("combo")])
+    effects = cut(_effects(packed, k))
+    gain = F.greatest(F.col("h"), F.lit(0))
+    part = lambda n: F.col("part")[n]
+    of = lambda n: effects.filter(F.size("part") == n)
+    ones = of(1).select("instance_id", part(0).alias("skill"), "h")
+    twos = of(2).select("instance_id", part(0).alias("a"), part(1).alias("b"), F.col("h").alias("h_ab"))
+    threes = of(3).select("instance_id", part(0).alias("a"), part(1).alias("b"), part(2).alias("c"), F.col("h").alias("h_abc"))
+
+    def highest(n: int, name: str) -> DataFrame:
+        return of(n).select("instance_id", F.explode("part").alias("skill"), gain.alias(name)).groupBy("instance_id", "skill").agg(F.max(name).alias(name))
+
+    # One row per instance and skill that has any effect.
+    skills = effects.select("instance_id", F.explode("part").alias("skill")).distinct()
+    skills = skills.join(ones, ["instance_id", "skill"], "left").join(highest(2, "with_one"), ["instance_id", "skill"], "left").join(
+        highest(3, "with_two"), ["instance_id", "skill"], "left").fillna(0, ["h", "with_one", "with_two"])
+    most = effects.groupBy("instance_id").agg(*[F.max(F.when(F.size("part") == n, gain).otherwise(0)).alias(f"most_{n}") for n in (1, 2)])
+    incumbent = _part_values(effects).groupBy("instance_id").agg(F.max("added").alias("best"))
+    slack = 1e-9
+    reaches = lambda bound: bound >= F.col("best") - slack
+    bound = {1: F.col("h"), 2: F.col("h") + F.col("most_1") + F.col("with_one"),
+             3: F.col("h") + 2 * F.col("most_1") + 2 * F.col("with_one") + F.col("most_2") + F.col("with_two")}[k]
+    held = cut(skills.join(most, "instance_id").join(incumbent, "instance_id").filter(reaches(bound)))
+    options = held.select("instance_id", F.array("skill").alias("skills"), F.col("h").alias("added"))
+    if k >= 2:
+        pairs = cut(_surviving_pairs(held, twos, threes, k, reaches))
+        options = options.unionByName(pairs.select("instance_id", F.array("a", "b").alias("skills"), F.col("v").alias("added")))
+    if k >= 3:
+        # Slices of an instance meet by the pair's middle skill.
+        left = pairs.select("instance_id", "a", "b", F.col("v").alias("v_ab"), "h_a", F.col("h_b").alias("h_b"))
+        right = pairs.select("instance_id", F.col("a").alias("b"), F.col("b").alias("c"), F.col("v").alias("v_bc"), F.col("h_b").alias("h_c"))
+        outer = pairs.select("instance_id", "a", F.col("b").alias("c"), F.col("v").alias("v_ac"))
+        triples = left.join(right, ["instance_id", "b"]).join(outer, ["instance_id", "a", "c"]).join(threes, ["instance_id", "a", "b", "c"], "left")
+        value = F.col("v_ab") + F.col("v_bc") + F.col("v_ac") - F.col("h_a") - F.col("h_b") - F.col("h_c") + F.coalesce("h_abc", F.lit(0))
+        options = options.unionByName(triples.select("instance_id", F.array("a", "b", "c").alias("skills"), value.alias("added")))
+    best = pick_one(options.filter("added > 0"), ["instance_id"], [F.desc(F.round("added", 9)), F.asc(F.size("skills")), F.asc("skills")])
     base = objectives(packed).select("instance_id", "F")
     return base.join(best, "instance_id", "left").select(
-        "instance_id", F.coalesce("combo", F.array().cast("array<string>")).alias("skills"),
-        (F.col("F") + F.coalesce("added", F.lit(0))).alias("F"))
+        "instance_id", F.coalesce("skills", F.array().cast("array<string>")).alias("skills"),
+        (F.col("F") + F.coalesce("added", F.lit(0))).alias("F"), F.lit(True).alias("proven"))
+
+
+def _part_values(effects: DataFrame) -> DataFrame:
+    """Value of every part that has an effect: the effects of all its parts together."""
+    whole = F.col("part")
+    inner = F.concat(
+        F.transform(whole, lambda s: F.array(s)),
+        F.when(F.size(whole) == 2, F.array(whole)).otherwise(F.array().cast("array<array<string>>")),
+        F.when(F.size(whole) == 3, F.array(
+            F.array(whole[0], whole[1]), F.array(whole[0], whole[2]), F.array(whole[1], whole[2]), whole)).otherwise(F.array().cast("array<array<string>>")))
+    listed = effects.select("instance_id", F.col("part").alias("whole"), F.explode(inner).alias("part"))
+    return listed.join(effects, ["instance_id", "part"]).groupBy("instance_id", "whole").agg(F.sum("h").alias("added"))
+
+
+def _surviving_pairs(held: DataFrame, twos: DataFrame, threes: DataFrame, k: int, reaches: Callable[[Column], Column]) -> DataFrame:
+    """(instance_id, a, b, v, h_a, h_b) of all pairs of held skills that may be part of a best set.
+
+    Pairs with a joint effect, alone or with a third skill, come from the tables of effects. Others are worth no more than
+    the sum of their sides, so each skill only meets those at the front of a list by descending side.
+    """
+    side = F.col("h") + F.col("with_one") if k == 3 else F.col("h")
+    room = F.col("most_1") if k == 3 else F.lit(0)
+    rows = held.select("instance_id", "skill", "h", "with_one", side.alias("side"), room.alias("room"), "best")
+    end = lambda n: rows.select("instance_id", F.col("skill").alias(n), F.col("h").alias(f"h_{n}"), F.col("side").alias(f"side_{n}"), *(["room", "best"] if n == "a" else []))
+    inside = threes.select("instance_id", F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ac", "bc")])).alias("p"),
+                           F.greatest("h_abc", F.lit(0)).alias("up")).groupBy("instance_id", "p.a", "p.b").agg(F.max("up").alias("up"))
+    joint = twos.join(inside, ["instance_id", "a", "b"], "full").fillna(0, ["h_ab", "up"]) if k == 3 else twos.withColumn("up", F.lit(0))
+    bound = F.col("side_a") + F.col("side_b") + F.col("h_ab") + F.col("room") + F.col("up")
+    near = joint.join(end("a"), ["instance_id", "a"]).join(end("b"), ["instance_id", "b"])
+    strong = near.filter(reaches(bound)).select("instance_id", "a", "b", (F.col("h_a") + F.col("h_b") + F.col("h_ab")).alias("v"), "h_a", "h_b")
+    item = F.struct((-F.col("side")).alias("order"), F.col("skill"), F.col("h"))
+    lists = rows.groupBy("instance_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    meets = rows.join(lists, "instance_id").withColumn("least", F.col("best") - 1e-9 - F.col("room") - F.col("side")).filter(
+        -F.col("items")[0]["order"] >= F.col("least"))
+    others = F.filter("items", lambda y: (-y["order"] >= F.col("least")) & (y["skill"] > F.col("skill")))
+    apart = meets.select("instance_id", F.col("skill").alias("a"), F.col("h").alias("h_a"), F.explode(others).alias("y")).select(
+        "instance_id", "a", F.col("y.skill").alias("b"), (F.col("h_a") + F.col("y.h")).alias("v"), "h_a", F.col("y.h").alias("h_b"))
+    return strong.unionByName(apart.join(joint, ["instance_id", "a", "b"], "left_anti"))
 
 
 def wanted_skills(packed: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from talentgrid.functions import text as tx
 from talentgrid.functions.distributed import listed_once, pick_one
+from talentgrid.session import cut
 
 # Planning regions of the large metros.
 METRO_REGIONS = {
@@ -79,23 +78,6 @@ def gazetteer(places: DataFrame) -> DataFrame:
     return pick_one(keyed, ["key"], [F.desc("population"), F.asc("place"), F.asc("state")])
 
 
-@F.pandas_udf(IntegerType())
-def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two short strings."""
-
-    def length(x: str, y: str) -> int:
-        row = [0] * (len(y) + 1)
-        for ch in x:
-            diagonal = 0
-            for j, other in enumerate(y, 1):
-                above = row[j]
-                row[j] = diagonal + 1 if ch == other else max(above, row[j - 1])
-                diagonal = above
-        return row[-1]
-
-    return pd.Series([length(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
 def _segment(key_length: Column, index: Column, parts: Column) -> tuple[Column, Column]:
     """Start (1-based) and length of segment `index` when a key of that length is cut into `parts` even pieces."""
     start = F.floor(key_length * index / parts)
@@ -143,24 +125,48 @@ def fuzzy_matches(keys: DataFrame, places: DataFrame, min_population: int = FUZZ
     near = F.levenshtein("key", "place_key") <= F.floor((1 - FUZZY_RATIO) * total + 1e-9)
     scored = (
         probes.join(index, ["len", "seg", "piece"]).select("key", "place_key", "population").distinct().filter(near)
-        .withColumn("ratio", 2.0 * common_subsequence("key", "place_key") / total)
+        .withColumn("ratio", 2.0 * tx.common_length(F.col("place_key"), F.col("key")) / total)
         .filter(F.col("ratio") >= FUZZY_RATIO)
     )
     best = pick_one(scored, ["key"], [F.desc("ratio"), F.desc("population"), F.asc("place_key")])
     return best.select("key", "place_key")
 
 
+def alias_names(aliases: DataFrame) -> DataFrame:
+    """(key, alias_city, lookup_key, city_key) of every alias; of several rows for one alias the last listed counts."""
+    return listed_once(aliases.select(
+        tx.place_norm(F.col("alias")).alias("key"), F.trim("city").alias("alias_city"),
+        tx.place_norm(F.when(F.length("lookup") > 0, F.col("lookup")).otherwise(F.col("city"))).alias("lookup_key"),
+        tx.place_norm(F.col("city")).alias("city_key"),
+    ), ["key"], last=True)
+
+
+def with_canonical_name(rows: DataFrame, names: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows with the usual name of the city in `column`: that of its alias in `names` (of `alias_names`), else its own, trimmed."""
+    renamed = names.select(F.col("key").alias("_name_key"), F.col("alias_city").alias("_renamed"))
+    return rows.withColumn("_name_key", tx.place_norm(F.col(column))).join(renamed, "_name_key", "left").withColumn(
+        name, F.coalesce("_renamed", F.trim(column))).drop("_name_key", "_renamed")
+
+
+def with_canonical_state(rows: DataFrame, column: str = "state", aliases: DataFrame | None = None) -> DataFrame:
+    """Rows with the usual name of the state in `column`; `aliases(spelling, name)` adds spellings of its own, known in any case."""
+    named = rows.withColumn(column, tx.canonical_state(F.col(column)))
+    if aliases is None:
+        return named
+    own = listed_once(aliases.select(F.lower(tx.canonical_state(F.col("spelling"))).alias("_spelling"), F.col("name").alias("_name")), ["_spelling"], last=True)
+    return named.withColumn("_spelling", F.lower(column)).join(own, "_spelling", "left").withColumn(
+        column, F.coalesce("_name", column)).drop("_spelling", "_name")
+
+
 def resolve_tokens(tokens: DataFrame, places: DataFrame, aliases: DataFrame, states: DataFrame) -> DataFrame:
     """City, state and match method of every distinct token.
 
     `tokens(token)`, `places` from `gazetteer`, `aliases(alias, city, lookup)`, `states(state)`. Precedence: foreign,
-    alias, exact, state, fuzzy; unmatched tokens keep a null method.
+    alias, exact, state, fuzzy; unmatched tokens keep a null method. What is looked up first is written once, so that the
+    fuzzy branch only sees the keys that are still open.
     """
-    alias_rows = listed_once(aliases.select(
-        tx.place_norm(F.col("alias")).alias("key"), F.col("city").alias("alias_city"),
-        tx.place_norm(F.when(F.length("lookup") > 0, F.col("lookup")).otherwise(F.col("city"))).alias("lookup_key"),
-        tx.place_norm(F.col("city")).alias("city_key"),
-    ), ["key"], last=True)
+    alias_rows = cut(alias_names(aliases))
+    places = cut(places)
     spark = tokens.sparkSession
     spellings = spark.createDataFrame(list(STATE_SPELLINGS.items()), "spelling string, state string")
     named = states.select(tx.place_norm(F.col("state")).alias("key"), F.col("state").alias("named_state"))
@@ -173,7 +179,7 @@ def resolve_tokens(tokens: DataFrame, places: DataFrame, aliases: DataFrame, sta
 
     keyed = tokens.select("token").distinct().withColumn(
         "key", tx.place_norm(F.regexp_replace("token", "&", " "))).filter(F.length("key") > 0)
-    joined = (
+    joined = cut(
         keyed.join(alias_rows, "key", "left")
         .withColumn("exact_key", F.when(F.col("alias_city").isNull(), F.col("key")).otherwise(F.col("lookup_key")))
         .join(place("exact"), "exact_key", "left").join(place("city"), "city_key", "left")
@@ -189,28 +195,27 @@ def resolve_tokens(tokens: DataFrame, places: DataFrame, aliases: DataFrame, sta
         .when(F.col("hit").isNotNull(), "exact").when(F.col("named_state").isNotNull(), "state_only")
         .when(F.col("place_hit").isNotNull(), "fuzzy"),
     ).withColumn("hit", F.when(~F.col("foreign"), F.coalesce("hit", "place_hit")))
-    renamed = alias_rows.select(F.col("key").alias("_name_key"), F.col("alias_city").alias("_renamed"))
     is_city = F.col("method").isin("alias", "exact", "fuzzy")
-    return (
-        found.withColumn("_name_key", F.when(is_city, tx.place_norm(F.col("hit.place"))))
-        .join(renamed, "_name_key", "left")
-        .select(
-            "token", F.col("method").alias("matched_by"),
-            F.when(is_city, F.coalesce("alias_city", "_renamed", F.trim("hit.place"))).alias("city"),
-            F.when(is_city, F.col("hit.state")).when(F.col("method") == "state_only", F.col("named_state")).alias("state"),
-            *[F.when(is_city, F.col(f"hit.{c}")).alias(c) for c in ("population", "lat", "lon")],
-        )
-    )
+    named = with_canonical_name(found.withColumn("_place", F.when(is_city, F.col("hit.place"))), alias_rows, "_place", "_usual")
+    return named.select(
+        "token", F.col("method").alias("matched_by"),
+        F.when(is_city, F.coalesce("alias_city", "_usual")).alias("city"),
+        F.when(is_city, F.col("hit.state")).when(F.col("method") == "state_only", F.col("named_state")).alias("state"),
+        *[F.when(is_city, F.col(f"hit.{c}")).alias(c) for c in ("population", "lat", "lon")])
 
 
-def with_tier(cities: DataFrame, tiers: DataFrame) -> DataFrame:
+def with_tier(cities: DataFrame, tiers: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Tier of each (city, state) from `tiers(city, tier, tier_state)`; 3 unless listed for that state.
 
-    Of several rows for one city the last listed counts, so a place never becomes two rows.
+    Of several rows for one city the last listed counts, so a place never becomes two rows. With `aliases` both the listed
+    and the asked city are first brought to their usual names.
     """
-    listed = tiers.withColumn("_at", F.monotonically_increasing_id())
-    once = listed.groupBy("city").agg(F.max_by(F.struct("tier", "tier_state"), "_at").alias("_t")).select("city", "_t.*")
-    joined = cities.join(once, "city", "left")
+    listed, asked = tiers.withColumn("_at", F.monotonically_increasing_id()), cities.withColumn("_usual", F.col("city"))
+    if aliases is not None:
+        names = alias_names(aliases)
+        listed, asked = with_canonical_name(listed, names, "city", "city"), with_canonical_name(asked, names, "city", "_usual")
+    once = listed.groupBy(F.col("city").alias("_usual")).agg(F.max_by(F.struct("tier", "tier_state"), "_at").alias("_t")).select("_usual", "_t.*")
+    joined = asked.join(once, "_usual", "left").drop("_usual")
     other_state = (F.length("tier_state") > 0) & F.col("state").isNotNull() & (F.col("tier_state") != F.col("state"))
     tier = F.when(F.col("city").isNull(), F.lit(None).cast("int")).when(
         F.col("tier").isNull() | F.coalesce(other_state, F.lit(False)), 3).otherwise(F.col("tier"))
@@ -230,7 +235,7 @@ def job_places(jobs: DataFrame, places: DataFrame, aliases: DataFrame, states: D
         found.withColumns({c: F.coalesce(F.col(s), F.lit("")) for c, s in (("_c", "city"), ("_s", "state"))}),
         ["job_id", "_c", "_s", "matched_by"], [F.asc("rank")],
     ).drop("_c", "_s", "token")
-    return with_tier(kept, tiers).withColumn("metro_region", metro_region(F.col("city")))
+    return with_tier(kept, tiers, aliases).withColumn("metro_region", metro_region(F.col("city")))
 
 
 def geocode(jobs: DataFrame, job_city: DataFrame) -> DataFrame:

@@ -35,14 +35,9 @@ def exact_links(texts: DataFrame, labels: DataFrame) -> DataFrame:
 def vector_candidates(queries: DataFrame, label_vectors: DataFrame, k: int = 5) -> DataFrame:
     """The k best concepts per query by their best label: (query_id, uri, score, rank).
 
-    `label_vectors(label_id, uri, vector)`. Taking k times the largest number of labels of a concept from the label
-    search keeps the pooling exact.
+    `label_vectors(uri, vector)`; a concept scores as its best label does.
     """
-    widest = label_vectors.groupBy("uri").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    hits = nearest(queries, label_vectors, k * widest, item="label_id")
-    pooled = hits.join(label_vectors.select("label_id", "uri"), "label_id").groupBy("query_id", "uri").agg(
-        F.max("score").alias("score"))
-    return best_per_group(pooled, ["query_id"], [F.desc(F.round("score", 9)), F.asc("uri")], k)
+    return nearest(queries, label_vectors.select("uri", "vector"), k, item="uri")
 
 
 def link(

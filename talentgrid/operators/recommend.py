@@ -86,6 +86,17 @@ def coverage_fit(queries: DataFrame, edges: DataFrame, stats: DataFrame, tau_pct
         (100 * F.col("covered") >= tau_pct * F.col("total")).alias("eligible"))
 
 
+def fit_of(pairs: DataFrame, queries: DataFrame, edges: DataFrame, stats: DataFrame, tau_pct: int = 60) -> DataFrame:
+    """`coverage_fit` of given (query_id, job_id) pairs alone; pairs without a shared skill have fit 0."""
+    owned = broadcast_if_small(queries.withColumn("owned", F.lit(True)))
+    listed = edges.join(broadcast_if_small(pairs.select("query_id", "job_id")), "job_id").join(stats.select("skill_id", "w"), "skill_id")
+    sums = listed.join(owned, ["query_id", "skill_id"], "left").groupBy("query_id", "job_id").agg(
+        F.coalesce(F.sum(F.when(F.col("owned"), F.col("w"))), F.lit(0)).alias("covered"), F.sum("w").alias("total"))
+    return sums.select(
+        "query_id", "job_id", "covered", "total", (F.col("covered") / F.col("total")).alias("fit"),
+        (100 * F.col("covered") >= tau_pct * F.col("total")).alias("eligible"))
+
+
 def cooccurrence(sets: DataFrame, weight: Column | None = None) -> DataFrame:
     """Pair counts (a < b) over item sets, or sums of a per-set weight such as 1/ln(2 + set size)."""
     if weight is None:
@@ -177,6 +188,70 @@ def explain_matches(best: DataFrame, queries: DataFrame, edges: DataFrame, stats
         F.transform(F.slice("x", 1, missing), lambda s: s["skill_id"]).alias("missing"))
 
 
+def contributions(best: DataFrame, queries: DataFrame, edges: DataFrame, stats: DataFrame, k: int = 6) -> DataFrame:
+    """The k owned skills whose removal costs a ranked posting most: (query_id, job_id, place, skill_id, drop)."""
+    drops = occlusion_tfidf(queries, best, edges, stats).withColumn("drop", F.round("drop", 5))
+    return best_per_group(drops, ["query_id", "job_id"], [F.desc("drop"), F.asc("skill_id")], k, "place")
+
+
+def evidence_paths(matches: DataFrame, postings: DataFrame, sources: DataFrame | None = None, k: int = 3) -> DataFrame:
+    """Why a posting was matched, step by step: (query_id, job_id, path, step, kind, label).
+
+    A path starts at one of the first k skills of `matches(query_id, job_id, matched)`, or at the text it was found in where
+    `sources(query_id, skill_id, source_text)` has one, and leads over the posting to its occupation, if it has one.
+    """
+    starts = matches.select("query_id", "job_id", F.posexplode(F.slice("matched", 1, k)).alias("path", "skill_id"))
+    if sources is None:
+        starts = starts.withColumn("source_text", F.lit(None).cast("string"))
+    else:
+        starts = starts.join(sources.select("query_id", "skill_id", "source_text"), ["query_id", "skill_id"], "left")
+    named = starts.join(postings.select("job_id", "title", "company", "occupation"), "job_id")
+    step = lambda kind, label: F.struct(F.lit(kind).alias("kind"), label.alias("label"))
+    steps = F.filter(F.array(
+        step("input", F.col("source_text")), step("skill", F.col("skill_id")),
+        step("posting", F.concat("title", F.lit(" ("), "company", F.lit(")"))), step("occupation", F.col("occupation"))),
+        lambda s: s["label"].isNotNull())
+    return named.select("query_id", "job_id", "path", F.posexplode(steps).alias("step", "_s")).select(
+        "query_id", "job_id", "path", "step", "_s.kind", "_s.label")
+
+
+def role_skills(roles: DataFrame, queries: DataFrame, edges: DataFrame, postings: DataFrame, requirements: DataFrame, missing: int = 6, owned: int = 8) -> DataFrame:
+    """Per ranked role the skills its postings list most often that the profile lacks, and the essential ones it has, as arrays.
+
+    `roles(query_id, occupation)`, `requirements(occupation, skill_id, relation)`. Skills are counted once per occupation.
+    """
+    wanted = roles.select("query_id", "occupation")
+    counts = edges.join(postings.select("job_id", "occupation").join(wanted.select("occupation").distinct(), "occupation"), "job_id").groupBy(
+        "occupation", "skill_id").agg(F.count(F.lit(1)).alias("postings"))
+    lacking = wanted.join(counts, "occupation").join(queries, ["query_id", "skill_id"], "left_anti")
+    best = best_per_group(lacking, ["query_id", "occupation"], [F.desc("postings"), F.asc("skill_id")], missing)
+    has = wanted.join(requirements.filter("relation = 'essential'"), "occupation").join(queries, ["query_id", "skill_id"])
+    held = best_per_group(has, ["query_id", "occupation"], [F.asc("skill_id")], owned)
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("query_id", "occupation").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("rank", "skill_id"))), lambda s: s["skill_id"]).alias(name))
+
+    none = F.array().cast("array<string>")
+    return wanted.join(listed(best, "missing"), ["query_id", "occupation"], "left").join(
+        listed(held, "essential"), ["query_id", "occupation"], "left").withColumns(
+        {"missing": F.coalesce("missing", none), "essential": F.coalesce("essential", none)})
+
+
+def best_candidates(requests: DataFrame, candidates: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
+    """The `limit` best candidates per job description with the requested skills they have and lack, heaviest first."""
+    best = best_per_group(rank_candidates(requests, candidates, stats), ["query_id"], [F.desc("score"), F.asc("candidate_id")], limit)
+    wanted = query_terms(requests, stats, "w")
+    has = candidates.withColumn("has", F.lit(True))
+    rows = best.select("query_id", "candidate_id").join(wanted, "query_id").join(has, ["candidate_id", "skill_id"], "left")
+    item = F.struct((-F.col("w")).alias("order"), F.col("skill_id"))
+    lists = rows.groupBy("query_id", "candidate_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("has"), item))).alias("m"), F.array_sort(F.collect_list(F.when(F.col("has").isNull(), item))).alias("x"))
+    return best.join(lists, ["query_id", "candidate_id"]).select(
+        "query_id", "rank", "candidate_id", "score", "coverage", F.transform("m", lambda s: s["skill_id"]).alias("matched"),
+        F.transform("x", lambda s: s["skill_id"]).alias("missing"))
+
+
 def rank_candidates(requests: DataFrame, candidates: DataFrame, stats: DataFrame) -> DataFrame:
     """Candidates per job description: weighted coverage plus 0.01·ln(1 + skills owned).
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentgrid.functions.distributed import best_per_group, exact_quantiles
+from talentgrid.operators.geography import with_canonical_state
 
 UNASSIGNED = "unassigned"
 
@@ -20,12 +21,20 @@ def with_field(postings: DataFrame, fields: DataFrame) -> DataFrame:
     return postings.join(fields, "job_id", "left").withColumn("field", F.coalesce("field", F.lit(UNASSIGNED)))
 
 
-def supply_table(graduates: DataFrame, unemployment: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Supply per state from two sources joined in full; an override replaces the graduate count of its state."""
-    joined = graduates.join(unemployment, "state", "full")
+def supply_table(
+    graduates: DataFrame, unemployment: DataFrame, overrides: DataFrame | None = None, spellings: DataFrame | None = None
+) -> DataFrame:
+    """Supply per state from two sources joined in full; an override replaces the graduate count of its state.
+
+    States go by their usual names, also those that `spellings(spelling, name)` adds; graduates under several spellings of
+    one state add up.
+    """
+    named = lambda rows: with_canonical_state(rows, "state", spellings)
+    counted = named(graduates).groupBy("state").agg(F.sum("graduates").alias("graduates"))
+    joined = counted.join(named(unemployment), "state", "full")
     if overrides is None:
         return joined
-    return joined.join(overrides.withColumnRenamed("graduates", "_own"), "state", "left").withColumn(
+    return joined.join(named(overrides).withColumnRenamed("graduates", "_own"), "state", "left").withColumn(
         "graduates", F.coalesce("_own", "graduates")).drop("_own")
 
 

@@ -57,15 +57,25 @@ def value_sql(plan: str) -> str:
 for _plan in ("reach", "smooth", "freq"):
     PARTS[f"{_plan}_value"] = value_sql(_plan)
 
-PARTS["subset"] = """alone AS (SELECT m.instance_id, skill_id, sum(least(1.0::DOUBLE, 100 * (base + w) / need::DOUBLE) - least(1.0::DOUBLE, 100 * base / need::DOUBLE)) AS gain_g
-  FROM missing m JOIN packed USING (instance_id, job_id) WHERE 100 * base < need GROUP BY m.instance_id, skill_id),
-cand AS (SELECT instance_id, skill_id FROM alone QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY round(gain_g, 9) DESC, skill_id) <= 16),
-combo AS (SELECT instance_id, [skill_id] AS s FROM cand UNION ALL SELECT a.instance_id, [a.skill_id, b.skill_id] FROM cand a JOIN cand b ON a.instance_id = b.instance_id AND a.skill_id < b.skill_id
-  UNION ALL SELECT a.instance_id, [a.skill_id, b.skill_id, c.skill_id] FROM cand a JOIN cand b ON a.instance_id = b.instance_id AND a.skill_id < b.skill_id JOIN cand c ON c.instance_id = b.instance_id AND b.skill_id < c.skill_id),
-hits AS (SELECT instance_id, s, job_id, sum(w) AS w FROM (SELECT instance_id, s, unnest(s) AS skill_id FROM combo) JOIN missing USING (instance_id, skill_id) GROUP BY instance_id, s, job_id),
-added AS (SELECT instance_id, s, count(*) AS added FROM hits JOIN packed USING (instance_id, job_id) WHERE 100 * base < need AND 100 * (base + w) >= need GROUP BY instance_id, s),
-subset AS (SELECT instance_id, coalesce(array_to_string(s, ','), '') AS skills, f + coalesce(added, 0) AS f FROM (SELECT instance_id, count(*) FILTER (100 * base >= need) AS f FROM packed GROUP BY 1)
-  LEFT JOIN (SELECT * FROM added QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY added DESC, len(s), s) = 1) USING (instance_id))"""
+PARTS["subset"] = """named AS (SELECT instance_id, skill_id, row_number() OVER (PARTITION BY instance_id ORDER BY skill_id)::INTEGER AS s FROM (SELECT DISTINCT instance_id, skill_id FROM missing)),
+item AS MATERIALIZED (SELECT m.instance_id, m.job_id, s, 100 * w AS w, need - 100 * base AS d FROM missing m JOIN packed USING (instance_id, job_id) JOIN named USING (instance_id, skill_id) WHERE 100 * base < need),
+h1 AS MATERIALIZED (SELECT instance_id, s, count(*) FILTER (w >= d) AS v FROM item GROUP BY ALL),
+h2 AS MATERIALIZED (SELECT a.instance_id, a.s AS x, b.s AS y, sum((a.w + b.w >= a.d)::INT - (a.w >= a.d)::INT - (b.w >= a.d)::INT) AS v
+  FROM item a JOIN item b ON a.instance_id = b.instance_id AND a.job_id = b.job_id AND a.s < b.s GROUP BY ALL HAVING v <> 0),
+h3 AS MATERIALIZED (SELECT a.instance_id, a.s AS x, b.s AS y, c.s AS z, sum((a.w + b.w + c.w >= a.d)::INT - (a.w + b.w >= a.d)::INT - (a.w + c.w >= a.d)::INT - (b.w + c.w >= a.d)::INT
+    + (a.w >= a.d)::INT + (b.w >= a.d)::INT + (c.w >= a.d)::INT) AS v
+  FROM item a JOIN item b ON a.instance_id = b.instance_id AND a.job_id = b.job_id AND a.s < b.s JOIN item c ON c.instance_id = b.instance_id AND c.job_id = b.job_id AND b.s < c.s GROUP BY ALL HAVING v <> 0),
+v2 AS MATERIALIZED (SELECT a.instance_id, a.s AS x, b.s AS y, a.v + b.v + coalesce(h2.v, 0) AS v FROM h1 a JOIN h1 b ON a.instance_id = b.instance_id AND a.s < b.s
+  LEFT JOIN h2 ON h2.instance_id = a.instance_id AND h2.x = a.s AND h2.y = b.s),
+v3 AS (SELECT p.instance_id, p.x, p.y, q.y AS z, p.v + q.v + r.v - a.v - b.v - c.v + coalesce(h3.v, 0) AS v FROM v2 p JOIN v2 q ON q.instance_id = p.instance_id AND q.x = p.y
+  JOIN v2 r ON r.instance_id = p.instance_id AND r.x = p.x AND r.y = q.y JOIN h1 a ON a.instance_id = p.instance_id AND a.s = p.x JOIN h1 b ON b.instance_id = p.instance_id AND b.s = p.y
+  JOIN h1 c ON c.instance_id = p.instance_id AND c.s = q.y LEFT JOIN h3 ON h3.instance_id = p.instance_id AND h3.x = p.x AND h3.y = p.y AND h3.z = q.y),
+added AS (SELECT instance_id, s AS x, 0 AS y, 0 AS z, v FROM h1 UNION ALL SELECT instance_id, x, y, 0, v FROM v2 UNION ALL SELECT * FROM v3),
+first AS (SELECT instance_id, max(struct_pack(v := v, n := -(y > 0)::INT - (z > 0)::INT, x := -x, y := -y, z := -z)) AS best FROM added WHERE v > 0 GROUP BY instance_id),
+subset AS (SELECT p.instance_id, concat_ws(',', a.skill_id, b.skill_id, c.skill_id) AS skills, f + coalesce(best.v, 0) AS f
+  FROM (SELECT instance_id, count(*) FILTER (100 * base >= need) AS f FROM packed GROUP BY 1) p LEFT JOIN first USING (instance_id)
+  LEFT JOIN named a ON a.instance_id = p.instance_id AND a.s = -best.x LEFT JOIN named b ON b.instance_id = p.instance_id AND b.s = -best.y
+  LEFT JOIN named c ON c.instance_id = p.instance_id AND c.s = -best.z)"""
 
 
 def _instances(b, value=None):
@@ -125,9 +135,9 @@ def pay_weighted_plans(b):
                        F.round("gain_f", 4).alias("gain_f"), F.round("gain_g", 4).alias("gain_g"))
 
 
-@query("COV-10", sql(BASE + " subset", "SELECT instance_id, skills, f::BIGINT AS \"F\" FROM subset"))
+@query("COV-10", sql(BASE + " subset", "SELECT instance_id, skills, f::BIGINT AS \"F\", true AS proven FROM subset"))
 def best_subsets(b):
-    return cov.best_subset(_instances(b)[0]).select("instance_id", F.array_join("skills", ",").alias("skills"), "F")
+    return cov.best_subset(_instances(b)[0]).select("instance_id", F.array_join("skills", ",").alias("skills"), "F", "proven")
 
 
 @query("COV-12, WIN-7", sql(BASE + " reach", """

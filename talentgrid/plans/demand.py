@@ -21,12 +21,17 @@ def _fields(b):
 
 
 def _supply(b):
-    grads = b.raw("supplier").filter("s_nationkey <> 7").join(b.places, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("state").agg(
+    """Both sources spell some states in ways of their own; the names come from the canonical spellings."""
+    name, key = F.col("state"), F.col("n_nationkey")
+    spelled = F.when(key % 3 == 0, F.concat(F.lit(" The  "), F.lower(name), F.lit(" State "))).when(key % 3 == 1, F.concat(name, F.lit("  "))).otherwise(name)
+    named = b.places.withColumn("spelled", spelled)
+    spellings = b.places.select(F.concat(F.lit("the "), name, F.lit(" state")).alias("spelling"), name.alias("name"))
+    grads = b.raw("supplier").filter("s_nationkey <> 7").join(named, F.col("s_nationkey") == key).groupBy("state", "spelled").agg(
         F.count(F.lit(1)).alias("graduates"))
-    youth = b.places.filter("n_nationkey < 20").select("state", (F.col("n_nationkey") / 2).alias("youth_ur"))
-    manual = b.places.filter("n_nationkey = 3").select("state", F.lit(999).cast("long").alias("graduates"))
-    every = b.places.select("state").join(grads, "state", "left")
-    return wf.supply_table(every, youth, manual)
+    youth = named.filter("n_nationkey < 20").select(F.upper("spelled").alias("state"), (key / 2).alias("youth_ur"))
+    manual = named.filter("n_nationkey = 3").select(F.col("spelled").alias("state"), F.lit(999).cast("long").alias("graduates"))
+    every = b.places.select("state").join(grads, "state", "left").select(F.coalesce("spelled", "state").alias("state"), "graduates")
+    return wf.supply_table(every, youth, manual, spellings)
 
 
 @query("AGG-14", sql(BASE, "SELECT * FROM job_field"))
@@ -34,7 +39,7 @@ def posting_fields(b):
     return _fields(b)
 
 
-@query("EV-30, JN-3, FN-20", sql(BASE, "SELECT * FROM supply"))
+@query("EV-30, JN-3, FN-20 (spellings)", sql(BASE, "SELECT * FROM supply"))
 def supply_by_state(b):
     return _supply(b)
 

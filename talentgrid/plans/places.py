@@ -21,17 +21,30 @@ PARTS["located"] = """located AS (
     WHEN 'BUILDING' THEN 'Remote' ELSE 'Old Town ' || c_custkey || ' / Singapore' END AS location
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
+PARTS["aliased"] = """alias AS (
+  SELECT 'old town ' || c_custkey AS key, 'City ' || c_nationkey AS city, 'supplier ' || lpad(CAST(c_nationkey AS VARCHAR), 9, '0') AS lookup FROM customer
+    WHERE c_mktsegment = 'AUTOMOBILE' AND c_custkey % 3 > 0
+  UNION ALL SELECT 's' || n_nationkey, 'Harbour ' || n_nationkey, 'harbour ' || n_nationkey FROM nation WHERE n_nationkey % 5 = 0
+  UNION ALL SELECT 'supplier ' || lpad(CAST(n_nationkey * 3 AS VARCHAR), 9, '0'), 'City ' || (n_nationkey * 3), 'supplier ' || lpad(CAST(n_nationkey * 3 AS VARCHAR), 9, '0')
+    FROM nation WHERE n_nationkey % 2 = 0)"""
+
 PARTS["resolved"] = """token AS (
   SELECT job_id, i - 1 AS rank, trim(t[i]) AS token FROM (SELECT job_id, string_split_regex(location, '[,/;|]') AS t FROM located WHERE location <> 'Remote'),
     unnest(generate_series(1, len(t))) AS u(i)),
-resolved AS (SELECT token, CASE WHEN token IN ('Dubai', 'Singapore') THEN 'foreign' WHEN g.key IS NOT NULL THEN 'exact' WHEN n_name IS NOT NULL THEN 'state_only'
-    WHEN f.key IS NOT NULL THEN 'fuzzy' END AS matched_by, coalesce(g.place, CASE WHEN n_name IS NULL THEN f.place END) AS city,
-    coalesce(g.state, n_name, f.state) AS state, coalesce(g.population, CASE WHEN n_name IS NULL THEN f.population END) AS population
-  FROM (SELECT DISTINCT token FROM token) LEFT JOIN gaz g ON g.key = replace(lower(token), '#', ' ') LEFT JOIN nation ON n_name = token
-  LEFT JOIN gaz f ON f.population >= 20000 AND lower(token) LIKE 'suplier#%' AND f.key = replace(replace(lower(token), 'suplier', 'supplier'), '#', ' '))"""
-
-PARTS["job_place"] = """tiering AS (SELECT s_name AS city, 1 + s_nationkey % 2 AS tier, CASE WHEN s_acctbal > 5000 THEN n_name ELSE 'NATION_0' END AS tier_state
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+asked AS (SELECT token, replace(lower(token), '#', ' ') AS k, alias.city AS alias_city FROM (SELECT DISTINCT token FROM token) LEFT JOIN alias ON alias.key = replace(lower(token), '#', ' ')),
+hit AS (SELECT a.*, coalesce(x.place, y.place) AS place, coalesce(x.state, y.state) AS state, coalesce(x.population, y.population) AS population FROM asked a
+  LEFT JOIN alias ON alias.key = a.k LEFT JOIN gaz x ON x.key = CASE WHEN a.alias_city IS NULL THEN a.k ELSE alias.lookup END LEFT JOIN gaz y ON y.key = lower(a.alias_city)),
+chosen AS (SELECT token, alias_city, CASE WHEN token IN ('Dubai', 'Singapore') THEN 'foreign' WHEN h.place IS NOT NULL AND alias_city IS NOT NULL THEN 'alias'
+    WHEN h.place IS NOT NULL THEN 'exact' WHEN n_name IS NOT NULL THEN 'state_only' WHEN f.key IS NOT NULL THEN 'fuzzy' END AS matched_by,
+    CASE WHEN token NOT IN ('Dubai', 'Singapore') THEN coalesce(h.place, CASE WHEN n_name IS NULL THEN f.place END) END AS place,
+    coalesce(h.state, n_name, f.state) AS state, coalesce(h.population, CASE WHEN n_name IS NULL THEN f.population END) AS population
+  FROM hit h LEFT JOIN nation ON n_name = token
+  LEFT JOIN gaz f ON h.place IS NULL AND f.population >= 20000 AND (k LIKE 'suplier %' OR alias_city IS NOT NULL) AND f.key = replace(k, 'suplier', 'supplier')),
+resolved AS (SELECT token, matched_by, CASE WHEN place IS NOT NULL THEN coalesce(alias_city, city, place) END AS city, state, population
+  FROM chosen LEFT JOIN (SELECT key, city FROM alias) u ON u.key = replace(lower(place), '#', ' '))"""
+
+PARTS["job_place"] = """tiering AS (SELECT coalesce(alias.city, s_name) AS city, 1 + s_nationkey % 2 AS tier, CASE WHEN s_acctbal > 5000 THEN n_name ELSE 'NATION_0' END AS tier_state
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN alias ON alias.key = replace(lower(s_name), '#', ' ')),
 job_place AS (SELECT job_id, rank, city, state, matched_by, population, CAST(CASE WHEN city IS NULL THEN NULL WHEN tier IS NULL OR tier_state <> state THEN 3 ELSE tier END AS INTEGER) AS tier
   FROM (SELECT * FROM token JOIN resolved USING (token) WHERE matched_by IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY job_id, city, state, matched_by ORDER BY rank) = 1) LEFT JOIN tiering USING (city)),
@@ -64,7 +77,16 @@ def _tables(b):
         .when(segment == "MACHINERY", F.concat(F.lit("Suplier#"), F.lpad((F.col("c_custkey") % 100).cast("string"), 9, "0")))
         .when(segment == "BUILDING", "Remote")
         .otherwise(F.concat(F.lit("Old Town "), number, F.lit(" / Singapore"))).alias("location"))
-    aliases = b.spark.createDataFrame([], "alias string, city string, lookup string")
+    supplier_name = lambda n: F.concat(F.lit("Supplier#"), F.lpad(n.cast("string"), 9, "0"))
+    nation = F.col("n_nationkey")
+    towns = b.raw("customer").filter((segment == "AUTOMOBILE") & (F.col("c_custkey") % 3 > 0)).select(
+        F.concat(F.lit("Old Town "), number).alias("alias"), F.concat(F.lit("City "), F.col("c_nationkey").cast("string")).alias("city"),
+        supplier_name(F.col("c_nationkey")).alias("lookup"))
+    short = b.raw("nation").filter(nation % 5 == 0).select(
+        F.concat(F.lit("S"), nation.cast("string")), F.concat(F.lit("Harbour "), nation.cast("string")), F.lit(""))
+    renamed = b.raw("nation").filter(nation % 2 == 0).select(
+        supplier_name(nation * 3), F.concat(F.lit("City "), (nation * 3).cast("string")), supplier_name(nation * 3))
+    aliases = towns.union(short).union(renamed)
     return jobs, geo.gazetteer(places), aliases, b.places.select("state"), tiers
 
 
@@ -73,7 +95,7 @@ def gazetteer_keys(b):
     return _tables(b)[1].select("key", "place", "state", "population", F.round("lat", 4).alias("lat"))
 
 
-@query("ER-6, JN-11", sql("gaz located resolved", "SELECT token, matched_by, city, state, population FROM resolved"))
+@query("ER-6, JN-11", sql("gaz located aliased resolved", "SELECT token, matched_by, city, state, population FROM resolved"))
 def resolved_tokens(b):
     from talentgrid.functions import text as tx
 
@@ -82,19 +104,19 @@ def resolved_tokens(b):
     return geo.resolve_tokens(tokens, places, aliases, states).select("token", "matched_by", "city", "state", "population")
 
 
-@query("ER-8, ER-7", sql("gaz located resolved job_place",
+@query("ER-8, ER-7", sql("gaz located aliased resolved job_place",
                          "SELECT job_id, CAST(rank AS INTEGER) AS rank, city, state, matched_by, population, tier FROM job_place"))
 def job_cities(b):
     return geo.job_places(*_tables(b)).select("job_id", "rank", "city", "state", "matched_by", "population", "tier")
 
 
-@query("ER-8, WIN-6", sql("gaz located resolved job_place", "SELECT * FROM coded"))
+@query("ER-8, WIN-6", sql("gaz located aliased resolved job_place", "SELECT * FROM coded"))
 def geocoded_jobs(b):
     tables = _tables(b)
     return geo.geocode(tables[0], geo.job_places(*tables)).drop("location", "primary_metro_region")
 
 
-@query("AGG-6", sql("gaz located resolved job_place", """
+@query("AGG-6", sql("gaz located aliased resolved job_place", """
 SELECT count(*) AS jobs, count(*) FILTER (n_places > 0) AS resolved_place, count(primary_city) AS resolved_city,
   count(*) FILTER (n_places > 0 AND primary_city IS NULL) AS state_only, count(*) FILTER (has_foreign_location AND n_places = 0) AS foreign_only,
   count(*) FILTER (work_mode = 'remote' AND n_places = 0) AS remote_only,
@@ -106,14 +128,14 @@ def geography_audit(b):
     return geo.place_audit(geo.geocode(tables[0], geo.job_places(*tables)))
 
 
-@query("AGG-6 (methods)", sql("gaz located resolved job_place", """
+@query("AGG-6 (methods)", sql("gaz located aliased resolved job_place", """
 SELECT matched_by, count(*) AS places FROM job_place WHERE matched_by <> 'foreign' GROUP BY 1"""))
 def match_methods(b):
     return geo.job_places(*_tables(b)).filter(F.col("matched_by") != "foreign").groupBy("matched_by").agg(
         F.count(F.lit(1)).alias("places"))
 
 
-@query("AGG-6 (unresolved)", sql("gaz located resolved job_place", """
+@query("AGG-6 (unresolved)", sql("gaz located aliased resolved job_place", """
 SELECT token, count(*) AS mentions FROM token JOIN resolved USING (token) WHERE matched_by IS NULL GROUP BY token
 ORDER BY mentions DESC, token LIMIT 30"""))
 def unresolved_tokens(b):

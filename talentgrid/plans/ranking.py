@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions.distributed import best_per_group, item_sets
 from talentgrid.operators import recommend as rec
+from talentgrid.operators import topk
+from talentgrid.plans import pay as paid
 from talentgrid.plans.registry import PARTS, query, sql
+from talentgrid.session import cut
 
 WEIGHTED = "posting job_skill demand profile skill_df n_docs skill_stat"
 TFIDF = WEIGHTED + " doc_norm query_norm tfidf"
@@ -35,8 +38,8 @@ SELECT query_id, job_id, covered::BIGINT AS covered, total::BIGINT AS total, 100
   JOIN fits USING (query_id, job_id)"""))
 def profile_best_postings(b):
     queries, edges, stats = _market(b)
-    best = rec.top_postings(rec.tfidf_cosine(queries, edges, stats), 50)
-    fit = rec.coverage_fit(queries, edges, stats)
+    best = cut(topk.top_tfidf(queries, edges, stats, 50))
+    fit = rec.fit_of(best, queries, edges, stats)
     return best.join(fit, ["query_id", "job_id"]).select(
         "query_id", "job_id", "covered", "total", "eligible", F.round("score", 6).alias("score"))
 
@@ -62,6 +65,21 @@ def adamic_adar_scores(b):
     return rec.adamic_adar(*_market(b)).select("query_id", "job_id", F.round("score", 6).alias("score"))
 
 
+TOP = """
+SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, job_id)::INTEGER AS rank, round(score, 6)::DOUBLE AS score FROM {}
+QUALIFY rank <= 20"""
+
+
+@query("REC-2 (top k), TOP-1", sql(TFIDF, TOP.format("tfidf")))
+def top_tfidf_postings(b):
+    return topk.top_tfidf(*_market(b), 20).select("query_id", "job_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("REC-5 (top k), JN-12", sql(WEIGHTED + " adar", TOP.format("adar")))
+def top_adamic_adar_postings(b):
+    return topk.top_adamic_adar(*_market(b), 20).select("query_id", "job_id", "rank", F.round("score", 6).alias("score"))
+
+
 NEIGHBOUR = """
 , near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, job_id) AS rank FROM tfidf QUALIFY rank <= 200)"""
 
@@ -152,15 +170,84 @@ SELECT query_id, rank::INTEGER AS rank, job_id, title, company, state, tier, occ
   matched, coalesce(missing, '') AS missing FROM best10 JOIN lists USING (query_id, job_id) JOIN fits USING (query_id, job_id) JOIN posting USING (job_id)"""))
 def profile_match_report(b):
     queries, edges, stats = _market(b)
-    best = rec.top_postings(rec.tfidf_cosine(queries, edges, stats), 10)
+    best = cut(topk.top_tfidf(queries, edges, stats, 10))
     why = rec.explain_matches(best, queries, edges, stats)
-    fit = rec.coverage_fit(queries, edges, stats).select("query_id", "job_id", "fit")
+    fit = rec.fit_of(best, queries, edges, stats).select("query_id", "job_id", "fit")
     details = b.postings.select("job_id", "title", "company", "state", "tier", "occupation")
     return best.join(why, ["query_id", "job_id"]).join(fit, ["query_id", "job_id"]).join(details, "job_id").select(
         "query_id", "rank", "job_id", "title", "company", "state", "tier", "occupation", F.round("score", 5).alias("score"),
         F.round("fit", 4).alias("fit"), F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))
 
 
+ANY_RANGE = """
+, ranged AS (SELECT job_id, coalesce(lv1.a, lv2.a, lv3.a, lv4.a) AS p10, coalesce(lv1.m, lv2.m, lv3.m, lv4.m) AS p50, coalesce(lv1.z, lv2.z, lv3.z, lv4.z) AS p90 FROM posting p
+  LEFT JOIN lv1 ON lv1.occupation = p.occupation AND lv1.tier = p.tier LEFT JOIN lv2 ON lv2.occupation = p.occupation LEFT JOIN lv3 ON lv3.isco2 = p.isco2, lv4)"""
+
+
+def _pay_ranges(b, jobs):
+    """Pay range of given postings, disclosed or not, learnt from disclosed training rows."""
+    return paid.py.predict_range(b.postings.join(jobs, "job_id", "left_semi"), paid._paid(b).filter("split = 'train'"), paid.LEVELS)
+
+
+@query("REC-12 (contributions, pay)", sql(OCCLUSION + " paid range", ANY_RANGE + """
+, drops AS (SELECT query_id, job_id, rank, skill_id, round(best10.score - CASE WHEN qnorm * qnorm - idf * idf > 1e-9 THEN
+    (best10.score * norm * qnorm - CASE WHEN js.job_id IS NULL THEN 0 ELSE idf * idf END) / (sqrt(qnorm * qnorm - idf * idf) * norm) ELSE 0 END, 5) AS d
+  FROM best10 JOIN profile USING (query_id) JOIN skill_stat USING (skill_id) JOIN query_norm USING (query_id) JOIN doc_norm USING (job_id) LEFT JOIN job_skill js USING (job_id, skill_id)
+  QUALIFY row_number() OVER (PARTITION BY query_id, job_id ORDER BY d DESC, skill_id) <= 6)
+SELECT query_id, rank::INTEGER AS rank, job_id, round(any_value(p10), 6)::DOUBLE AS p10, round(any_value(p50), 6)::DOUBLE AS p50, round(any_value(p90), 6)::DOUBLE AS p90,
+  string_agg(skill_id || ':' || CAST(round(d * 100000, 0) AS BIGINT), ',' ORDER BY d DESC, skill_id) AS contributions FROM drops JOIN ranged USING (job_id) GROUP BY query_id, rank, job_id"""))
+def match_contributions(b):
+    queries, edges, stats = _market(b)
+    best = cut(topk.top_tfidf(queries, edges, stats, 10))
+    parts = rec.contributions(best, queries, edges, stats).groupBy("query_id", "job_id").agg(F.array_sort(F.collect_list(F.struct("place", "skill_id", "drop"))).alias("c"))
+    shown = F.transform("c", lambda c: F.concat(c["skill_id"], F.lit(":"), F.round(c["drop"] * 100000, 0).cast("long").cast("string")))
+    pay = _pay_ranges(b, best.select("job_id").distinct()).select("job_id", *[F.round(q, 6).alias(q) for q in ("p10", "p50", "p90")])
+    return best.join(parts, ["query_id", "job_id"]).join(pay, "job_id").select(
+        "query_id", "rank", "job_id", "p10", "p50", "p90", F.array_join(shown, ",").alias("contributions"))
+
+
+@query("REC-12 (paths)", sql(TFIDF + " best10 skill_weight", """
+, start AS (SELECT query_id, job_id, skill_id, row_number() OVER (PARTITION BY query_id, job_id ORDER BY w DESC, skill_id) - 1 AS path
+  FROM best10 JOIN job_skill USING (job_id) JOIN profile USING (query_id, skill_id) JOIN skill_weight USING (skill_id) QUALIFY path < 3),
+step AS (SELECT query_id, job_id, path, 0 AS ord, 'input' AS kind, 'listed: ' || lower(skill_id) AS label FROM start WHERE skill_id LIKE '%|STANDARD'
+  UNION ALL SELECT query_id, job_id, path, 1, 'skill', skill_id FROM start UNION ALL SELECT query_id, job_id, path, 2, 'posting', title || ' (' || company || ')' FROM start JOIN posting USING (job_id)
+  UNION ALL SELECT query_id, job_id, path, 3, 'occupation', occupation FROM start JOIN posting USING (job_id))
+SELECT query_id, job_id, path::INTEGER AS path, (row_number() OVER (PARTITION BY query_id, job_id, path ORDER BY ord) - 1)::INTEGER AS step, kind, label FROM step"""))
+def match_evidence_paths(b):
+    queries, edges, stats = _market(b)
+    best = cut(topk.top_tfidf(queries, edges, stats, 10))
+    sources = queries.filter(F.col("skill_id").endswith("|STANDARD")).withColumn("source_text", F.concat(F.lit("listed: "), F.lower("skill_id")))
+    return rec.evidence_paths(rec.explain_matches(best, queries, edges, stats), b.postings, sources)
+
+
+@query("REC-12 (roles)", sql(TFIDF + " requirement paid range", ANY_RANGE + """
+, best AS (SELECT * FROM tfidf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, job_id) <= 500),
+roles AS (SELECT query_id, occupation, sum(score) AS score, count(*) AS in_best FROM best JOIN posting USING (job_id) GROUP BY query_id, occupation
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(score), 9) DESC, occupation) <= 8),
+lack AS (SELECT query_id, r.occupation, d.skill_id, postings FROM roles r JOIN demand d ON d.occupation = r.occupation WHERE NOT EXISTS (FROM profile p WHERE p.query_id = r.query_id AND p.skill_id = d.skill_id)
+  QUALIFY row_number() OVER (PARTITION BY query_id, r.occupation ORDER BY postings DESC, d.skill_id) <= 6),
+lacks AS (SELECT query_id, occupation, string_agg(skill_id, ',' ORDER BY postings DESC, skill_id) AS missing FROM lack GROUP BY ALL),
+has AS (SELECT query_id, occupation, string_agg(skill_id, ',' ORDER BY skill_id) AS essential FROM roles JOIN requirement USING (occupation) JOIN profile USING (query_id, skill_id) WHERE relation = 'essential' GROUP BY ALL),
+mid AS (SELECT occupation, quantile_cont(p10, 0.5) AS p10, quantile_cont(p50, 0.5) AS p50, quantile_cont(p90, 0.5) AS p90 FROM ranged JOIN posting USING (job_id) GROUP BY occupation)
+SELECT query_id, occupation, round(score, 4)::DOUBLE AS score, in_best, missing, coalesce(essential, '') AS essential, round(p10, 6)::DOUBLE AS p10, round(p50, 6)::DOUBLE AS p50, round(p90, 6)::DOUBLE AS p90
+FROM roles JOIN lacks USING (query_id, occupation) LEFT JOIN has USING (query_id, occupation) JOIN mid USING (occupation)"""))
+def role_reports(b):
+    from talentgrid.functions.distributed import exact_quantiles
+
+    queries, edges, stats = _market(b)
+    postings = b.postings
+    roles = cut(rec.role_scores(topk.top_tfidf(queries, edges, stats, 500), postings))
+    skills = rec.role_skills(roles, queries, edges, postings, b.requirements)
+    jobs = postings.join(roles.select("occupation").distinct(), "occupation", "left_semi")
+    long = _pay_ranges(b, jobs.select("job_id")).select("occupation", F.inline(F.array(*[
+        F.struct(F.lit(q).alias("q"), F.col(q).alias("v")) for q in ("p10", "p50", "p90")])))
+    middle = exact_quantiles(long, ["occupation", "q"], "v", {"m": 0.5}).groupBy("occupation").agg(*[
+        F.max(F.when(F.col("q") == q, F.round("m", 6))).alias(q) for q in ("p10", "p50", "p90")])
+    return roles.join(skills, ["query_id", "occupation"]).join(middle, "occupation").select(
+        "query_id", "occupation", F.round("score", 4).alias("score"), "in_best", F.array_join("missing", ",").alias("missing"),
+        F.array_join("essential", ",").alias("essential"), "p10", "p50", "p90")
+
+
 @query("AGG-15, REC-12", sql(TFIDF, """
 , best AS (SELECT * FROM tfidf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, job_id) <= 500),
 roles AS (SELECT query_id, occupation, sum(score) AS score, count(*) AS in_best FROM best JOIN posting USING (job_id) GROUP BY query_id, occupation
@@ -201,6 +288,23 @@ def candidate_ranking(b):
     return rec.rank_candidates(queries, owned, stats)
 
 
+@query("REC-13 (limit)", sql("posting job_skill demand profile skill_df n_docs skill_weight", """
+, cand AS (SELECT DISTINCT company_id AS candidate_id, skill_id FROM posting JOIN job_skill USING (job_id)),
+size AS (SELECT candidate_id, count(*) AS n FROM cand GROUP BY 1), want AS (SELECT query_id, skill_id, w, sum(w) OVER (PARTITION BY query_id) AS total FROM profile JOIN skill_weight USING (skill_id)),
+scored AS (SELECT query_id, candidate_id, sum(w) / min(total)::DOUBLE AS cov, round(sum(w) / min(total)::DOUBLE + 0.01::DOUBLE * ln(1 + min(n)::DOUBLE), 5)::DOUBLE AS score
+  FROM want JOIN cand USING (skill_id) JOIN size USING (candidate_id) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM scored QUALIFY rank <= 25)
+SELECT query_id, rank::INTEGER AS rank, candidate_id, any_value(score) AS score, round(any_value(cov), 4)::DOUBLE AS coverage, coalesce(string_agg(skill_id, ',' ORDER BY w DESC, skill_id) FILTER (c.skill_id IS NOT NULL), '') AS matched,
+  coalesce(string_agg(skill_id, ',' ORDER BY w DESC, skill_id) FILTER (c.skill_id IS NULL), '') AS missing
+FROM best JOIN want USING (query_id) LEFT JOIN cand c USING (candidate_id, skill_id) GROUP BY query_id, rank, candidate_id"""))
+def best_candidates(b):
+    queries, edges, stats = _market(b)
+    owned = b.postings.select("job_id", F.col("company_id").alias("candidate_id")).join(edges, "job_id").select(
+        "candidate_id", "skill_id").distinct()
+    best = rec.best_candidates(queries, owned, stats, 25)
+    return best.withColumns({c: F.array_join(c, ",") for c in ("matched", "missing")})
+
+
 PARTS["standing"] = """scope AS (SELECT state AS scope, job_id FROM posting), size AS (SELECT scope, count(*) AS n FROM scope GROUP BY 1),
 syllabus AS (SELECT DISTINCT state AS scope, skill_id FROM posting JOIN profile ON query_id = occupation),
 cnt AS (SELECT scope, skill_id, count(*) AS postings FROM scope JOIN job_skill USING (job_id) GROUP BY ALL),

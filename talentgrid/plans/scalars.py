@@ -254,7 +254,21 @@ def skill_lists(b):
         F.array_join(tx.skill_list(F.col("cell"), conservative=False), "|").alias("skills_permissive"))
 
 
-@query("FN-18, FN-19, FN-20", r"""
+SPELLED_STATES = [
+    "  jammu &   Kashmir ", "JAMMU AND KASHMIR", "Andaman & N. Island", "andaman and nicobar\tislands", "The Dadra and Nagar Haveli and  Daman and Diu",
+    "Dadra & Nagar Haveli & Daman & Diu", " Tamil   Nadu", "kerala", ""]
+
+
+@query("FN-20", """
+SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'Jammu and Kashmir' WHEN 1 THEN 'Jammu and Kashmir' WHEN 2 THEN 'Andaman and Nicobar' WHEN 3 THEN 'Andaman and Nicobar'
+  WHEN 4 THEN 'Dadra and Nagar Haveli and Daman and Diu' WHEN 5 THEN 'Dadra and Nagar Haveli and Daman and Diu' WHEN 6 THEN 'Tamil Nadu' WHEN 7 THEN 'kerala' ELSE '' END AS state
+FROM customer""")
+def canonical_states(b):
+    spelled = F.element_at(F.array(*map(F.lit, SPELLED_STATES)), (F.col("c_custkey") % 9 + 1).cast("int"))
+    return b.raw("customer").select("c_custkey", tx.canonical_state(spelled).alias("state"))
+
+
+@query("FN-18, FN-19", r"""
 SELECT p_partkey, TRY_CAST(regexp_extract(e, '^\s*(\d+)\s*-\s*(\d+)\s*yrs?\s*$', 1) AS DOUBLE) AS exp_min,
   TRY_CAST(regexp_extract(e, '^\s*(\d+)\s*-\s*(\d+)\s*yrs?\s*$', 2) AS DOUBLE) AS exp_max,
   TRY_CAST(trim(replace(pay, 'L', '')) AS DOUBLE) AS pay
