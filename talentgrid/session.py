@@ -48,6 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete what `cut` wrote for frames that nothing reads any more; what was derived from them must be written out by then."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        written = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if written.isDefined():
+            path = jvm.org.apache.hadoop.fs.Path(written.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a dictionary-like table once; hint a broadcast only when its row count is proven small.
 
