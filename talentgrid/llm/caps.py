@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.operators.grouping import components
+from talentgrid.llm.links import components
 from talentgrid.session import cut
 
 BLOCKS, CODEWORDS = 4, 64  # 64 ** 4 directions
@@ -110,11 +110,15 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column("vector_a").to_pylist(), batch.column("vector_b").to_pylist(), strict=True):
-                a, b = np.array(a, float), np.array(b, float)
-                good.append(bool(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) >= cosine))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good = np.zeros(batch.num_rows, bool)
+            sizes = batch.column("vector_a").value_lengths().to_numpy()
+            for dims in np.unique(sizes):
+                own = np.flatnonzero(sizes == dims)
+                a, b = (batch.column(c).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+                        for c in ("vector_a", "vector_b"))
+                dot = lambda x, y: (x * y).sum(axis=1)
+                good[own] = dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))) >= cosine
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirm, f"a {kind}, b {kind}")
 
@@ -123,7 +127,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     """One row per row of `rows`: vec_id, n_links, component_id (smallest id reachable over links), kept.
 
     Vectors of one label and length are linked when their cosine in double precision is at least `cosine`. Equal vectors
-    collapse before candidates are sought, and count as linked with each other. A null label or id, and a vector that is
+    collapse before candidates are sought, and count as linked with each other. Rows that repeat an id are vectors of their
+    own: each has its links, and a component goes by the smallest id in it. A null label or id, and a vector that is
     null, empty, zero or holds a null or non-finite number, has no links and is its own component. An empty table gives
     an empty result; other columns are not read.
     """
@@ -132,20 +137,23 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
         F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
         & F.exists(values, lambda x: x != 0), F.lit(False))
     all_ = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
+    # Classes of equal vectors under one label go by a number, since an id may be repeated.
     classes = cut(
-        all_.filter(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"))
-        .select("node", "n", "label", "embedding"))
+        all_.filter(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+        .select(F.monotonically_increasing_id().alias("node"), "n", "least", "label", "embedding"))
     listed = _listed(classes)
     left, right = (listed.select("label", "dims", "direction", F.col("node").alias(c)) for c in ("a", "b"))
     pairs = left.join(right, ["label", "dims", "direction"]).filter("a > b").select("a", "b").distinct()
     links = cut(_confirmed(pairs, classes, cosine))
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = ends.join(classes.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    named = cut(
-        classes.join(others, "node", "left").join(components(links), "node", "left")
-        .select("label", "embedding", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("root", "node").alias("root")))
+    rooted = classes.join(others, "node", "left").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = cut(rooted.select("label", "embedding", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "root", "least"))
+    firsts = named.groupBy("root").agg(F.min("least").alias("first"))
+    known = cut(named.drop("least").join(firsts, "root").drop("root"))
     held = all_.withColumn("sound", sound)
-    match = held["sound"] & (held["label"] == named["label"]) & (held["embedding"] == named["embedding"])
-    return held.join(named, match, "left").select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"),
-        F.col("vec_id").eqNullSafe(F.coalesce("root", "vec_id")).alias("kept"))
+    match = held["sound"] & (held["label"] == known["label"]) & (held["embedding"] == known["embedding"])
+    component = F.coalesce("first", "vec_id")
+    return held.join(known, match, "left").select(
+        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.operators.grouping import components
+from talentgrid.llm.links import components
 from talentgrid.session import broadcast_if_small, cut
 
 BANDS, ROWS = 40, 5  # of a pair with similarity 0.8, one in seven million shares no band

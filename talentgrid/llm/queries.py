@@ -58,8 +58,8 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokens.prefix_counts(
-        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, budgets=(1024,), steps=False)
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "chars_within_1024")
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, budgets=(1024,))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "chars_within_1024", "steps")
 
 
 @query("""
@@ -97,9 +97,7 @@ WITH RECURSIVE l AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS u(i)),
 d AS (SELECT line, row_number() OVER (ORDER BY line) AS node FROM (SELECT DISTINCT line FROM l WHERE line <> '')),
 w AS (
-  SELECT node, list_distinct(list_transform(list_filter(range(1, length(line) + 1), lambda i: NOT regexp_matches(substr(line, i, 1), '[ \\t\\n\\f\\r\\x0B]')
-    AND (i = 1 OR NOT regexp_matches(substr(line, i - 1, 1), '[\\p{Ll}\\p{Lu}]')
-      OR i > 8 AND regexp_full_match(substr(line, i - 8, 8), '[\\p{Ll}\\p{Lu}]{8}'))), lambda i: substr(line, i, 10))) AS ws FROM d),
+  SELECT node, list_distinct(list_transform(range(1, greatest(length(line) - 9, 1) + 1), lambda i: substr(line, i, 10))) AS ws FROM d),
 e AS (SELECT node, len(ws) AS n, unnest(ws) AS g FROM w),
 p AS (
   SELECT a.node AS x, b.node AS y FROM e a JOIN e b ON a.g = b.g AND a.node <> b.node AND 100 * b.n >= 80 * a.n AND 100 * a.n >= 80 * b.n
