@@ -29,8 +29,8 @@ def last_latencies(b):
 @query("STR-1", LAST)
 def streamed_last_latencies(b):
     folder = jobs.scratch(b.spark)
-    done = jobs.run(lambda: jobs.rolling_last_n(_stream(b), folder, "event_type", "ts", "value", "event_id"))
-    return _rounded(jobs.latency_summary(jobs.latest_version(b.spark, done, folder), "event_type", "value"))
+    jobs.run(lambda: jobs.rolling_last_n(_stream(b), folder, "event_type", "ts", "value", "event_id"))
+    return _rounded(jobs.latency_summary(jobs.recent_rows(b.spark, folder, "event_type", "ts", "value", "event_id"), "event_type", "value"))
 
 
 @query("STR-1 (windows)", """

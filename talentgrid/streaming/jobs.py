@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from talentgrid.functions.distributed import best_per_group, exact_quantiles, pick_one
 
+SLOTS = 8  # states that the rows of one key are dealt over
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder inside the session's reliable checkpoint folder."""
@@ -33,25 +41,48 @@ def latency_summary(recent: DataFrame, key: str, value: str) -> DataFrame:
     return base.join(exact_quantiles(recent, [key], value, {"p50": 0.5, "p95": 0.95}), key)
 
 
-def rolling_last_n(stream: DataFrame, folder: str, key: str, at: str, value: str, tie: str, n: int = 500) -> StreamingQuery:
-    """Keep the newest n values per key of a stream as versioned tables under `folder`.
+class NewestRows(StatefulProcessor):
+    """Keeps the newest n rows of a key in the state store; with `idle_ms` a key's rows expire when none arrives for so long."""
 
-    Each micro-batch is cut to n rows per key before it meets the stored n rows, so a hot key costs n rows per task.
-    Versions are named by batch id: a repeated batch rewrites its own version from the one before.
-    """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        order = [F.desc(at), F.desc(tie)]
-        fresh = last_n(batch.select(key, at, value, tie), key, order, n).drop("rank")
-        if batch_id > 0:
-            fresh = fresh.unionByName(batch.sparkSession.read.parquet(f"{folder}/v={batch_id - 1}"))
-        last_n(fresh, key, order, n).drop("rank").write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+    def __init__(self, n: int, idle_ms: int | None):
+        self.n, self.idle_ms = n, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", "at long, value double, tie long", self.idle_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        kept = pd.DataFrame(list(self.recent.get()), columns=["at", "value", "tie"])
+        for frame in rows:
+            kept = pd.concat([kept, frame[["at", "value", "tie"]]]) if len(kept) else frame[["at", "value", "tie"]]
+            kept = kept.sort_values(["at", "tie"], ascending=False).head(self.n)
+        self.recent.put([(int(a), None if pd.isna(v) else float(v), int(t)) for a, v, t in kept.itertuples(index=False, name=None)])
+        yield pd.DataFrame({"rows": [len(kept)]})
+
+    def close(self) -> None:
+        pass
 
-    return _start(stream.writeStream.foreachBatch(merge), folder)
 
+def rolling_last_n(
+    stream: DataFrame, folder: str, key: str, at: str, value: str, tie: str, n: int = 500, idle_ms: int | None = None
+) -> StreamingQuery:
+    """Keep the newest n values per key of a stream in the state store under `folder`; nothing else is stored.
 
-def latest_version(spark: SparkSession, query: StreamingQuery, folder: str) -> DataFrame:
-    progress = query.lastProgress
-    return spark.read.parquet(f"{folder}/v={progress['batchId'] if progress else 0}")
+    Rows of a key are dealt over `SLOTS` states by their tie, so a hot key is shared by tasks, and `recent_rows` merges
+    them. The state holds n rows per key and slot however many batches there are, and a restarted stream goes on from it.
+    """
+    rows = stream.select(
+        key, F.pmod(F.xxhash64(tie), F.lit(SLOTS)).alias("slot"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"),
+        F.col(value).cast("double").alias("value"), F.col(tie).cast("long").alias("tie"))
+    kept = rows.groupBy(key, "slot").transformWithStateInPandas(
+        NewestRows(n, idle_ms), "rows long", "Update", "none" if idle_ms is None else "processingTime")
+    return _start(kept.writeStream.format("noop").outputMode("update"), folder)
+
+
+def recent_rows(spark: SparkSession, folder: str, key: str, at: str, value: str, tie: str, n: int = 500) -> DataFrame:
+    """The newest n rows per key that a `rolling_last_n` stream holds, read from its state."""
+    state = spark.read.format("statestore").option("stateVarName", "recent").load(f"{folder}/checkpoint")
+    rows = state.select(f"key.{key}", F.timestamp_micros("list_element.at").alias(at), F.col("list_element.value").alias(value), F.col("list_element.tie").alias(tie))
+    return last_n(rows, key, [F.desc(at), F.desc(tie)], n).drop("rank")
 
 
 def tumbling_latency(stream: DataFrame, at: str, key: str, value: str, width: str, delay: str) -> DataFrame:
@@ -69,18 +100,16 @@ def append_to(stream: DataFrame, folder: str) -> StreamingQuery:
 
 
 def latest_per_key(stream: DataFrame, folder: str, key: str, order: Sequence[str], columns: Sequence[str]) -> StreamingQuery:
-    """Upsert log: the newest row per key, kept in the state store and appended per batch when it changes."""
+    """Upsert log: the newest row per key, kept in the state store alone; rows of a key combine before they are shuffled."""
     newest = stream.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("row"))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(key, "row.*").withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/data/v={batch_id}")
-
-    return _start(newest.writeStream.outputMode("update").foreachBatch(write), folder)
+    return _start(newest.writeStream.format("noop").outputMode("update"), folder)
 
 
 def read_latest(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """Current rows of a `latest_per_key` log."""
-    return pick_one(spark.read.parquet(f"{folder}/data"), [key], [F.desc("_batch")]).drop("_batch", "v")
+    """Current rows of a `latest_per_key` log, read from its state."""
+    state = spark.read.format("statestore").load(f"{folder}/checkpoint")
+    row = state.schema["value"].dataType.fieldNames()[0]  # beside it the state holds what it was ordered by
+    return state.select(f"key.{key}", F.col(f"value.{row}").alias("row")).select(key, "row.*")
 
 
 def current_notes(changes: DataFrame) -> DataFrame:
@@ -109,7 +138,16 @@ def checked_labels(stream: DataFrame, sample: DataFrame, key: str) -> DataFrame:
 
 
 def _start(writer, folder: str) -> StreamingQuery:
-    return writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    """Start over the data available now, with state in RocksDB, of which only the last versions stay on disk."""
+    conf = SparkSession.getActiveSession().conf
+    before = {name: conf.get(name) for name in STATE_SETTINGS}
+    try:
+        for name, value in STATE_SETTINGS.items():
+            conf.set(name, value)
+        return writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 def run(start: Callable[[], StreamingQuery]) -> StreamingQuery:
