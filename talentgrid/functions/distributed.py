@@ -101,6 +101,28 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*picks)
 
 
+def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles under positive real weights per key, one column per entry of `probs`; rows without value or weight are ignored.
+
+    A value stands at the middle of its weight, at (weight before it + half its own) / total; quantiles between two values
+    are interpolated linearly, and outside the first and the last one they are these.
+    """
+    places = cumulative(df.filter(F.col(value).isNotNull() & (F.col(weight) > 0)), keys, value, weight=weight).withColumn(
+        "_at", (F.col("before") + F.col("n") / 2) / F.col("total"))
+    here = F.struct("_at", F.col(value).alias("v"))
+    ends = []
+    for name, p in probs.items():
+        ends += [F.max(F.when(F.col("_at") <= p, here)).alias(f"_low_{name}"), F.min(F.when(F.col("_at") >= p, here)).alias(f"_high_{name}")]
+    found = places.groupBy(*keys).agg(*ends)
+
+    def between(name: str, p: float) -> Column:
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        inside = low["v"] + (high["v"] - low["v"]) * F.coalesce(F.try_divide(F.lit(p) - low["_at"], high["_at"] - low["_at"]), F.lit(0.0))
+        return F.when(low.isNull(), high["v"]).when(high.isNull(), low["v"]).otherwise(inside).alias(name)
+
+    return found.select(*keys, *[between(name, p) for name, p in probs.items()])
+
+
 def order_statistic(df: DataFrame, keys: Sequence[str], value: str, position: Column, name: str) -> DataFrame:
     """The value at a zero-based `position`, an expression over the per-key `total`; null when out of range."""
     ranked = cumulative(df.filter(F.col(value).isNotNull()), keys, value)

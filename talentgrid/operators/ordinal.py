@@ -295,6 +295,115 @@ def threshold_slopes(prepared: DataFrame, features: Sequence[str]) -> DataFrame:
     return prepared.sparkSession.createDataFrame(results, "threshold int, feature string, slope double, se double")
 
 
+def stacked_logits(rows: DataFrame, features: Sequence[str], thresholds: int = TOP_BAND, band: str = "band", group: str = "group_id", rounds: int = 50):
+    """Separate logits for band > t, t = 0 .. thresholds - 1, fitted together: coefficients (t, feature), their covariance, converged.
+
+    The equations of all thresholds are stacked and solved by Newton steps; a step is one pass, of which only sums per
+    threshold and pair of features reach the driver. The covariance over all thresholds at once is the sandwich clustered by
+    group, with the usual correction for few groups and rows, so it holds what one group adds to several thresholds.
+    """
+    import numpy as np
+
+    x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    k = len(x)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    beta, converged = np.zeros((thresholds, k)), False
+
+    def residual(t: int) -> tuple[Column, Column]:
+        eta = sum((F.lit(float(c)) * v for c, v in zip(beta[t], x)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-eta))
+        return p, (F.col(band) > t).cast("double") - p
+
+    def inverse_hessian(sums, t: int):
+        full = np.zeros((k, k))
+        for i, j in pairs:
+            full[i, j] = full[j, i] = sums[f"h{t}_{i}_{j}"] or 0.0
+        return np.linalg.pinv(full)
+
+    for _ in range(rounds):
+        parts = []
+        for t in range(thresholds):
+            p, rest = residual(t)
+            parts += [F.sum(rest * x[i]).alias(f"g{t}_{i}") for i in range(k)] + [F.sum(p * (1 - p) * x[i] * x[j]).alias(f"h{t}_{i}_{j}") for i, j in pairs]
+        sums = rows.agg(*parts).first()
+        if sums["g0_0"] is None:
+            break
+        steps = np.array([inverse_hessian(sums, t) @ np.array([sums[f"g{t}_{i}"] for i in range(k)]) for t in range(thresholds)])
+        beta = beta + steps
+        if not np.isfinite(beta).all():
+            break
+        if np.abs(steps).max() <= 1e-10 * (1 + np.abs(beta).max()):
+            converged = True
+            break
+    if not converged:
+        return beta, np.full((thresholds * k, thresholds * k), np.nan), False
+    scores = rows.groupBy(group).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(residual(t)[1] * x[i]).alias(f"s{t * k + i}") for t in range(thresholds) for i in range(k)])
+    size = thresholds * k
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    meat = scores.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in upper]).first()
+    middle, bread = np.zeros((size, size)), np.zeros((size, size))
+    for i, j in upper:
+        middle[i, j] = middle[j, i] = meat[f"m{i}_{j}"]
+    for t in range(thresholds):
+        bread[t * k : t * k + k, t * k : t * k + k] = inverse_hessian(sums, t)
+    n = meat["rows"] * thresholds
+    correction = meat["groups"] / max(meat["groups"] - 1, 1) * (n - 1) / max(n - size, 1)
+    return beta, correction * bread @ middle @ bread, True
+
+
+def chi_squared_tail(x: float, df: int) -> float:
+    """Chance that a chi-squared number of `df` degrees of freedom exceeds x."""
+    import math
+
+    half = x / 2
+    if df % 2 == 0:
+        term = total = math.exp(-half)
+        for i in range(1, df // 2):
+            term *= half / i
+            total += term
+        return total
+    total = math.erfc(math.sqrt(half))
+    return total + math.exp(-half) * sum(half ** (i - 0.5) / math.gamma(i + 0.5) for i in range(1, (df + 1) // 2))
+
+
+def slope_contrasts(rows: DataFrame, features: Sequence[str], thresholds: int = TOP_BAND, group: str = "group_id") -> DataFrame:
+    """Wald tests that a feature's slope is the same at all thresholds: (feature, statistic, df, p_value, p_fdr, status).
+
+    Every slope is set against the one at the first threshold. The row of feature `(all)` tests all contrasts together and
+    says whether equal slopes are rejected at 5 %; status is `inconclusive`, and numbers are null, where the fit does not
+    converge or the contrasts' covariance has not full rank. p_fdr adjusts features for their number.
+    """
+    import numpy as np
+
+    schema = "feature string, statistic double, df int, p_value double, p_fdr double, status string"
+    beta, covariance, converged = stacked_logits(rows, features, thresholds, group=group)
+    k = len(features) + 1
+    contrasts = np.zeros((len(features) * (thresholds - 1), thresholds * k))
+    for f in range(len(features)):
+        for t in range(1, thresholds):
+            contrasts[f * (thresholds - 1) + t - 1, [t * k + f + 1, f + 1]] = 1, -1
+    spread = contrasts @ covariance @ contrasts.T
+    if not converged or not np.isfinite(spread).all() or np.linalg.matrix_rank(spread) < len(contrasts):
+        return rows.sparkSession.createDataFrame([(f, None, None, None, None, "inconclusive") for f in ("(all)", *features)], schema)
+
+    def test(which: slice) -> tuple[float, int, float]:
+        values = (contrasts @ beta.ravel())[which]
+        statistic = float(values @ np.linalg.solve(spread[which, which], values))
+        return statistic, len(values), chi_squared_tail(statistic, len(values))
+
+    each = [test(slice(f * (thresholds - 1), (f + 1) * (thresholds - 1))) for f in range(len(features))]
+    order = sorted(range(len(features)), key=lambda f: each[f][2])
+    adjusted, least = {}, 1.0
+    for rank in range(len(order), 0, -1):
+        least = min(least, each[order[rank - 1]][2] * len(order) / rank)
+        adjusted[order[rank - 1]] = least
+    whole = test(slice(None))
+    said = lambda p: "rejected" if p < 0.05 else "not_rejected"
+    table = [("(all)", *whole, None, said(whole[2]))] + [(f, *each[i], float(adjusted[i]), said(adjusted[i])) for i, f in enumerate(features)]
+    return rows.sparkSession.createDataFrame(table, schema)
+
+
 def band_classifier(prepared: DataFrame, skills: str = "skills", features: int = 12_000):
     """Fitted multinomial model on title, skill and location words and pairs plus numbers; predicts band 0..5."""
     from pyspark.ml import Pipeline

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentgrid.functions.distributed import average_ranks, cumulative, exact_quantiles, order_statistic
+from talentgrid.functions.distributed import average_ranks, cumulative, exact_quantiles, order_statistic, weighted_quantiles
 from talentgrid.session import cut
 
 QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
@@ -210,6 +210,42 @@ def disclosure_propensity(
     return out
 
 
+def _weighted_medians(rows: DataFrame, train: DataFrame, levels: Sequence[Sequence[str]], value: str, weight: str, min_support: int, name: str) -> DataFrame:
+    """Rows with the weighted median of their finest level with enough training rows, else of all."""
+    out, found = rows, []
+    for i, keys in enumerate(levels):
+        sizes = train.groupBy(*keys).agg(F.count(value).alias("_n")).filter(F.col("_n") >= min_support)
+        table = cut(weighted_quantiles(train, keys, value, weight, {f"_m{i}": 0.5}).join(sizes.drop("_n"), list(keys)))
+        out = out.join(table, list(keys), "left")
+        found.append(F.col(f"_m{i}"))
+    overall = cut(weighted_quantiles(train, [], value, weight, {"m": 0.5})).scalar()
+    return out.withColumn(name, F.coalesce(*found, overall)).select(*rows.columns, name)
+
+
+def propensity_shift(
+    scored: DataFrame, levels: Sequence[Sequence[str]], split: str = "split", outcome: str = "disclosed", value: str = "y", least: float = 0.05,
+    min_support: int = MIN_SUPPORT,
+) -> DataFrame:
+    """How far predicted pay moves when disclosed rows are weighted to stand for all rows, one row.
+
+    `scored` holds all rows with `propensity`, the log pay `value` where it is disclosed, and their split. Training rows
+    weigh 1 / propensity, which is taken as `least` where it is lower. Medians with and without weights use one rule.
+    Columns: median and mean change in per cent of the undisclosed rows, mean absolute error of the test rows either way.
+    """
+    rows = scored.withColumns({"_one": F.lit(1.0), "_w": 1 / F.greatest(F.lit(least), F.least(F.lit(1.0), "propensity"))})
+    train = rows.filter(F.col(outcome) & (F.col(split) == "train"))
+    asked = rows.filter(~F.col(outcome) | (F.col(split) == "test"))
+    plain = _weighted_medians(asked, train, levels, value, "_one", min_support, "_plain")
+    both = cut(_weighted_medians(plain, train, levels, value, "_w", min_support, "_weighted"))
+    change = both.filter(~F.col(outcome)).select(((F.exp("_weighted") / F.exp("_plain") - 1) * 100).alias("change"))
+    middle = exact_quantiles(change, [], "change", {"median_change_pct": 0.5}).scalar()
+    error = lambda name: F.avg(F.when(F.col(outcome), F.abs(F.exp(name) - F.exp(value))))
+    sums = both.agg(
+        F.avg(F.when(~F.col(outcome), (F.exp("_weighted") / F.exp("_plain") - 1) * 100)).alias("mean_change_pct"),
+        error("_plain").alias("test_mae"), error("_weighted").alias("test_mae_weighted"), F.count_if(~F.col(outcome)).alias("undisclosed"))
+    return sums.select(middle.alias("median_change_pct"), "mean_change_pct", "test_mae", "test_mae_weighted", "undisclosed")
+
+
 def pay_features(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], texts: Sequence[str], dims: int = 32) -> DataFrame:
     """Feature vector per row: indexed categories, numbers, and each word list as TF-IDF reduced to `dims` components.
 

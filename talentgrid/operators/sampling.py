@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.functions.distributed import best_per_group, cumulative
 from talentgrid.functions.numeric import hash_bucket, hash_order
+from talentgrid.session import cut
+
+MOST_CELLS = 1 << 16  # of [0, 1) in a draw by ranges
 
 
 def mention_bands(df: DataFrame, key: str, weight: str, high: float = 0.5, mid: float = 0.8) -> DataFrame:
@@ -95,6 +99,66 @@ def weighted_draw(df: DataFrame, keys: Sequence[str], item: str, weight: Column,
     return best_per_group(df.withColumn("_draw", -F.log(uniform) / weight), keys, [F.asc("_draw"), F.asc(item)], k).drop("_draw")
 
 
+def uniform(seed: str, *parts: Column | str) -> Column:
+    """A number strictly between 0 and 1 from the hash of the parts."""
+    return (hash_bucket(F.concat_ws(":", *parts), seed, 1 << 31) + 0.5) / float(1 << 31)
+
+
+def weight_ranges(items: DataFrame, item: str, weight: str) -> DataFrame:
+    """(item, low, high): the stretch of [0, 1) that each item holds in proportion to its weight, in the order of items."""
+    ranked = cumulative(items.filter(F.col(weight) > 0), [], item, weight=weight)
+    return ranked.select(item, (F.col("before") / F.col("total")).alias("low"), ((F.col("before") + F.col("n")) / F.col("total")).alias("high"))
+
+
+def inverse_draw(points: DataFrame, ranges: DataFrame, item: str, at: str = "u") -> DataFrame:
+    """`points` with the item whose range holds the point's number `at` in [0, 1); `ranges` come from `weight_ranges`.
+
+    Both sides meet by cell of [0, 1), of which there are as many as items: a range lies in the cells it touches, so the
+    join emits about two rows per point, and neither a heavy item nor a large vocabulary meets in one task.
+    """
+    held = cut(ranges)
+    cells = F.lit(max(1, min(held.count(), MOST_CELLS)))
+    last = F.least(F.ceil(F.col("high") * cells) - 1, cells - 1)
+    spread = held.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.greatest(last, F.floor(F.col("low") * cells)))))
+    placed = points.withColumn("_cell", F.floor(F.col(at) * cells))
+    return placed.join(spread, "_cell").filter((F.col(at) >= F.col("low")) & (F.col(at) < F.col("high"))).select(*points.columns, item)
+
+
+def foreign_draw(
+    takers: DataFrame, owned: DataFrame, items: DataFrame, key: str, item: str, weight: str, n: int, seed: str, tries: int = 4, rounds: int = 12
+) -> DataFrame:
+    """n items per taker that it does not own, drawn one after another in proportion to weight without replacement: (key, item).
+
+    Each try draws from all items and counts unless the item is owned or drawn already, which gives the same chances as
+    drawing from what is left. Takers that are still short try twice as often in the next round; the few that own nearly
+    all weight and miss in every round take the heaviest items they lack. A taker that lacks fewer than n items gets all.
+    """
+    items = items.filter(F.col(weight) > 0).select(item, weight)
+    ranges = cut(weight_ranges(items, item, weight))
+    size = ranges.count()
+    own = owned.select(key, item).join(items.select(item), item).groupBy(key).agg(F.countDistinct(item).alias("_own"))
+    short = cut(takers.select(key).distinct().join(own, key, "left").select(
+        key, F.coalesce("_own", F.lit(0)).alias("_own"), F.least(F.lit(n), size - F.coalesce("_own", F.lit(0))).alias("_need")).filter("_need > 0"))
+    drawn, first = short.select(key, F.lit(None).cast(dict(items.dtypes)[item]).alias(item), F.lit(0).alias("_try")).limit(0), 0
+    for _ in range(rounds):
+        attempts = short.select(key, F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))).alias("_try")).withColumn(
+            "u", uniform(seed, F.col(key).cast("string"), F.col("_try").cast("string")))
+        fresh = inverse_draw(attempts, ranges, item).join(owned.select(key, item).distinct(), [key, item], "left_anti")
+        drawn = cut(drawn.unionByName(fresh.select(key, item, "_try")).groupBy(key, item).agg(F.min("_try").alias("_try")))
+        have = drawn.groupBy(key).agg(F.count(F.lit(1)).alias("_have"))
+        short = cut(short.join(have, key, "left").filter(F.coalesce("_have", F.lit(0)) < F.col("_need")).select(key, "_own", "_need"))
+        if short.isEmpty():
+            break
+        first, tries = first + tries, 2 * tries
+    else:
+        # Of its number of items and n more, the heaviest, a taker lacks at least n.
+        heaviest = cumulative(items.select(F.struct((-F.col(weight)).alias("w"), item).alias("_i")), [], "_i").select(F.col("before").alias("_at"), F.col(f"_i.{item}").alias(item))
+        late = short.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_own") + n - 1)).alias("_at")).join(heaviest, "_at").join(
+            owned.select(key, item).distinct(), [key, item], "left_anti").join(drawn.select(key, item), [key, item], "left_anti")
+        drawn = drawn.unionByName(late.select(key, item, (F.lit(first) + F.col("_at")).cast("int").alias("_try")))
+    return best_per_group(drawn, [key], [F.asc("_try")], n).select(key, item)
+
+
 def poisson_weights(df: DataFrame, unit: str, replicates: int, seed: str) -> DataFrame:
     """Resampling weights: one row per (unit, replicate) with a Poisson(1) weight above zero.
 
@@ -133,29 +197,22 @@ def synthetic_candidates(
     posting skills, `vocabulary(skill_id)` for two random extra skills, `postings(occupation, job_id, state, tier, exp_band)`.
     """
     spark = occupations.sparkSession
-
-    def uniform(*parts: Column | str) -> Column:
-        return (hash_bucket(F.concat_ws(":", *parts), seed, 1 << 31) + 0.5) / float(1 << 31)
-
+    chance = partial(uniform, seed)
     eligible = occupations.filter(F.col("demand") >= 5)
-    ranges = cumulative(eligible, [], "occupation", weight="demand")
-    ladder = ranges.groupBy().agg(F.array_sort(F.collect_list(F.struct(
-        ((F.col("before") + F.col("n")) / F.col("total")).alias("upto"), "occupation"))).alias("l")).scalar()
-    people = spark.range(n).select(F.col("id").cast("string").alias("i")).withColumn("_u", uniform(F.lit("occ"), "i"))
-    # The ladder has one step per occupation, a taxonomy constant.
-    people = people.withColumn("_ladder", ladder).select("i", F.element_at(F.filter(
-        "_ladder", lambda s: s["upto"] > F.col("_u")), 1)["occupation"].alias("occupation"))
+    people = inverse_draw(
+        spark.range(n).select(F.col("id").cast("string").alias("i")).withColumn("u", chance(F.lit("occ"), "i")),
+        weight_ranges(eligible, "occupation", "demand"), "occupation").select("i", "occupation")
     chances = requirements.select("occupation", "skill_id", F.when(F.col("relation") == "essential", 0.5).otherwise(0.15).alias("p")).unionByName(
         popular.select("occupation", "skill_id", F.lit(0.5).alias("p"))).groupBy("occupation", "skill_id").agg(F.max("p").alias("p"))
-    drawn = people.join(chances, "occupation").filter(uniform(F.lit("skill"), "i", "skill_id") < F.col("p")).select("i", "skill_id")
+    drawn = people.join(chances, "occupation").filter(chance(F.lit("skill"), "i", "skill_id") < F.col("p")).select("i", "skill_id")
     slots = vocabulary.agg(F.count(F.lit(1)).alias("v")).scalar()
     numbered = cumulative(vocabulary, [], "skill_id").select("skill_id", F.col("before").alias("slot"))
     extra = people.select("i", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("x")).withColumn(
-        "slot", F.floor(uniform(F.lit("extra"), "x", "i") * slots)).join(numbered, "slot").select("i", "skill_id")
+        "slot", F.floor(chance(F.lit("extra"), "x", "i") * slots)).join(numbered, "slot").select("i", "skill_id")
     skills = drawn.unionByName(extra).groupBy("i").agg(F.array_sort(F.collect_set("skill_id")).alias("skills"))
     sizes = postings.groupBy("occupation").agg(F.count(F.lit(1)).alias("size"))
     ranked = cumulative(postings, ["occupation"], "job_id").select("occupation", "job_id", F.col("before").alias("slot"))
-    homes = people.join(sizes, "occupation").withColumn("slot", F.floor(uniform(F.lit("home"), "i") * F.col("size"))).join(
+    homes = people.join(sizes, "occupation").withColumn("slot", F.floor(chance(F.lit("home"), "i") * F.col("size"))).join(
         ranked, ["occupation", "slot"]).join(postings.drop("occupation"), "job_id").select("i", "occupation", "state", "tier", "exp_band")
     return homes.join(skills, "i").select(
         F.concat(F.lit("SYN-"), F.lpad("i", 8, "0")).alias("candidate_id"), F.lit(True).alias("synthetic"), "occupation", "skills",

@@ -301,6 +301,19 @@ def threshold_slopes(b):
     return od.threshold_slopes(rows, ["exp_mid", "skill_count"]).select("threshold", "feature", F.round("slope", 2).alias("slope"), F.round("se", 2).alias("se"))
 
 
+@query("EV-25 (contrasts)")
+def threshold_slope_tests(b):
+    rows = cut(prepared(b).filter("split = 'train'").withColumn("skill_count", F.size("skills")))
+    tests = od.slope_contrasts(rows, ["exp_mid", "skill_count"])
+    return tests.select("feature", F.round("statistic", 3).alias("statistic"), "df", F.round("p_value", 4).alias("p_value"), F.round("p_fdr", 4).alias("p_fdr"), "status")
+
+
+@query("EV-23 (odds ratios)")
+def cohort_odds_ratios(b):
+    ratios = od.odds_ratios(_cohort(b), ["chars", "words", "toxic"], "y")
+    return b.spark.createDataFrame(ratios, "feature string, odds_ratio double").withColumn("odds_ratio", F.round("odds_ratio", 2))
+
+
 REQUESTS = """, req AS (SELECT 'r' || row_number() OVER (ORDER BY role_family, x) AS id0, role_family AS family, x::DOUBLE AS experience, role_family || ':' || x AS request_id FROM (SELECT DISTINCT role_family FROM prep UNION ALL SELECT 'All'), (SELECT unnest([0, 3, 7]) AS x)),
 pool AS (SELECT request_id, row_key, band, skills FROM req JOIN prep ON (family = 'All' OR family = role_family) AND exp_min <= req.experience AND exp_max >= req.experience)"""
 

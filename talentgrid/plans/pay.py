@@ -157,6 +157,19 @@ def disclosure_propensity_auc(b):
     return py.auc(scored, "propensity", "disclosed").select(F.round("auc", 3).alias("auc"))
 
 
+@query("EV-15 (weighted refit)")
+def disclosure_propensity_shift(b):
+    from talentgrid.session import cut
+
+    bucket = num.hash_bucket(F.col("company"), "31:", 100)
+    rows = b.postings.select(
+        "job_id", "company", "occupation", "isco2", "exp_band", "tier", F.col("exp_min").cast("double").alias("exp_min"), "disclosed",
+        F.when(F.col("disclosed"), F.log("pay")).alias("y"), num.named_split(bucket, num.PAY_SPLIT).alias("split"))
+    scored = cut(py.disclosure_propensity(rows, ["isco2", "exp_band"], ["tier", "exp_min"], "disclosed", num.hash_bucket(F.col("company"), "f:", 5)))
+    shift = py.propensity_shift(scored, LEVELS)
+    return shift.select(*[F.round(c, 1).alias(c) for c in shift.columns[:-1]], "undisclosed")
+
+
 @query("EV-12")
 def pay_feature_vectors(b):
     from pyspark.ml.functions import vector_to_array

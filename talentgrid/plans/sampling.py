@@ -55,6 +55,19 @@ def weighted_skill_draw(b):
     return drawn.select("occupation", "skill_id", F.col("rank").cast("long").alias("rank"))
 
 
+UNIFORM = "((('0x' || substr(sha256('{}' || {}), 1, 8))::BIGINT % 2147483648 + 0.5::DOUBLE) / 2147483648)"
+
+
+@query("SMP-5 (ranges), SYN-1 (occupations)", sql("posting", f"""
+, r AS (SELECT occupation, (sum(n) OVER (ORDER BY occupation) - n) / sum(n) OVER ()::DOUBLE AS low, sum(n) OVER (ORDER BY occupation) / sum(n) OVER ()::DOUBLE AS high
+  FROM (SELECT occupation, count(*) AS n FROM posting GROUP BY occupation))
+SELECT c_custkey, occupation FROM (SELECT c_custkey, {UNIFORM.format("syn:", "'occ:' || c_custkey")} AS u FROM customer) JOIN r ON u >= low AND u < high"""))
+def drawn_occupations(b):
+    sizes = b.postings.groupBy("occupation").agg(F.count(F.lit(1)).alias("demand"))
+    people = b.raw("customer").select("c_custkey", sm.uniform("syn:", F.lit("occ"), F.col("c_custkey").cast("string")).alias("u"))
+    return sm.inverse_draw(people, sm.weight_ranges(sizes, "occupation", "demand"), "occupation").select("c_custkey", "occupation")
+
+
 @query("SMP-6")
 def resampled_disclosure_share(b):
     units = b.postings.groupBy("company_id").agg(
