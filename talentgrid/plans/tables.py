@@ -84,3 +84,17 @@ def stamped_copy(b):
     stamps = readers.file_stamps(b.spark, f"{b.folder}/region.parquet")
     readers.cached_parquet(b.spark, b.raw("region"), stamps, folder)
     return readers.cached_parquet(b.spark, b.raw("region"), stamps, folder)
+
+
+@query("EV-27 (staleness), SRC-5", """
+SELECT 'nation' AS name, CASE WHEN (SELECT count(*) FROM nation) > 0 THEN 'current' END AS status UNION ALL SELECT 'part', CASE WHEN (SELECT count(*) FROM part) > 0 THEN 'outdated' END
+UNION ALL SELECT 'supplier', CASE WHEN (SELECT count(*) FROM supplier) > 0 THEN 'unrecorded' END""")
+def stale_inputs(b):
+    """Copies of three tables: one stays as recorded, one grows afterwards, one is never recorded."""
+    folder = scratch(b.spark)
+    paths = {name: f"{folder}/{name}" for name in ("nation", "part", "supplier")}
+    for name, path in paths.items():
+        b.raw(name).write.parquet(path)
+    readers.recorded_versions(b.spark, {n: p for n, p in paths.items() if n != "supplier"}).write.parquet(f"{folder}/recorded")
+    b.raw("part").limit(1).write.mode("append").parquet(paths["part"])
+    return readers.staleness(b.spark.read.parquet(f"{folder}/recorded"), readers.recorded_versions(b.spark, paths))

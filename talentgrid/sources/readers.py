@@ -91,15 +91,53 @@ def file_stamps(spark: SparkSession, path: str, content: bool = False) -> DataFr
     return files.select("path", "length", F.col("modificationTime").cast("string").alias("changed"), digest.alias("sha256"))
 
 
+def source_version(stamps: DataFrame) -> DataFrame:
+    """One row `version`: the root of a tree of digests over the files of an input, whatever order they are listed in.
+
+    Files go to 65,536 leaves by the hash of their path, leaves to 256 branches, and branches to the root, so no row holds
+    more than a small part of the stamps.
+    """
+    mark = F.concat_ws("|", "path", "length", F.coalesce("sha256", "changed"))
+    together = F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), "\n"), 256).alias("digest")
+    files = stamps.select(F.substring(F.sha2("path", 256), 1, 4).alias("leaf"), F.sha2(mark, 256).alias("digest"))
+    leaves = files.groupBy("leaf").agg(together)
+    branches = leaves.groupBy(F.substring("leaf", 1, 2).alias("branch")).agg(together)
+    return branches.agg(together).select(F.col("digest").alias("version"))
+
+
 def cached_parquet(spark: SparkSession, source: DataFrame, stamps: DataFrame, folder: str) -> DataFrame:
-    """Parquet copy of a slow source, keyed by the size and change time of its files; written only when missing."""
-    rows = stamps.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(
-        F.concat_ws("|", "path", "length", "changed"))), "\n"), 256), 1, 16).alias("v")).first()
-    target = f"{folder}/v={rows['v']}"
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(target)
-    except AnalysisException:
-        source.write.mode("overwrite").parquet(target)
-        return spark.read.parquet(target)
+    """Parquet copy of a slow source under the version of its files; written only when that version is missing.
+
+    A version counts once it is whole, which its success marker says, so a run that was broken off leaves nothing to read.
+    Copies of other versions are deleted then: readers always find exactly the version of the source as it is.
+    """
+    version = source_version(stamps).first()["version"][:16]
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    target = f"{folder}/v={version}"
+    if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")):
+        source.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(target)
+    for old in files.listStatus(root):
+        if old.getPath().getName().startswith("v=") and old.getPath().getName() != f"v={version}":
+            files.delete(old.getPath(), True)
+    return spark.read.parquet(target)
+
+
+def recorded_versions(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
+    """(name, version) of every named input path, to be written beside what was made from them."""
+    rows = None
+    for name, path in sources.items():
+        row = source_version(file_stamps(spark, path)).select(F.lit(name).alias("name"), "version")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def staleness(recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """Inputs with the version recorded for them and the one they have: (name, status).
+
+    `outdated` where they differ, `gone` where the input is no longer there, `unrecorded` where it was never used.
+    """
+    both = recorded.select("name", F.col("version").alias("was")).join(current.select("name", F.col("version").alias("now_")), "name", "full")
+    status = F.when(F.col("was").isNull(), "unrecorded").when(F.col("now_").isNull(), "gone").when(
+        F.col("was") == F.col("now_"), "current").otherwise("outdated")
+    return both.select("name", status.alias("status"))

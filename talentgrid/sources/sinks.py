@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions.distributed import listed_once
 from talentgrid.functions.numeric import finite
+from talentgrid.sources.readers import source_version
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, long_text: dict[str, tuple[str, list[str]]] | None = None) -> None:
@@ -41,8 +42,7 @@ def report_rows(report: str, section: str, metrics: DataFrame) -> DataFrame:
 
 def with_provenance(rows: DataFrame, stamps: DataFrame, script: str, seed: int) -> DataFrame:
     """Report rows with the fingerprint of their inputs, script, seed and UTC time."""
-    inputs = stamps.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(
-        "|", "path", "length", F.coalesce("sha256", "changed")))), "\n"), 256)).scalar()
+    inputs = source_version(stamps).scalar()
     return rows.withColumns({"inputs": inputs, "script": F.lit(script), "seed": F.lit(seed), "generated_at": F.date_format(
         F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
 
