@@ -347,6 +347,12 @@ def detect_language(c: Column) -> Column:
     )
 
 
+def composed(c: Column) -> Column:
+    """Canonical composition (NFC), done by the Unicode library that Spark brings along; plain ASCII is returned as it is."""
+    library = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), library).otherwise(c)
+
+
 def words_of(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 0)
 

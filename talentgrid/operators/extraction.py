@@ -88,10 +88,12 @@ def split_loanwords(phrases: DataFrame, lexicon: DataFrame, filler: Sequence[str
     """Transliterated terms of each phrase and what is left of it.
 
     `phrases(phrase_id, phrase)`, `lexicon(term, english)`. Returns (phrase_id, span, english) and (phrase_id, residual).
+    Both sides are compared in canonical composition, so it does not matter how marks are put on letters.
     """
-    words = tx.words_of(F.col("phrase"))
+    words = tx.words_of(tx.composed(F.col("phrase")))
+    terms = lexicon.select(tx.composed(F.trim("term")).alias("key"), F.trim("english").alias("value"))
     found = longest_matches(
-        phrases, "phrase_id", words, lexicon.select(F.col("term").alias("key"), F.col("english").alias("value")), LOANWORD_WORDS,
+        phrases, "phrase_id", words, terms, LOANWORD_WORDS,
         lambda w: tx.strip_chars(w, tx.PHRASE_EDGE))
     used = found.groupBy("phrase_id").agg(F.flatten(F.collect_list(
         F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1))).alias("used"))
@@ -113,13 +115,19 @@ def _redundant(phrase: Column, covered: Column) -> Column:
 def extract_skills(
     documents: DataFrame, dictionary: DataFrame, labels: DataFrame, lexicon: DataFrame, threshold: float,
     single_word: float | None = None, encoder: Callable[[Column], Column] | None = None,
+    native_encoder: Callable[[Column], Column] | None = None, native_threshold: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Skills and unlinked phrases of every document.
 
     `documents(doc_id, text)`, `dictionary(key, uri)`, `labels` from `concept_labels`, `lexicon(term, english)`. Order of
-    evidence: exact spans, transliterated terms, then vector links of phrases that add something new. The first evidence per
-    (document, skill) wins.
+    evidence: exact spans, transliterated terms, then vector links of phrases that add something new, and last those of
+    phrases in a native script. The first evidence per (document, skill) wins.
+
+    Of a text that is not English, what no term explains goes to the English encoder where it is all ASCII, and otherwise
+    to `native_encoder`, which also encodes the labels it is compared with; from `native_threshold` (0.1 below the other
+    one, 0.5 at least, unless given) it is accepted.
     """
+    native_threshold = max(0.5, threshold - 0.1) if native_threshold is None else native_threshold
     routed = documents.select("doc_id", "text", tx.detect_language(F.col("text")).alias("language"))
     exact = cut(tag_documents(routed, dictionary))
     english = routed.filter("language = 'en'").select("doc_id", F.posexplode(tx.candidate_phrases(F.col("text"))).alias("pos", "phrase"))
@@ -131,6 +139,8 @@ def extract_skills(
         other.select("phrase_id", "doc_id", F.col("pos").alias("at")), "phrase_id")
     leftover = other.select("doc_id", "pos", "phrase_id").join(rest, "phrase_id").filter(F.length("residual") >= 2).select(
         "doc_id", "pos", F.col("residual").alias("phrase"), F.col("residual").alias("source"))
+    native = leftover.filter(F.col("phrase").rlike(r"[^\x00-\x7F]"))
+    leftover = leftover.filter(~F.col("phrase").rlike(r"[^\x00-\x7F]"))
     unknown = terms.filter(F.col("uri").isNull()).select(
         "doc_id", F.col("at").alias("pos"), F.col("english").alias("phrase"), F.concat("span", F.lit(" ("), "english", F.lit(")")).alias("source"))
     open_phrases = english.select("doc_id", "pos", "phrase", F.col("phrase").alias("source")).unionByName(leftover).unionByName(unknown)
@@ -140,14 +150,20 @@ def extract_skills(
         covered, "doc_id", "left")
     fresh = cut(keyed.filter(F.col("covered").isNull() | ~_redundant(F.col("key"), F.col("covered"))).select("doc_id", "pos", "phrase", "source"))
     named = cut(labels.withColumn("label_id", F.xxhash64("uri", "kind", "label")).dropDuplicates(["label_id"]))
-    vectors = hashed_vectors(named.select("label_id", "uri", F.col("label").alias("text")), encoder).drop("text")
-    linked = link(hashed_vectors(fresh.select(F.col("phrase").alias("text")).distinct(), encoder), named, vectors, threshold, single_word, 1)
-    matched = fresh.join(linked.select(F.col("text").alias("phrase"), "uri", "score", "method", "accepted"), "phrase")
+
+    def linked(phrases: DataFrame, encoder: Callable[[Column], Column] | None, threshold: float, single_word: float | None, stage: int) -> DataFrame:
+        vectors = hashed_vectors(named.select("label_id", "uri", F.col("label").alias("text")), encoder).drop("text")
+        texts = hashed_vectors(phrases.select(F.col("phrase").alias("text")).distinct(), encoder)
+        found = link(texts, named, vectors, threshold, single_word, 1).select(F.col("text").alias("phrase"), "uri", "score", "method", "accepted")
+        return phrases.join(found, "phrase").withColumn("stage", F.lit(stage))
+
+    matched = linked(fresh, encoder, threshold, single_word, 2).unionByName(
+        linked(cut(native.select("doc_id", "pos", "phrase", "source")), native_encoder or encoder, native_threshold, None, 3))
     every = (
         exact.select("doc_id", "uri", F.lit(1.0).alias("score"), F.lit("exact").alias("method"), F.col("span").alias("source"), F.lit(0).alias("stage"), "pos")
         .unionByName(terms.filter(F.col("uri").isNotNull()).select(
             "doc_id", "uri", F.lit(1.0).alias("score"), F.lit("transliteration").alias("method"), F.col("span").alias("source"), F.lit(1).alias("stage"), F.col("at").alias("pos")))
-        .unionByName(matched.filter("accepted").select("doc_id", "uri", "score", "method", "source", F.lit(2).alias("stage"), "pos"))
+        .unionByName(matched.filter("accepted").select("doc_id", "uri", "score", "method", "source", "stage", "pos"))
     )
     skills = pick_one(every, ["doc_id", "uri"], [F.asc("stage"), F.asc("pos"), F.asc("source")])
     return skills.select("doc_id", "uri", "score", "method", "source"), matched.filter("NOT accepted").select("doc_id", F.col("source").alias("phrase"))

@@ -9,6 +9,9 @@ from talentgrid.operators import extraction as ex
 from talentgrid.operators.linking import concept_labels
 from talentgrid.plans.registry import query
 
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+DEVANAGARI = "".join("\u0931" if c == "n" else chr(0x0915 + i) for i, c in enumerate(LATIN))
+
 
 def _dictionary(b):
     phrases = b.raw("benchmark").select("item_id", F.explode(tx.candidate_phrases(F.col("text"))).alias("phrase"))
@@ -36,8 +39,12 @@ def loanword_spans(b):
 def extracted_document_skills(b):
     dictionary = _dictionary(b)
     labels = concept_labels(dictionary.select("uri", F.col("key").alias("preferred"), F.array().cast("array<string>").alias("alternates")))
-    lexicon = b.spark.createDataFrame([], "term string, english string")
-    skills, _ = ex.extract_skills(b.raw("documents").select("doc_id", "text"), dictionary, labels, lexicon, 0.75, 0.9)
+    # Spanish texts stand in for native-script ones: their letters become Devanagari ones, with marks apart from letters in
+    # the texts and joined to them in the lexicon.
+    lexicon = dictionary.select(F.translate("key", LATIN, DEVANAGARI).alias("term"), F.col("key").alias("english"))
+    native = F.replace(F.translate(F.lower("text"), LATIN, DEVANAGARI), F.lit("\u0931"), F.lit("\u0930\u093c"))
+    texts = b.raw("documents").select("doc_id", F.when(F.col("lang") == "es", native).otherwise(F.col("text")).alias("text"))
+    skills, _ = ex.extract_skills(texts, dictionary, labels, lexicon, 0.75, 0.9)
     return skills.select("doc_id", "uri", F.round("score", 2).alias("score"), "method")
 
 
