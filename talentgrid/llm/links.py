@@ -1,4 +1,4 @@
-"""Connected components of links by distributed union-find: hook, compress, contract."""
+"""Connected components of links by distributed union-find: sets hook onto smaller ones, paths are halved."""
 
 from __future__ import annotations
 
@@ -11,33 +11,22 @@ from talentgrid.session import cut, release
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected links (a, b); the root is the smallest node of its component.
 
-    Every set hooks onto the smallest set it is linked with, paths are compressed until each points at its root, and links
-    are drawn anew between roots. At least every second set goes in a round, so that rounds grow with the logarithm of the
-    nodes; minima combine before they are shuffled, however many links one node has. Links of a node with itself count as
-    none.
+    Every node points at a smaller one of its set. In a round each set that a link joins with another hooks onto the
+    smallest one it meets, and every node then points where that one points. Minima combine before they are shuffled,
+    however many links one node has, and a round is written out once. Links of a node with itself count as none.
     """
-    left = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    found = None
-    while not left.isEmpty():
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        known = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
-        while True:
-            upper = known.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-            higher = cut(known.join(upper, "root").select("node", F.col("_up").alias("root"), (F.col("_up") < F.col("root")).alias("moved")))
-            release(known)
-            known = higher
-            if higher.filter("moved").isEmpty():
-                break
-        end = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
-        drawn = cut(
-            left.join(end("a"), "a").join(end("b"), "b").filter("_a <> _b")
-            .select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct())
-        if found is None:
-            merged = cut(known.select("node", "root"))
-        else:
-            merged = cut(found.join(known.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select(
-                "node", F.coalesce("_new", "root").alias("root")))
-            release(found)
-        release(left, known)
-        found, left = merged, drawn
-    return left.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sets = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
+    while True:
+        end = lambda c, sets=sets: sets.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        meets = edges.join(end("a"), "a").join(end("b"), "b").filter("root_a <> root_b")
+        hooks = meets.groupBy(F.greatest("root_a", "root_b").alias("root")).agg(F.min(F.least("root_a", "root_b")).alias("onto"))
+        hooked = sets.join(hooks, "root", "left").select("node", F.col("root").alias("was"), F.coalesce("onto", "root").alias("root"))
+        above = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        halved = cut(hooked.join(above, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("was")).alias("moved")))
+        release(sets)
+        sets = halved
+        if sets.filter("moved").isEmpty():
+            release(edges)
+            return sets.select("node", "root")

@@ -245,14 +245,22 @@ def prefix_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     names = ["doc_id", "n_bytes", "n_chars", "n_tokens", *(f"chars_within_{b}" for b in budgets)]
 
     def longest(counts: np.ndarray, budget: int) -> int:
+        if not len(counts) or counts[-1] <= budget:
+            return len(counts)
         fits = np.flatnonzero(counts <= budget)
         return int(fits[-1]) + 1 if len(fits) else 0
 
-    def packed(counts: np.ndarray) -> bytes:
-        each = np.diff(counts, prepend=0)
+    def packed(counts: list[np.ndarray]) -> pa.Array:
+        """The steps of all texts in one buffer."""
+        ends = np.cumsum([0, *map(len, counts)])
+        whole = np.concatenate([np.empty(0, np.int32), *counts])
+        each = np.diff(whole, prepend=0)
+        starts = ends[:-1][np.diff(ends) > 0]
+        each[starts] = whole[starts]
         if len(each) and np.abs(each).max() >= 1 << 15:
             raise OverflowError("a step exceeds 16 bits")
-        return each.astype("<i2").tobytes()
+        return pa.Array.from_buffers(
+            pa.large_binary(), len(counts), [None, pa.py_buffer((2 * ends).astype(np.int64)), pa.py_buffer(each.astype("<i2"))]).cast(pa.binary())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +272,7 @@ def prefix_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                         pa.array([int(c[-1]) if len(c) else 0 for c in counts], pa.int64()),
                         *(pa.array([longest(c, b) for c in counts], pa.int64()) for b in budgets)]
                 if steps:
-                    made.append(pa.array([packed(c) for c in counts], pa.binary()))
+                    made.append(packed(counts))
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], [*names, "steps"][: 1 + len(made)])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(

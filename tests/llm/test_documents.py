@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from talentgrid.llm.links import components
 from talentgrid.llm import lines, neardup, passages, radix
 
 SCHEMA = "kept string, doc_id long, text string, component_id int"  # names that results use, too
@@ -96,8 +97,7 @@ def test_register_estimate_is_close():
 
 
 def windows(line):
-    cased = [c.islower() or c.isupper() for c in line]
-    return {line[i : i + 10] for i in range(len(line)) if not line[i].isspace() and (not i or not cased[i - 1] or i > 8 and all(cased[i - 8 : i - 1]))}
+    return {line[i : i + 10] for i in range(max(1, len(line) - 9))}
 
 
 def test_line_groups_and_texts(spark):
@@ -193,11 +193,30 @@ def test_short_near_duplicates_behind_a_third_leader(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(i, i - 1 if i % 3 == 2 else i) for i, _ in rows}
 
 
+def test_edits_among_short_words_are_found(spark):
+    line = "Members receive printed updates whenever we go on to it or we do so at an office nearby, and another letter follows shortly before winter begins"
+    rows = [(1, line), (2, line.replace("on to it", "on by it")), (3, "😀" * 70), (4, "😀" * 70 + "x"), (5, "ab" * 5000), (6, "ab" * 6000)]
+    got = {r.doc_id: r.keep_doc_id for r in lines.line_groups(frame(spark, rows)).collect()}
+    sets = {i: windows(t) for i, t in rows}
+    like = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert like(1, 2) and not like(3, 4) and like(5, 6)
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
+
+
+def test_components_of_links(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1200)] + [(7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    names = sorted({x for a, b in pairs if a != b for x in (a, b)})
+    assert got == closed(names, [p for p in pairs if p[0] != p[1]])
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_no_pair_of_lines_at_the_threshold_is_lost(spark):
     rng, rows = random.Random(4), []
     for i in range(3000):
-        line = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(27)]
-        other = line[:13] + ["QQQ"] + line[14:]  # 24 windows of 30
+        line = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(28)] + ["tails"]
+        other = line[:13] + ["QQQ"] + line[14:]  # 96 windows of 120
         if i < 20:
             a, b = windows(" ".join(line)), windows(" ".join(other))
             assert 100 * len(a & b) == 80 * len(a | b)

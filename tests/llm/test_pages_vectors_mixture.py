@@ -194,3 +194,44 @@ def test_pipeline_stages_take_odd_documents(spark, tmp_path):
     assert all(r.ids_sha256 and r.n_tokens == len(r.ids) for r in kept.values())
     assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/{len(rows)}-1").collect()}.isdisjoint({62})  # nothing is left of a copy
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    rng = random.Random(8)
+    v, w = ([rng.gauss(0, 1) for _ in range(16)] for _ in range(2))
+    near = [x + 0.01 * rng.gauss(0, 1) for x in v]
+    rows = [(1, v, 0), (1, w, 1), (2, near, 0), (3, w, 1), (1, w, 1), (4, near, 1), (0, v, 0), (7, None, 0), (None, v, 0)]
+    got = caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+
+    def linked(a, b):
+        (i, x, m), (j, y, n) = rows[a], rows[b]
+        if a == b or None in (i, j, x, y) or m != n:
+            return False
+        return np.dot(x, y) / math.sqrt(np.dot(x, x) * np.dot(y, y)) >= 0.98
+
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min([root[a]] + [root[b] for b in range(len(rows)) if linked(a, b)], key=lambda r: (rows[r][0] is None, rows[r][0])) for a in range(len(rows))]
+    want = Counter((rows[a][0], sum(linked(a, b) for b in range(len(rows))), rows[root[a]][0]) for a in range(len(rows)))
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == want
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+@pytest.mark.parametrize("dims", [16, 64, 256])
+def test_pairs_at_the_cosine_are_found(spark, dims):
+    rng, rows = np.random.default_rng(dims), []
+    for i in range(150):
+        a, b = rng.standard_normal((2, dims))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, a.tolist(), i % 3), (2 * i + 1, (0.9801 * a + math.sqrt(1 - 0.9801**2) * b).tolist(), i % 3)]
+    got = caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(r.component_id == r.vec_id - 1 for r in got if r.vec_id % 2) >= 0.97 * 150
+
+
+def test_pipeline_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two three", "en", "src1", 13, 0.1, True, "x")], "doc_id long, text string, lang string, source string, n_chars long, score double, had boolean, line_owner_0 string")
+    kept = corpus_pipeline.line_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [tuple(r) for r in docs.collect()]
+    assert corpus_pipeline.fresh(docs, "score") == "_score" and corpus_pipeline.fresh(docs, "other") == "other"
