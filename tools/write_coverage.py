@@ -13,9 +13,9 @@ from talentgrid.plans import load_all  # noqa: E402
 registry = load_all()
 by_id: dict[str, list[str]] = collections.defaultdict(list)
 for name, covers in registry.COVERS.items():
-    for part in covers.split(", "):
+    for part in re.sub(r" \([^)]*\)", "", covers).split(", "):
         mark = "" if name in registry.ORACLES else " (rows)"
-        by_id[part.split(" ")[0]].append(f"`{name}`{mark}")
+        by_id[part].append(f"`{name}`{mark}")
 
 
 def order(key: str):
