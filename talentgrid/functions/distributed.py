@@ -149,7 +149,11 @@ def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 
 def listed_once(df: DataFrame, keys: Sequence[str], last: bool = False) -> DataFrame:
-    """The first or last listed row per key, in the order in which `df` is read; copies merge map-side."""
+    """The first or last listed row per key; copies merge map-side.
+
+    "Listed" is the order of partitions and rows within them: that of the lines for a frame read from one file, and file by
+    file for several. After a shuffle it means nothing, and rows of one key must then be alike.
+    """
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
