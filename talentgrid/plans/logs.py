@@ -12,8 +12,8 @@ SELECT event_type, count(*) AS n, round(avg(value), 5)::DOUBLE AS mean, min(valu
 
 
 def _stream(b, name="events"):
-    schema = b.raw(name).schema
-    return b.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(b.folder)
+    """A table as a stream, be it one file or a folder of files; a stream starts from single files by a pattern only."""
+    return b.spark.readStream.schema(b.raw(name).schema).parquet(f"{b.folder}/[{name[0]}]{name[1:]}.parquet")
 
 
 def _rounded(table):

@@ -62,3 +62,16 @@ def test_latest_rows_come_from_the_state(spark, tmp_path):
         got = {r.who: (r.id, round(r.amount, 9)) for r in jobs.read_latest(spark, folder, "who").collect()}
         assert got == {k: v[0] for k, v in newest(seen, 1).items()}
     assert set(os.listdir(folder)) == {"in", "checkpoint"}
+
+
+def test_tables_of_several_files_are_streamed(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from talentgrid.plans.logs import _stream
+
+    frame = spark.range(40).select("id", (F.col("id") * 2).alias("twice"))
+    frame.repartition(4).write.parquet(f"{tmp_path}/labels.parquet")
+    frame.write.parquet(f"{tmp_path}/other_labels.parquet")
+    bound = SimpleNamespace(spark=spark, folder=str(tmp_path), raw=lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet"))
+    jobs.run(lambda: jobs.append_to(_stream(bound, "labels"), f"{tmp_path}/out"))
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/data").collect()) == list(range(40))
