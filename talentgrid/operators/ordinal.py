@@ -505,7 +505,11 @@ def variance_components(rows: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation by average ranks, one row."""
+    """Rank correlation by average ranks, one row.
+
+    The values are written out first: sums of doubles may come out differently when computed again, and would not join.
+    """
+    rows = cut(rows.select(a, b))
     ra = average_ranks(rows, [], a).select(a, F.col("avg_rank").alias("ra"))
     rb = average_ranks(rows, [], b).select(b, F.col("avg_rank").alias("rb"))
     return rows.join(ra, a).join(rb, b).agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
