@@ -200,3 +200,18 @@ def test_runs_with_the_same_skills_are_measured_once_and_against_postings_they_t
     new = {(r.key, r.skill_id): (r.gain_f, round(r.gain_g, 9)) for r in cov._set_gains(offers, plain, sets).join(names, "set_id").collect()}
     old = {(r.key, r.skill_id): (r.gain_f, round(r.gain_g, 9)) for r in cov.gains(packed, runs).join(runs.select("run_id", key), "run_id").collect()}
     assert new == old
+
+
+def test_pairs_of_skills_find_the_best_postings_and_equal_profiles_are_one(spark):
+    from talentgrid.operators import evaluation as ev
+
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(j, f"s{s}") for j in range(400) for s in rng.sample(range(25), rng.randint(1, 6))], "job_id long, skill_id string").cache()
+    sets = [rng.sample(range(25), rng.randint(1, 4)) for _ in range(15)]
+    queries = spark.createDataFrame([(f"q{i}", f"s{s}") for i in range(45) for s in sets[i % 15]], "query_id string, skill_id string")
+    profiles, members = ev.equal_profiles(queries)
+    assert profiles.select("query_id").distinct().count() == len({tuple(sorted(s)) for s in sets}) and members.count() == 45
+    stats = rec.skill_statistics(edges)
+    listed = lambda found: sorted((r["rank"], r.query_id, r.job_id, round(r.score, 9)) for r in found.collect())
+    want = listed(rec.top_postings(rec.tfidf_cosine(queries, edges, stats), 12))
+    assert listed(topk.top_tfidf(queries, edges, stats, 12, paired=True)) == want
