@@ -142,6 +142,11 @@ def block_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
     return _blocks(queries, ["id"], QUERY_ROWS, "q").join(_blocks(items, ["owner"], ITEM_ROWS, "i"), "cell")
 
 
+def first_owners(items: DataFrame, k: int) -> DataFrame:
+    """Of the owners of one and the same vector the k smallest, `items(owner, vector)`: no other is among the k best of a query."""
+    return best_per_group(items.distinct(), ["vector"], [F.asc("owner")], k, "_place").drop("_place")
+
+
 def nearest(
     queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "item_id", vector: str = "vector",
     exclude_same: bool = False, pivots: int | None = None,
@@ -156,7 +161,7 @@ def nearest(
         StructField(query, queries.schema[query].dataType), StructField(item, items.schema[item].dataType), StructField("score", DoubleType())])
     numbers = F.col(vector).cast("array<double>").alias("vector")
     asked = queries.select(F.col(query).alias("id"), numbers)
-    held = cut(items.select(F.col(item).alias("owner"), numbers))
+    held = cut(first_owners(items.select(F.col(item).alias("owner"), numbers), k + int(exclude_same)))
     n = max(1, min(PIVOTS, held.count() // ITEM_ROWS)) if pivots is None else pivots
     drawn = held.orderBy(F.xxhash64("vector"), "vector").limit(n).collect()
     if not drawn:

@@ -215,3 +215,12 @@ def test_pairs_of_skills_find_the_best_postings_and_equal_profiles_are_one(spark
     listed = lambda found: sorted((r["rank"], r.query_id, r.job_id, round(r.score, 9)) for r in found.collect())
     want = listed(rec.top_postings(rec.tfidf_cosine(queries, edges, stats), 12))
     assert listed(topk.top_tfidf(queries, edges, stats, 12, paired=True)) == want
+
+
+def test_of_equal_vectors_only_the_first_owners_are_compared(spark):
+    vectors = [[1.0, 0.0], [0.6, 0.8], [0.0, 1.0]]
+    items = spark.createDataFrame([(f"u{i:03}", vectors[i % 3]) for i in range(90)], "item_id string, vector array<double>")
+    assert vec.first_owners(items.select(F.col("item_id").alias("owner"), "vector"), 2).count() == 6
+    queries = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "query_id string, vector array<double>")
+    got = sorted((r.query_id, r["rank"], r.item_id) for r in vec.nearest(queries, items, 2).collect())
+    assert got == [("a", 1, "u000"), ("a", 2, "u003"), ("b", 1, "u002"), ("b", 2, "u005")]
