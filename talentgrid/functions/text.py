@@ -413,15 +413,15 @@ def trigram_vector(c: Column, dims: int = 256) -> Column:
             lambda i: F.pmod(F.xxhash64(F.substring(p, i, F.lit(3))), F.lit(dims)).cast("int"),
         ),
     )
-    counts = bind(
-        slots,
-        lambda s: F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(s, lambda x: x == d)).cast("double")
-        ),
-    )
 
-    def unit(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-        return bind(norm, lambda n: F.transform(v, lambda x: (x / n).cast("float")))
+    def dense(s: Column) -> Column:
+        # The squares of the counts add up trigram by trigram, and only slots that occur are counted.
+        def times(d: Column) -> Column:
+            return F.size(F.filter(s, lambda x: x == d)).cast("double")
+
+        norm = F.sqrt(F.aggregate(s, F.lit(0.0), lambda total, x: total + times(x)))
+        return bind(norm, lambda n: F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda d: F.when(~F.array_contains(s, d), F.lit(0.0).cast("float")).otherwise((times(d) / n).cast("float"))))
 
-    return bind(counts, unit)
+    return bind(slots, dense)

@@ -110,6 +110,35 @@ def _blocks(rows: DataFrame, ids: list[str], size: int, prefix: str) -> DataFram
         F.flatten(F.transform("rows", lambda r: r["v"])).alias(f"{prefix}_values"))
 
 
+class Pool:
+    """Vectors with their owners, put in order of owners."""
+
+    def __init__(self, vectors: np.ndarray, owners: list):
+        names = np.asarray(owners, dtype=object)
+        order = np.argsort(names, kind="stable")
+        names = names[order]
+        self.starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        self.vectors, self.names = vectors[order], names[self.starts]
+
+    def best(self, asked: np.ndarray, queries: np.ndarray, k: int, exclude_same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best owners of each query: query, owner and score, which is that of the owner's best vector."""
+        scores = np.maximum.reduceat(queries @ self.vectors.T, self.starts, axis=1)
+        keep = min(k + int(exclude_same), len(self.names))
+        best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :keep]
+        asked = np.repeat(asked, keep)
+        found, score = self.names[best.ravel()], np.take_along_axis(scores, best, axis=1).ravel()
+        if exclude_same:
+            other = asked != found
+            asked, found, score = asked[other], found[other], score[other]
+        return asked, found, score
+
+
+def _objects(ids: pa.Array) -> np.ndarray:
+    out = np.empty(len(ids), dtype=object)
+    out[:] = ids.to_pylist()
+    return out
+
+
 def _products(pairs: DataFrame, query: str, item: str, schema: StructType, k: int, exclude_same: bool) -> DataFrame:
     """The k best owners of each query of every block pair."""
 
@@ -118,18 +147,7 @@ def _products(pairs: DataFrame, query: str, item: str, schema: StructType, k: in
             for q_ids, q_values, owners, values in zip(*(batch.column(c) for c in ("q_id", "q_values", "i_owner", "i_values")), strict=True):
                 a = q_values.values.to_numpy(zero_copy_only=False).reshape(len(q_ids), -1)
                 b = values.values.to_numpy(zero_copy_only=False).reshape(len(owners), -1)
-                names = np.asarray(owners.values.to_pylist(), dtype=object)
-                order = np.argsort(names, kind="stable")
-                names = names[order]
-                starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-                scores, names = np.maximum.reduceat((a @ b.T)[:, order], starts, axis=1), names[starts]
-                keep = min(k + int(exclude_same), len(names))
-                best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :keep]
-                asked = np.asarray(q_ids.values.to_pylist(), dtype=object)[np.repeat(np.arange(len(q_ids)), keep)]
-                found, score = names[best.ravel()], np.take_along_axis(scores, best, axis=1).ravel()
-                if exclude_same:
-                    other = asked != found
-                    asked, found, score = asked[other], found[other], score[other]
+                asked, found, score = Pool(b, owners.values.to_pylist()).best(_objects(q_ids.values), a, k, exclude_same)
                 types = batch.schema.field("q_id").type.value_type, batch.schema.field("i_owner").type.value_type
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(asked.tolist(), types[0]), pa.array(found.tolist(), types[1]), pa.array(score)], [query, item, "score"])
@@ -137,6 +155,20 @@ def _products(pairs: DataFrame, query: str, item: str, schema: StructType, k: in
     return pairs.select("q_id", "q_values", "i_owner", "i_values").mapInArrow(products, schema)
 
 
+def _beside_pool(queries: DataFrame, pool: Pool, owner_type: pa.DataType, query: str, item: str, schema: StructType, k: int, exclude_same: bool) -> DataFrame:
+    """The k best owners of each of `queries(id, vector)` where all items are one small pool: queries are not shuffled."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, QUERY_ROWS):
+                part = batch.slice(start, QUERY_ROWS)
+                asked, found, score = pool.best(_objects(part.column("id")), _matrix(part.column("vector")), k, exclude_same)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asked.tolist(), batch.schema.field("id").type), pa.array(found.tolist(), owner_type), pa.array(score)], [query, item, "score"])
+
+    return queries.mapInArrow(products, schema)
+
+
 def block_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
     """Blocks of `queries(id, vector, cell)` beside all blocks of `items(owner, vector, cell)` of their cell."""
     return _blocks(queries, ["id"], QUERY_ROWS, "q").join(_blocks(items, ["owner"], ITEM_ROWS, "i"), "cell")
@@ -154,15 +186,25 @@ def nearest(
     """The k items with the largest inner product per query, exactly, ties broken by item id: (query, item, score, rank).
 
     For unit vectors the score is the cosine. Rows of `items` may share an id; the id's score is then that of its best row.
-    Pivots are items drawn by hash, one per block of items and `PIVOTS` at most; they and one row per cell are all that
-    reaches the driver.
+    Items that fill no more than one block are sent to the queries as they are. Otherwise pivots are items drawn by hash,
+    one per block of items and `PIVOTS` at most; they and one row per cell are all that reaches the driver.
     """
     schema = StructType([
         StructField(query, queries.schema[query].dataType), StructField(item, items.schema[item].dataType), StructField("score", DoubleType())])
     numbers = F.col(vector).cast("array<double>").alias("vector")
     asked = queries.select(F.col(query).alias("id"), numbers)
     held = cut(first_owners(items.select(F.col(item).alias("owner"), numbers), k + int(exclude_same)))
-    n = max(1, min(PIVOTS, held.count() // ITEM_ROWS)) if pivots is None else pivots
+    size = held.count()
+    n = max(1, min(PIVOTS, size // ITEM_ROWS)) if pivots is None else pivots
+    order = [F.desc(F.round("score", 9)), F.asc(item)]
+
+    def pooled(found: DataFrame) -> DataFrame:
+        return best_per_group(found.groupBy(query, item).agg(F.max("score").alias("score")), [query], order, k)
+
+    if pivots is None and 0 < size <= ITEM_ROWS:
+        few = held.toArrow().combine_chunks()
+        pool = Pool(_matrix(few.column("vector").combine_chunks()), few.column("owner").to_pylist())
+        return pooled(_beside_pool(asked, pool, few.schema.field("owner").type, query, item, schema, k, exclude_same))
     drawn = held.orderBy(F.xxhash64("vector"), "vector").limit(n).collect()
     if not drawn:
         return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
@@ -174,11 +216,6 @@ def nearest(
         sizes[r.cell], reach[r.cell], widest[r.cell], longest[r.cell] = r.n, r.far, r.angle, r.length
     cells = Cells(np.array([r.vector for r in drawn], float), reach, widest, longest)
     wanted = k + int(exclude_same)
-    order = [F.desc(F.round("score", 9)), F.asc(item)]
-
-    def pooled(found: DataFrame) -> DataFrame:
-        return best_per_group(found.groupBy(query, item).agg(F.max("score").alias("score")), [query], order, k)
-
     meet = partial(_products, query=query, item=item, schema=schema, k=k, exclude_same=exclude_same)
     places = celled.select("owner", "vector", "cell")
     found = meet(block_pairs(_meeting_cells(asked, cells, sizes, wanted, True), places))

@@ -58,21 +58,21 @@ def longest_matches(
     one = broadcast_if_small(sized.filter(F.size("_words") == 1).select(F.col("key").alias("w1"), F.col("value").alias("v1")))
     longer = sized.filter(F.size("_words") > 1)
     starts = broadcast_if_small(longer.select(F.array_join(F.slice("_words", 1, 2), " ").alias("w2")).distinct().withColumn("opens", F.lit(True)))
-    entries = broadcast_if_small(longer.select("key", "value"))
+    entries = broadcast_if_small(longer.select("key", "value", F.lit(True).alias("is_entry")))
     windows = rows.select(owner, F.posexplode(tx.bind(words, lambda w: F.transform(
         w, lambda _, i: F.slice(w, i + 1, F.lit(max_words))))).alias("pos", "window"))
     placed = windows.withColumn("w1", key(F.col("window")[0])).withColumn(
         "w2", F.concat_ws(" ", "w1", key(F.get("window", F.lit(1))))).join(one, "w1", "left").join(starts, "w2", "left").filter(
         F.col("v1").isNotNull() | F.col("opens")).select(owner, "pos", "window", "w1", "v1", "opens")
     usable = ~((F.length("w1") <= 2) & ~F.col("w1").isin(SHORT_NAMES)) if bar_short else F.lit(True)
-    single = placed.filter(F.col("v1").isNotNull() & usable).select(
-        owner, "pos", F.lit(1).alias("n"), F.col("window")[0].alias("span"), F.col("v1").alias("value"))
-    grams = placed.filter(F.col("opens") & (F.size("window") > 1)).select(owner, "pos", F.explode(F.transform(
-        F.sequence(F.lit(2), F.size("window")), lambda n: F.slice("window", F.lit(1), n))).alias("gram"))
-    several = grams.withColumn("key", F.array_join(F.transform("gram", key), " ")).join(entries, "key").select(
-        owner, "pos", F.size("gram").alias("n"), F.array_join("gram", " ").alias("span"), "value")
-    hits = single.unionByName(several).groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(
-        "pos", (-F.col("n")).alias("_order"), "n", "span", "value"))).alias("m"))
+    # One pass: single words carry their value, longer keys look theirs up.
+    first = F.col("v1").isNotNull() & usable
+    lengths = F.filter(F.sequence(F.lit(1), F.size("window")), lambda n: F.when(n == 1, first).otherwise(F.coalesce("opens", F.lit(False))))
+    grams = placed.select(owner, "pos", "window", "v1", F.explode(lengths).alias("n")).withColumn("gram", F.slice("window", F.lit(1), F.col("n")))
+    looked = grams.withColumn("key", F.when(F.col("n") > 1, F.array_join(F.transform("gram", key), " "))).join(entries, "key", "left")
+    hits = looked.filter((F.col("n") == 1) | F.col("is_entry")).select(
+        owner, "pos", "n", F.array_join("gram", " ").alias("span"), F.when(F.col("n") == 1, F.col("v1")).otherwise(F.col("value")).alias("value")).groupBy(
+        owner).agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("_order"), "n", "span", "value"))).alias("m"))
     return hits.select(owner, F.explode(kept_from_left(F.col("m"))).alias("z")).select(owner, "z.pos", "z.n", "z.span", "z.value")
 
 
@@ -92,9 +92,9 @@ def split_loanwords(phrases: DataFrame, lexicon: DataFrame, filler: Sequence[str
     """
     words = tx.words_of(tx.composed(F.col("phrase")))
     terms = lexicon.select(tx.composed(F.trim("term")).alias("key"), F.trim("english").alias("value"))
-    found = longest_matches(
+    found = cut(longest_matches(
         phrases, "phrase_id", words, terms, LOANWORD_WORDS,
-        lambda w: tx.strip_chars(w, tx.PHRASE_EDGE))
+        lambda w: tx.strip_chars(w, tx.PHRASE_EDGE)))
     used = found.groupBy("phrase_id").agg(F.flatten(F.collect_list(
         F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1))).alias("used"))
     left = phrases.join(used, "phrase_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
@@ -128,17 +128,20 @@ def extract_skills(
     one, 0.5 at least, unless given) it is accepted.
     """
     native_threshold = max(0.5, threshold - 0.1) if native_threshold is None else native_threshold
+    # What several steps read is written out once, so that texts are read once for spans and once for phrases.
+    dictionary = cut(dictionary)
+    exact = cut(tag_documents(documents, dictionary))
     routed = documents.select("doc_id", "text", tx.detect_language(F.col("text")).alias("language"))
-    exact = cut(tag_documents(routed, dictionary))
-    english = routed.filter("language = 'en'").select("doc_id", F.posexplode(tx.candidate_phrases(F.col("text"))).alias("pos", "phrase"))
-    other = routed.filter("language <> 'en'").select("doc_id", F.posexplode(
-        tx.candidate_phrases(F.col("text"), FILLER)).alias("pos", "phrase"))
+    phrases = cut(routed.select("doc_id", "language", F.posexplode(F.when(
+        F.col("language") == "en", tx.candidate_phrases(F.col("text"))).otherwise(tx.candidate_phrases(F.col("text"), FILLER))).alias("pos", "phrase")))
+    english = phrases.filter("language = 'en'").select("doc_id", "pos", "phrase")
+    other = phrases.filter("language <> 'en'").select("doc_id", "pos", "phrase")
     other = other.withColumn("phrase_id", F.concat_ws(":", "doc_id", "pos"))
     hits, rest = split_loanwords(other.select("phrase_id", "phrase"), lexicon)
-    terms = hits.withColumn("key", tx.dictionary_key(F.col("english"))).join(dictionary, "key", "left").join(
-        other.select("phrase_id", "doc_id", F.col("pos").alias("at")), "phrase_id")
-    leftover = other.select("doc_id", "pos", "phrase_id").join(rest, "phrase_id").filter(F.length("residual") >= 2).select(
-        "doc_id", "pos", F.col("residual").alias("phrase"), F.col("residual").alias("source"))
+    terms = cut(hits.withColumn("key", tx.dictionary_key(F.col("english"))).join(dictionary, "key", "left").join(
+        other.select("phrase_id", "doc_id", F.col("pos").alias("at")), "phrase_id"))
+    leftover = cut(other.select("doc_id", "pos", "phrase_id").join(rest, "phrase_id").filter(F.length("residual") >= 2).select(
+        "doc_id", "pos", F.col("residual").alias("phrase"), F.col("residual").alias("source")))
     native = leftover.filter(F.col("phrase").rlike(r"[^\x00-\x7F]"))
     leftover = leftover.filter(~F.col("phrase").rlike(r"[^\x00-\x7F]"))
     unknown = terms.filter(F.col("uri").isNull()).select(
@@ -153,12 +156,14 @@ def extract_skills(
 
     def linked(phrases: DataFrame, encoder: Callable[[Column], Column] | None, threshold: float, single_word: float | None, stage: int) -> DataFrame:
         vectors = hashed_vectors(named.select("label_id", "uri", F.col("label").alias("text")), encoder).drop("text")
-        texts = hashed_vectors(phrases.select(F.col("phrase").alias("text")).distinct(), encoder)
+        # Phrases are short beside the work that each makes, so their tasks are not merged by size.
+        tasks = int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        texts = hashed_vectors(phrases.select(F.col("phrase").alias("text")).repartition(tasks, "text").distinct(), encoder)
         found = link(texts, named, vectors, threshold, single_word, 1).select(F.col("text").alias("phrase"), "uri", "score", "method", "accepted")
         return phrases.join(found, "phrase").withColumn("stage", F.lit(stage))
 
     matched = linked(fresh, encoder, threshold, single_word, 2).unionByName(
-        linked(cut(native.select("doc_id", "pos", "phrase", "source")), native_encoder or encoder, native_threshold, None, 3))
+        linked(native.select("doc_id", "pos", "phrase", "source"), native_encoder or encoder, native_threshold, None, 3))
     every = (
         exact.select("doc_id", "uri", F.lit(1.0).alias("score"), F.lit("exact").alias("method"), F.col("span").alias("source"), F.lit(0).alias("stage"), "pos")
         .unionByName(terms.filter(F.col("uri").isNotNull()).select(
