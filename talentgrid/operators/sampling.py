@@ -159,12 +159,13 @@ def foreign_draw(
     return best_per_group(drawn, [key], [F.asc("_try")], n).select(key, item)
 
 
-def poisson_weights(df: DataFrame, unit: str, replicates: int, seed: str) -> DataFrame:
-    """Resampling weights: one row per (unit, replicate) with a Poisson(1) weight above zero.
+def _poisson_draws(df: DataFrame, unit: str, replicates: int, seed: str) -> DataFrame:
+    """One row per (unit, replicate) with a Poisson(1) weight, zero or more.
 
-    Pass pre-aggregated units (queries or clusters): the output has about 0.63 · replicates rows per unit.
+    Units are few bytes beside the rows they make, so their tasks are not merged by size.
     """
-    rows = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(tasks).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     uniform = (hash_bucket(F.concat_ws(":", "rep", F.col(unit).cast("string")), seed, 1 << 31) + 0.5) / float(1 << 31)
     limits, p, total = [], 0.36787944117144233, 0.0
     for i in range(9):
@@ -174,7 +175,15 @@ def poisson_weights(df: DataFrame, unit: str, replicates: int, seed: str) -> Dat
     weight = F.lit(9)
     for i in reversed(range(9)):
         weight = F.when(F.col("_u") < limits[i], i).otherwise(weight)
-    return rows.withColumn("_u", uniform).withColumn("w", weight).filter("w > 0").drop("_u")
+    return rows.withColumn("_u", uniform).withColumn("w", weight).drop("_u")
+
+
+def poisson_weights(df: DataFrame, unit: str, replicates: int, seed: str) -> DataFrame:
+    """Resampling weights: one row per (unit, replicate) with a Poisson(1) weight above zero.
+
+    Pass pre-aggregated units (queries or clusters): the output has about 0.63 · replicates rows per unit.
+    """
+    return _poisson_draws(df, unit, replicates, seed).filter("w > 0")
 
 
 def bootstrap_ratio(units: DataFrame, unit: str, numerator: str, denominator: str, keys: Sequence[str] = (), replicates: int = 200,
@@ -182,9 +191,10 @@ def bootstrap_ratio(units: DataFrame, unit: str, numerator: str, denominator: st
     """95 % percentile interval of a ratio of sums, resampling whole units, per key."""
     from talentgrid.functions.distributed import exact_quantiles
 
-    drawn = poisson_weights(units, unit, replicates, seed)
-    values = drawn.groupBy(*keys, "rep").agg(
-        F.try_divide(F.sum(F.col("w") * F.col(numerator)), F.sum(F.col("w") * F.col(denominator))).alias("_ratio"))
+    # Rows of weight zero are passed over in the sums: a filter on the weight would hash every draw again.
+    drawn = _poisson_draws(units, unit, replicates, seed)
+    total = lambda name: F.sum(F.when(F.col("w") > 0, F.col("w") * F.col(name)))
+    values = drawn.groupBy(*keys, "rep").agg(F.try_divide(total(numerator), total(denominator)).alias("_ratio"))
     return exact_quantiles(values, list(keys), "_ratio", {"low": 0.025, "high": 0.975})
 
 
