@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentgrid.functions.distributed import average_ranks, cumulative, exact_quantiles, order_statistic, weighted_quantiles
-from talentgrid.session import cut
+from talentgrid.session import broadcast_if_small, cut
 
 QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 MIN_SUPPORT = 20
@@ -196,18 +196,24 @@ def disclosure_propensity(
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    # Rows alike in all that a model sees are one row with their number, so every pass of a fit reads a table of cells.
+    features = [*categorical, *numeric]
     rows = df.withColumns({"_fold": fold, "_label": F.col(outcome).cast("double")})
-    stages = [StringIndexer(inputCol=c, outputCol=f"_{c}_i", handleInvalid="keep") for c in categorical]
+    cells = cut(rows.groupBy(*features, "_fold", "_label").agg(F.count(F.lit(1)).cast("double").alias("_n")))
+    # Categories are numbered in their own order; by frequency, cells would be counted instead of rows.
+    stages = [StringIndexer(inputCol=c, outputCol=f"_{c}_i", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical]
     stages += [OneHotEncoder(inputCols=[f"_{c}_i" for c in categorical], outputCols=[f"_{c}_v" for c in categorical])]
     stages += [VectorAssembler(inputCols=[f"_{c}_v" for c in categorical] + list(numeric), outputCol="_x", handleInvalid="keep")]
-    stages += [LogisticRegression(featuresCol="_x", labelCol="_label", maxIter=20)]
+    stages += [LogisticRegression(featuresCol="_x", labelCol="_label", weightCol="_n", maxIter=20)]
+    asked = cells.select(*features, "_fold").distinct()
     out = None
     for f in range(folds):
-        model = Pipeline(stages=stages).fit(rows.filter(F.col("_fold") != f))
-        scored = model.transform(rows.filter(F.col("_fold") == f)).select(
-            *df.columns, vector_to_array("probability")[1].alias("propensity"))
+        model = Pipeline(stages=stages).fit(cells.filter(F.col("_fold") != f))
+        scored = model.transform(asked.filter(F.col("_fold") == f)).select(
+            *[F.col(c).alias(f"_of_{c}") for c in [*features, "_fold"]], vector_to_array("probability")[1].alias("propensity"))
         out = scored if out is None else out.unionByName(scored)
-    return out
+    alike = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*features, "_fold"]]
+    return rows.join(broadcast_if_small(out), alike).select(*df.columns, "propensity")
 
 
 def _weighted_medians(rows: DataFrame, train: DataFrame, levels: Sequence[Sequence[str]], value: str, weight: str, min_support: int, name: str) -> DataFrame:
