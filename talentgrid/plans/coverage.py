@@ -240,7 +240,8 @@ opt AS (SELECT instance_id, max(f) AS best FROM vals GROUP BY 1), plain AS (SELE
 
 
 def _method_values(b):
-    packed = _instances(b)[0].persist()
+    # Reach and gains of equal postings add up, so the methods run on distinct ones.
+    packed = cov.merged_pool(_instances(b)[0]).persist()
     tables = {
         "greedy_reach": cov.plan_value(packed, cov.greedy(packed, 3)),
         "greedy_smooth": cov.plan_value(packed, cov.greedy(packed, 3, cov.by_smooth)),
