@@ -18,6 +18,7 @@ from talentgrid.functions.vectors import nearest, unit
 from talentgrid.session import broadcast_if_small, cut
 
 WEIGHT_SCALE = 1000
+PAIRS_PER_TASK = 1_000_000  # (query, posting) pairs that a task sums and ranks at most, about
 
 
 def skill_statistics(edges: DataFrame) -> DataFrame:
@@ -57,24 +58,36 @@ def popularity_of_postings(postings: DataFrame) -> DataFrame:
         "job_id", F.when(F.col("occupation").isNull(), 0).otherwise(F.coalesce("demand", F.lit(0))).alias("score"))
 
 
-def query_terms(queries: DataFrame, stats: DataFrame, weight: str) -> DataFrame:
-    """Weight of every skill of every profile, broadcast when the table is small."""
-    return broadcast_if_small(queries.join(stats.select("skill_id", weight), "skill_id"))
+def query_terms(queries: DataFrame, stats: DataFrame, *columns: str) -> DataFrame:
+    """Weight and other columns of every skill of every profile, broadcast when the table is small."""
+    return broadcast_if_small(queries.join(stats.select("skill_id", *columns), "skill_id"))
+
+
+def dealt(edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """`edges` dealt out by posting so finely that what a task scores does not grow with the tables; `terms` holds each skill's df.
+
+    Sizes in bytes, by which tasks are merged otherwise, say little here: a few bytes of a posting make a row per query.
+    """
+    pairs = terms.agg(F.sum("df")).first()[0] or 0
+    if pairs <= PAIRS_PER_TASK:
+        return edges
+    return edges.repartition(max(-(-pairs // PAIRS_PER_TASK), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "job_id")
 
 
 def tfidf_cosine(queries: DataFrame, edges: DataFrame, stats: DataFrame) -> DataFrame:
     square = F.col("idf") * F.col("idf")
-    terms = query_terms(queries, stats, "idf")
+    terms = query_terms(queries, stats, "idf", "df")
     lengths = terms.groupBy("query_id").agg(F.sqrt(F.sum(square)).alias("qnorm"))
     weighted = broadcast_if_small(terms.join(lengths, "query_id").select("query_id", "skill_id", square.alias("term"), "qnorm"))
     norms = edges.join(stats.select("skill_id", "idf"), "skill_id").groupBy("job_id").agg(F.sqrt(F.sum(square)).alias("norm"))
-    dots = edges.join(weighted, "skill_id").groupBy("query_id", "job_id").agg(F.sum("term").alias("dot"), F.max("qnorm").alias("qnorm"))
+    dots = dealt(edges, terms).join(weighted, "skill_id").groupBy("query_id", "job_id").agg(F.sum("term").alias("dot"), F.max("qnorm").alias("qnorm"))
     return dots.join(norms, "job_id").select(
         "query_id", "job_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
 
 
 def adamic_adar(queries: DataFrame, edges: DataFrame, stats: DataFrame) -> DataFrame:
-    return edges.join(query_terms(queries, stats, "inv"), "skill_id").groupBy("query_id", "job_id").agg(F.sum("inv").alias("score"))
+    terms = query_terms(queries, stats, "inv", "df")
+    return dealt(edges, terms).join(terms.drop("df"), "skill_id").groupBy("query_id", "job_id").agg(F.sum("inv").alias("score"))
 
 
 def coverage_fit(queries: DataFrame, edges: DataFrame, stats: DataFrame, tau_pct: int = 60) -> DataFrame:
