@@ -228,14 +228,20 @@ def evidence_paths(matches: DataFrame, postings: DataFrame, sources: DataFrame |
         "query_id", "job_id", "path", "step", "_s.kind", "_s.label")
 
 
-def role_skills(roles: DataFrame, queries: DataFrame, edges: DataFrame, postings: DataFrame, requirements: DataFrame, missing: int = 6, owned: int = 8) -> DataFrame:
+def role_skills(
+    roles: DataFrame, queries: DataFrame, edges: DataFrame | None, postings: DataFrame | None, requirements: DataFrame, missing: int = 6, owned: int = 8,
+    demand: DataFrame | None = None
+) -> DataFrame:
     """Per ranked role the skills its postings list most often that the profile lacks, and the essential ones it has, as arrays.
 
-    `roles(query_id, occupation)`, `requirements(occupation, skill_id, relation)`. Skills are counted once per occupation.
+    `roles(query_id, occupation)`, `requirements(occupation, skill_id, relation)`. Skills are counted once per occupation; with
+    `demand(occupation, skill_id, postings)` they are counted already, and edges and postings are not read.
     """
     wanted = roles.select("query_id", "occupation")
-    counts = edges.join(postings.select("job_id", "occupation").join(wanted.select("occupation").distinct(), "occupation"), "job_id").groupBy(
-        "occupation", "skill_id").agg(F.count(F.lit(1)).alias("postings"))
+    counts = demand
+    if demand is None:
+        counts = edges.join(postings.select("job_id", "occupation").join(wanted.select("occupation").distinct(), "occupation"), "job_id").groupBy(
+            "occupation", "skill_id").agg(F.count(F.lit(1)).alias("postings"))
     lacking = wanted.join(counts, "occupation").join(queries, ["query_id", "skill_id"], "left_anti")
     best = best_per_group(lacking, ["query_id", "occupation"], [F.desc("postings"), F.asc("skill_id")], missing)
     has = wanted.join(requirements.filter("relation = 'essential'"), "occupation").join(queries, ["query_id", "skill_id"])

@@ -186,7 +186,11 @@ ANY_RANGE = """
 
 def _pay_ranges(b, jobs):
     """Pay range of given postings, disclosed or not, learnt from disclosed training rows."""
-    return paid.py.predict_range(b.postings.join(jobs, "job_id", "left_semi"), paid._paid(b).filter("split = 'train'"), paid.LEVELS)
+    return _ranges_of(b, b.postings.join(jobs, "job_id", "left_semi"))
+
+
+def _ranges_of(b, postings):
+    return paid.py.predict_range(postings, paid._paid(b).filter("split = 'train'"), paid.LEVELS)
 
 
 @query("REC-12 (contributions, pay)", sql(OCCLUSION + " paid range", ANY_RANGE + """
@@ -237,9 +241,9 @@ def role_reports(b):
     queries, edges, stats = _market(b)
     postings = b.postings
     roles = cut(rec.role_scores(topk.top_tfidf(queries, edges, stats, 500), postings))
-    skills = rec.role_skills(roles, queries, edges, postings, b.requirements)
+    skills = rec.role_skills(roles, queries, None, None, b.requirements, demand=b.occupation_demand)
     jobs = postings.join(roles.select("occupation").distinct(), "occupation", "left_semi")
-    long = _pay_ranges(b, jobs.select("job_id")).select("occupation", F.inline(F.array(*[
+    long = _ranges_of(b, jobs).select("occupation", F.inline(F.array(*[
         F.struct(F.lit(q).alias("q"), F.col(q).alias("v")) for q in ("p10", "p50", "p90")])))
     middle = exact_quantiles(long, ["occupation", "q"], "v", {"m": 0.5}).groupBy("occupation").agg(*[
         F.max(F.when(F.col("q") == q, F.round("m", 6))).alias(q) for q in ("p10", "p50", "p90")])
