@@ -240,7 +240,8 @@ def role_reports(b):
 
     queries, edges, stats = _market(b)
     postings = b.postings
-    roles = cut(rec.role_scores(topk.top_tfidf(queries, edges, stats, 500), postings))
+    # A profile per occupation meets most postings, so that bounds spare little.
+    roles = cut(rec.role_scores(rec.tfidf_cosine(queries, edges, stats), postings))
     skills = rec.role_skills(roles, queries, None, None, b.requirements, demand=b.occupation_demand)
     jobs = postings.join(roles.select("occupation").distinct(), "occupation", "left_semi")
     long = _ranges_of(b, jobs).select("occupation", F.inline(F.array(*[
