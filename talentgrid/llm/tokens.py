@@ -8,10 +8,12 @@ up its pieces, and any question about a cut of the text is answered from the sto
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ BATCH_PIECES = 8192
 SHORT_PIECE = 24
 KNOWN_PAIRS = 2_000_000
 
+_SPACES = re.compile(r"\s\s").search  # white space as str.isspace() has it
+
 
 def byte_letters() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies, by character."""
@@ -52,7 +56,7 @@ class PrefixCounter:
         self.at_special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self._grow_tree()
         self.pairs, self.pair_fits = np.empty(0, np.int64), np.empty(0, bool)
-        self.known = Known(self._of_units)
+        self.pieces, self.known = Known(self._of_pieces), Known(self._of_units)
 
     def _grow_tree(self) -> None:
         """Byte tree of the tokens as sorted (node, byte) steps; node 0 is the root."""
@@ -177,33 +181,34 @@ class PrefixCounter:
                 raise ValueError("the vocabulary lacks a byte")
         return counts
 
-    def _of_units(self, new: list[str]) -> list[tuple[int, bytes]]:
-        """Token count of each unit, and those of its code-point prefixes."""
-        split = [self.find(u) for u in new]
+    def _of_pieces(self, new: list[str]) -> list[bytes]:
+        """Steps of each piece: by how much the count grows at each code point."""
+        known = self.of_pieces(set(new))
+        return [array("i", map(sub, known[p], [0, *known[p]])).tobytes() for p in new]
+
+    def _of_units(self, new: list[str]) -> list[bytes]:
+        """Steps of each unit. Units differ by marks after a word, so what is known of pieces is kept, too."""
+        split = list(map(self.find, new))
         # A run of white space is split before its last character only if more text follows; cut there, it is one piece.
-        runs = {a + b[0] for parts in split for a, b in zip(parts, parts[1:], strict=False) if a.isspace() and b[0].isspace()}
-        known = self.of_pieces({*(p for parts in split for p in parts), *runs})
-        out = []
-        for parts in split:
-            each, total, before = [], 0, ""
-            for p in parts:
-                own = known[p]
-                each += [total + c for c in own] if total else own
-                if before.isspace() and p[0].isspace():
-                    each[-len(p)] = total - known[before][-1] + known[before + p[0]][-1]
-                total, before = total + own[-1], p
-            out.append((total, array("i", each).tobytes()))
+        spaced = [i for i, u in enumerate(new) if _SPACES(u)]
+        runs = [[a + b[0] for a, b in zip(split[i], split[i][1:], strict=False) if a.isspace() and b[0].isspace()] for i in spaced]
+        known = self.pieces.of([*split, *runs])
+        out = [b"".join(map(known, parts)) for parts in split]
+        for i in spaced:
+            parts, steps, at = split[i], np.frombuffer(out[i], np.int32).copy(), 0
+            for before, p in zip(parts, parts[1:], strict=False):
+                at += len(before)
+                if before.isspace() and p[0].isspace() and at + 1 < len(steps):
+                    more = sum(array("i", known(before + p[0]))) - sum(array("i", known(before))) - array("i", known(p))[0]
+                    steps[at : at + 2] += np.array([more, -more], np.int32)
+            out[i] = steps.tobytes()
         return out
 
     def _plain(self, text: list[str], known) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        found = list(map(known, text))
-        total = np.array([f[0] for f in found])
-        return np.frombuffer(b"".join([f[1] for f in found]), np.int32) + np.repeat(np.cumsum(total) - total, list(map(len, text)))
+        return np.frombuffer(b"".join(map(known, text)), np.int32)
 
-    def counts(self, texts: list[str]) -> list[np.ndarray]:
-        """Token counts of all code-point prefixes of each text; a special token counts as one, cut it is plain text."""
+    def growth(self, texts: list[str]) -> list[np.ndarray]:
+        """By how much the token count of each text grows at each code point; a special token counts as one, cut it is plain text."""
         parts = []  # of each text: its plain stretches, and between two of them the first one with all but the end of the special token
         for text in texts:
             hits = list(self.at_special.finditer(text)) if self.at_special else []
@@ -218,13 +223,17 @@ class PrefixCounter:
                 continue
             total, each = 0, []
             for k in range(0, len(own) - 1, 2):
-                before, longer = self._plain(cut[k], known), self._plain(cut[k + 1], known)
+                before, longer = np.cumsum(self._plain(cut[k], known)), np.cumsum(self._plain(cut[k + 1], known))
                 each += [total + before, total + longer[len(own[k]) :]]
                 total += (int(before[-1]) if len(before) else 0) + 1
                 each.append(np.array([total]))
-            out.append(np.concatenate([*each, total + self._plain(cut[-1], known)]))
+            out.append(np.diff(np.concatenate([*each, total + np.cumsum(self._plain(cut[-1], known))]), prepend=0).astype(np.int32))
         return out
 
+    def counts(self, texts: list[str]) -> list[np.ndarray]:
+        """Token counts of all code-point prefixes of each text."""
+        return [np.cumsum(s) for s in self.growth(texts)]
+
 
 @cache
 def counter(path: str, pattern: str) -> PrefixCounter:
@@ -244,35 +253,32 @@ def prefix_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     kind = dict(docs.dtypes)[id_col]
     names = ["doc_id", "n_bytes", "n_chars", "n_tokens", *(f"chars_within_{b}" for b in budgets)]
 
-    def longest(counts: np.ndarray, budget: int) -> int:
-        if not len(counts) or counts[-1] <= budget:
-            return len(counts)
-        fits = np.flatnonzero(counts <= budget)
+    def longest(each: np.ndarray, total: int, budget: int) -> int:
+        if total <= budget:
+            return len(each)
+        fits = np.flatnonzero(np.cumsum(each) <= budget)
         return int(fits[-1]) + 1 if len(fits) else 0
 
-    def packed(counts: list[np.ndarray]) -> pa.Array:
+    def packed(each: list[np.ndarray]) -> pa.Array:
         """The steps of all texts in one buffer."""
-        ends = np.cumsum([0, *map(len, counts)])
-        whole = np.concatenate([np.empty(0, np.int32), *counts])
-        each = np.diff(whole, prepend=0)
-        starts = ends[:-1][np.diff(ends) > 0]
-        each[starts] = whole[starts]
-        if len(each) and np.abs(each).max() >= 1 << 15:
+        ends = np.cumsum([0, *map(len, each)])
+        whole = np.concatenate([np.empty(0, np.int32), *each])
+        if len(whole) and np.abs(whole).max() >= 1 << 15:
             raise OverflowError("a step exceeds 16 bits")
         return pa.Array.from_buffers(
-            pa.large_binary(), len(counts), [None, pa.py_buffer((2 * ends).astype(np.int64)), pa.py_buffer(each.astype("<i2"))]).cast(pa.binary())
+            pa.large_binary(), len(each), [None, pa.py_buffer((2 * ends).astype(np.int64)), pa.py_buffer(whole.astype("<i2"))]).cast(pa.binary())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                counts = counter(path, pattern).counts(texts)
+                each = counter(path, pattern).growth(texts)
+                totals = [int(e.sum()) for e in each]
                 made = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(map(len, texts), pa.int64()),
-                        pa.array([int(c[-1]) if len(c) else 0 for c in counts], pa.int64()),
-                        *(pa.array([longest(c, b) for c in counts], pa.int64()) for b in budgets)]
+                        pa.array(totals, pa.int64()), *(pa.array(list(map(longest, each, totals, [b] * len(each))), pa.int64()) for b in budgets)]
                 if steps:
-                    made.append(packed(counts))
+                    made.append(packed(each))
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], [*names, "steps"][: 1 + len(made)])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(

@@ -81,3 +81,14 @@ def test_queries_give_the_contract(spark):
     for r in QUERIES["op7_token_counts"](spark, folder).collect():
         n = len(counts.encode(rows[r.doc_id], add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(rows[r.doc_id].encode()), n, n > 1024)
+
+
+def test_a_piece_is_counted_once_however_it_is_marked():
+    counter, asked = tokens.PrefixCounter(TABLE, public_tokenizers.PATTERN), []
+    counted = counter.of_pieces
+    counter.of_pieces = lambda pieces: asked.extend(pieces) or counted(pieces)
+    for text in ("a word, a word. a (word", "the word; the word! a word\n \tword"):
+        library = Tokenizer.from_file(TABLE)
+        every = [len(library.encode(text[: k + 1], add_special_tokens=False).ids) for k in range(len(text))]
+        assert counter.counts([text])[0].tolist() == every
+    assert asked.count(" word") == 1 and len(asked) == len(set(asked))
