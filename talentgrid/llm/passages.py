@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.session import broadcast_if_small, cut
+from talentgrid.session import broadcast_if_small, cut, release
 
 LEAST_WORDS = 50
 SLICE_ROWS = 256
@@ -54,8 +54,13 @@ def _chosen(codes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.n
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     at = np.arange(n)
     hashes = _runs(codes, at, at + gram, 0x2545F4914F6CDD1D)
-    views = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    return np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(axis=1), hashes
+    least, place, width = hashes, at, 1
+    while width < window:  # runs of `width` grams, two of which cover a longer one
+        step = min(width, window - width)
+        place = np.where(least[step:] <= least[:-step], place[step:], place[:-step])
+        least = np.minimum(least[step:], least[:-step])
+        width += step
+    return place, hashes
 
 
 def minimisers(codes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +76,11 @@ def _around(codes: np.ndarray, pos: np.ndarray, window: int, least: int) -> tupl
     return _runs(codes, low, pos, 0x5851F42D4C957F2D), _runs(codes, pos, high, 0x14057B7EF767814F), pos - low, high - pos
 
 
-def _suffixes(docs: DataFrame, gram: int, window: int, least: int) -> DataFrame:
-    """gram, left, right (hashes of the gram and of the words around it), doc_id, pos, before, after (how many words those are)."""
+def _suffixes(docs: DataFrame, gram: int, window: int, least: int, around: bool = True) -> DataFrame:
+    """gram, left, right (hashes of the gram and of the words around it), doc_id, pos, before, after (how many words those are).
+
+    Without `around` only gram and doc_id.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,21 +95,28 @@ def _suffixes(docs: DataFrame, gram: int, window: int, least: int) -> DataFrame:
                 for row, numbers in numbered:
                     codes = hashes[numbers]
                     pos, grams = minimisers(codes, gram, window)
+                    if not around:
+                        found.append((np.full(len(pos), row), grams))
+                        continue
                     left, right, before, after = _around(codes, pos, window, least)
                     found.append((np.full(len(pos), row), grams, left, right, pos, before, after))
-                if found:
+                if found and not around:
+                    rows, grams = (np.concatenate(c) for c in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), part.column(0).take(pa.array(rows))], ["gram", "doc_id"])
+                elif found:
                     rows, grams, left, right, pos, before, after = (np.concatenate(c) for c in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(grams.view(np.int64)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), part.column(0).take(pa.array(rows)),
                          pa.array(pos.astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))],
                         ["gram", "left", "right", "doc_id", "pos", "before", "after"])
 
-    return docs.mapInArrow(find, f"gram long, left long, right long, doc_id {kind}, pos int, before int, after int")
+    return docs.mapInArrow(
+        find, f"gram long, left long, right long, doc_id {kind}, pos int, before int, after int" if around else f"gram long, doc_id {kind}")
 
 
 def _placed(chosen: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, text and places of the documents that the suffixes of `chosen` are taken from."""
-    wanted = cut(chosen.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "left", "right", "pos", "many")).alias("places")))
+    wanted = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "left", "right", "pos", "many")).alias("places"))
     return docs.join(broadcast_if_small(wanted, 50_000), "doc_id").select("doc_id", "text", "places")
 
 
@@ -176,8 +191,8 @@ def _neighbours(suffixes: DataFrame, least: int) -> DataFrame:
     return ready.mapInArrow(compare, "gram long, left long, right long, before int, after int")
 
 
-def _in_runs(rows: DataFrame, gram: int, window: int, least: int) -> DataFrame:
-    """Matches (gram, left, right, before, after) of suffixes of `rows` by the runs of `least` words that two documents hold.
+def _in_runs(rows: DataFrame, gram: int, window: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Matches (gram, left, right, before, after) of suffixes of `rows` by the runs of `least` words that two documents hold; what they are read from.
 
     A run is digested at its own minimiser only, which all its copies share. Runs of one suffix all hold its gram, so they
     make one stretch. Suffixes of several documents match whole anyway and are only met here.
@@ -219,7 +234,7 @@ def _in_runs(rows: DataFrame, gram: int, window: int, least: int) -> DataFrame:
     before = F.col("back") - F.col("at")
     return held.filter("not many").select(*around, "back", F.posexplode("runs").alias("at", "run")).join(
         broadcast_if_small(shared, SHARED_GRAMS), ["gram", "run"]).groupBy(*around).agg(
-        F.max(before).alias("before"), F.max(F.lit(least) - before).alias("after"))
+        F.max(before).alias("before"), F.max(F.lit(least) - before).alias("after")), held
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +249,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "
     window = least - gram + 1
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     suffixes = _suffixes(rows, gram, window, least)
-    shared = suffixes.groupBy("gram").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).filter("one <> other").select("gram")
+    shared = _suffixes(rows, gram, window, least, around=False).groupBy("gram").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).filter("one <> other").select("gram")
     held = cut(suffixes.join(broadcast_if_small(shared, SHARED_GRAMS), "gram"))
     around = ["gram", "left", "right"]
     contexts = cut(
@@ -242,13 +257,15 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "
         .select(*around, "first.*", (F.col("first.doc_id") != F.col("other")).alias("many")))
     open_grams = contexts.groupBy("gram").agg(F.min("many").alias("closed"), F.count(F.lit(1)).alias("n")).filter("not closed and n > 1").select("gram")
     open_ = _placed(contexts.join(cut(open_grams), "gram", "left_semi"), rows)
-    met = _neighbours(_in_both_orders(open_, gram, window, least), least).unionByName(_in_runs(open_, gram, window, least))
+    by_runs, runs = _in_runs(open_, gram, window, least)
+    met = _neighbours(_in_both_orders(open_, gram, window, least), least).unionByName(by_runs)
     whole = contexts.filter(F.col("many") & (F.col("before") + F.col("after") >= least)).select(*around, "before", "after")
     matches = cut(whole.unionByName(met).groupBy(*around).agg(F.collect_set(F.struct("before", "after")).alias("reach")))
+    release(contexts, runs)
     spans = held.select(*around, "doc_id", "pos").join(matches, around).select(
         "doc_id", "pos", F.explode("reach").alias("r")).select(
         "doc_id", (F.col("pos") - F.col("r.before")).alias("start"), (F.col("pos") + F.col("r.after")).alias("end"))
-    stretches = cut(spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    stretches = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     texts = rows.join(broadcast_if_small(stretches, 50_000), "doc_id")
     kind = dict(rows.dtypes)["doc_id"]
 

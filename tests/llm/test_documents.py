@@ -223,3 +223,13 @@ def test_no_pair_of_lines_at_the_threshold_is_lost(spark):
         rows.append((i, " ".join(line) + "\n" + " ".join(other)))
     got = lines.line_groups(frame(spark, rows)).collect()
     assert {r.copies for r in got} == {2} and len(got) == 6000
+
+
+def test_minimisers_are_the_last_smallest_of_each_window():
+    rng = np.random.default_rng(4)
+    for n in (50, 51, 80, 300):
+        for distinct in (2, 5, 1000):
+            of_run, hashes = passages._chosen(passages._mix(rng.integers(0, distinct, n).astype(np.uint64)), 25, 26)
+            for first, at in enumerate(of_run):
+                window = hashes[first : first + 26]
+                assert first <= at < first + 26 and hashes[at] == window.min() and not (hashes[at + 1 : first + 26] == hashes[at]).any()
