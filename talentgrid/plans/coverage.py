@@ -182,7 +182,7 @@ def _costs(b, packed, have):
     levels = b.skill_field.select("skill_id", F.when(kind == "STANDARD", "transversal").when(
         kind == "ECONOMY", "cross-sector").when(kind == "PROMO", "sector-specific").when(
         kind == "SMALL", "occupation-specific").alias("reuse"))
-    return cov.effort_costs(cov.wanted_skills(packed), levels, have, cov.close_skills(related, membership))
+    return cov.effort_costs(cov.wanted_skills(packed), levels, have, cov.either_way(related), membership=membership)
 
 
 @query("GR-8", sql(BASE + " cost", "SELECT a, b FROM close"))
