@@ -204,6 +204,7 @@ def budgeted_plans(b):
     packed, have = _instances(b)
     from talentgrid.session import cut
 
+    packed = cut(cov.merged_pool(packed))
     plans = cov.budgeted(packed, cut(_costs(b, packed, have)), 2.0)
     return plans.select("instance_id", F.array_join("chosen", ",").alias("skills"), F.round("spent", 6).alias("spent"))
 
@@ -213,6 +214,7 @@ def partial_enumeration_plans(b):
     packed, have = _instances(b)
     from talentgrid.session import cut
 
+    packed = cut(cov.merged_pool(packed))
     plans = cov.budgeted_partial(packed, cut(_costs(b, packed, have)), 2.0)
     return plans.select("instance_id", F.array_join("chosen", ",").alias("skills"), F.round("spent", 6).alias("spent"),
                         "F", F.round("G", 6).alias("G"))
