@@ -415,13 +415,16 @@ def trigram_vector(c: Column, dims: int = 256) -> Column:
     )
 
     def dense(s: Column) -> Column:
-        # The squares of the counts add up trigram by trigram, and only slots that occur are counted.
+        # Only slots that occur are counted, without a lambda per trigram, and what lies between them is filled with zeros.
         def times(d: Column) -> Column:
-            return F.size(F.filter(s, lambda x: x == d)).cast("double")
+            return (F.size(s) - F.size(F.array_remove(s, d))).cast("double")
 
+        zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
         norm = F.sqrt(F.aggregate(s, F.lit(0.0), lambda total, x: total + times(x)))
-        return bind(norm, lambda n: F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda d: F.when(~F.array_contains(s, d), F.lit(0.0).cast("float")).otherwise((times(d) / n).cast("float"))))
+        filled = bind(norm, lambda n: bind(F.sort_array(F.array_distinct(s)), lambda held: F.concat(
+            F.flatten(F.transform(held, lambda d, i: F.concat(
+                zeros(d - 1 - F.when(i == 0, F.lit(-1)).otherwise(F.get(held, i - 1))), F.array((times(d) / n).cast("float"))))),
+            zeros(dims - 1 - F.array_max(held)))))
+        return F.coalesce(filled, F.array_repeat(F.lit(None).cast("float"), dims))
 
     return bind(slots, dense)
